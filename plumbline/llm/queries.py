@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe
+from . import bpe, merkle
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 1: the copies of each fact that is stored in differing form."""
+    return merkle.copies(merkle.records(table(spark, base, "fact"), table(spark, base, "fact_line")))
+
+
+def p1_distinct(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 1: each distinct fact once, with the number of its records."""
+    rows = merkle.distinct_records(merkle.records(table(spark, base, "fact"), table(spark, base, "fact_line")))
+    return rows.select("first_key", "record.text", "record.category", "n_records")
 
 
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
@@ -16,7 +27,7 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {f.__name__: f for f in (p1_found, p1_distinct, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
