@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe, merkle
+from . import bpe, lookalike, merkle
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -21,13 +21,33 @@ def p1_distinct(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("first_key", "record.text", "record.category", "n_records")
 
 
+def _p4_values(spark: SparkSession, base: str) -> DataFrame:
+    return lookalike.values(
+        [
+            ("scenario.chinese", table(spark, base, "scenario"), "scenario_id", "chinese", "received_at"),
+            ("fact.text", table(spark, base, "fact"), "fact_key", "text", "extracted_at"),
+            ("response.response", table(spark, base, "response"), "response_id", "response", "received_at"),
+        ]
+    )
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 4: pairs of values that look the same but are different strings."""
+    return lookalike.same_looking(_p4_values(spark, base))
+
+
+def p4_forms(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 4: every value in its one consistent form."""
+    return lookalike.normal_forms(_p4_values(spark, base))
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Problem 6: every document as token ids."""
     return bpe.encode(table(spark, base, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_distinct, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_distinct, p4_found, p4_forms, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
