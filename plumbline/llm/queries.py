@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe, lookalike, merkle
+from . import bpe, lookalike, merkle, mixing
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -46,8 +46,18 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode(table(spark, base, "documents"))
 
 
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 7: the shares that the mixture reaches."""
+    return mixing.shares(table(spark, base, "documents"), table(spark, base, "mix_target"))
+
+
+def p7_mix(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 7: the mixture itself in shuffled order."""
+    return mixing.mix(table(spark, base, "documents"), table(spark, base, "mix_target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_distinct, p4_found, p4_forms, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_distinct, p4_found, p4_forms, p6_ids, p7_shares, p7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
