@@ -28,8 +28,9 @@ _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 _NO_WORD_BEFORE = rf"(?<![\p{{N}}\p{{M}}]|[\p{{L}}&&[^{_UNSPACED}]])"
 #: A number: an optional sign that doesn't follow a word, digits with decimal points, or a point and digits.
 NUMBER = (
+    r"(?=[+\-−＋－.．\p{Nd}])"  # fails fast at most characters
     rf"(?:{_NO_WORD_BEFORE}[+\-−＋－])?"
-    rf"(?:\p{{Nd}}+(?:[.．]\p{{Nd}}+)*|(?<![\p{{L}}\p{{N}}\p{{M}}.．])[.．]\p{{Nd}}+)"
+    rf"(?:\p{{Nd}}++(?:[.．]\p{{Nd}}++)*+|(?<![\p{{L}}\p{{N}}\p{{M}}.．])[.．]\p{{Nd}}++)"
 )
 _MARK = "\u0001"
 
@@ -42,7 +43,7 @@ def normal_text(text: Column) -> Column:
     plain = F.translate(F.lower(F.translate(text, _MARK, " ")), "ς", "σ")
     plain = F.replace(plain, F.lit("ß"), F.lit("ss"))
     marked = F.regexp_replace(plain, NUMBER, f"{_MARK}$0{_MARK}")
-    return F.regexp_replace(marked, rf"({_MARK}[^{_MARK}]*{_MARK})|[^\p{{L}}\p{{M}}\p{{N}}]+", "$1")
+    return F.regexp_replace(marked, rf"({_MARK}[^{_MARK}]*+{_MARK})|[^{_MARK}\p{{L}}\p{{M}}\p{{N}}]++", "$1")
 
 
 def _joined(parts: Column) -> Column:
@@ -110,7 +111,8 @@ def parse_line(line: Column) -> Column:
 
 
 def records(fact: DataFrame, fact_line: DataFrame) -> DataFrame:
-    """``key, record struct<text,category>``: the rows of fact, and the lines that are objects with a text."""
+    """``key, late, is_record, record struct<text,category>``: the rows of fact, and the lines; a line is a record if it
+    is an object with a text."""
     stored = fact.select(F.col("fact_key").alias("key"), F.col("extracted_at").alias("late"), F.lit(True).alias("is_record"), "text", "category")
     parsed = fact_line.select("fact_key", "extracted_at", parse_line(F.col("line")).alias("v"))
 
@@ -120,28 +122,45 @@ def records(fact: DataFrame, fact_line: DataFrame) -> DataFrame:
     read = parsed.select("fact_key", "extracted_at", field("text"), field("content"), field("category"))
     text = F.when(F.col("text") != "", F.col("text")).otherwise(F.when(F.col("content") != "", F.col("content")))
     raw = read.select(F.col("fact_key").alias("key"), F.col("extracted_at").alias("late"), text.isNotNull().alias("is_record"), text.alias("text"), "category")
-    latest = once_per_key(stored.unionByName(raw), "key", "late").where("is_record")
-    return latest.select("key", F.struct("text", "category").alias("record"))
+    return stored.unionByName(raw).select("key", "late", "is_record", F.struct("text", "category").alias("record"))
 
 
-def hashed(rows: DataFrame, key: str = "key", record: str = "record", ordered_arrays: bool = True) -> DataFrame:
-    """``key, root, shape, record`` of each row."""
-    dtype = rows.schema[record].dataType
-    plain = rows.select(F.col(key).alias("key"), F.col(record).alias("record"), normalised(F.col(record), dtype).alias("plain"))
-    value = F.col("plain")
-    return plain.select("key", root_digest(value, dtype, ordered_arrays).alias("root"), shape(value, dtype, ordered_arrays).alias("shape"), "record")
+def hashed(rows: DataFrame, ordered_arrays: bool = True, keep_record: bool = False) -> DataFrame:
+    """``key, root, shape`` (and ``record``) of the latest row of each key.
 
+    Hashing comes before the pick of the latest row: the result of that shuffle serves all branches of a plan, so each
+    row is hashed once.
+    """
+    dtype = rows.schema["record"].dataType
+    rest = ["record"] if keep_record else []
+    plain = rows.select("key", "late", "is_record", *rest, normalised(F.col("record"), dtype).alias("plain"))
+    value = F.col("plain")
+    whole = plain.select("key", "late", "is_record", F.unhex(root_digest(value, dtype, ordered_arrays)).alias("root"), shape(value, dtype, ordered_arrays).alias("shape"), *rest)
+    return once_per_key(whole, "key", "late").where("is_record").select("key", "root", "shape", *rest)
 
-def copies(rows: DataFrame, key: str = "key", record: str = "record") -> DataFrame:
-    """``first_key, copy_key``: one row for each record of a group besides the one with the smallest key."""
-    members = hashed(rows, key, record).select("root", "shape", "key")
-    groups = members.groupBy("root", "shape").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n_records"))
-    several = groups.where(F.col("n_records") > 1).select("root", "shape", "first_key")
-    return members.join(several, ["root", "shape"]).where(F.col("key") > F.col("first_key")).select("first_key", F.col("key").alias("copy_key"))
 
+def copies(rows: DataFrame) -> DataFrame:
+    """``first_key, copy_key``: one row for each record of a group besides the one with the smallest key.
 
-def distinct_records(rows: DataFrame, key: str = "key", record: str = "record") -> DataFrame:
+    The groups compare the whole structure of their records (smallest and largest shape). Only a root whose shapes
+    differ, a collision of 128-bit digests, needs its records' shapes again. Such roots are broadcast: below 2**50
+    records fewer than one is expected.
+    """
+    rows = hashed(rows)
+    groups = rows.groupBy("root").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("shape").alias("low"), F.max("shape").alias("high"))
+    groups = groups.where(F.col("first_key") < F.col("last_key"))
+    sure = groups.where(F.col("low") == F.col("high")).select("root", "first_key")
+    usual = rows.select("root", "key").join(sure, "root").where(F.col("key") > F.col("first_key"))
+    collided = groups.where(F.col("low") != F.col("high")).select("root")
+    apart = rows.join(F.broadcast(collided), "root")
+    firsts = apart.groupBy("root", "shape").agg(F.min("key").alias("first_key"))
+    unusual = apart.join(firsts, ["root", "shape"]).where(F.col("key") > F.col("first_key"))
+    columns = ["first_key", F.col("key").alias("copy_key")]
+    return usual.select(*columns).unionByName(unusual.select(*columns))
+
+
+def distinct_records(rows: DataFrame) -> DataFrame:
     """``first_key, record, n_records``: each distinct record once, as its smallest key has it, with its number of copies."""
     kept = F.min(F.struct("key", "record")).alias("kept")
-    groups = hashed(rows, key, record).groupBy("root", "shape").agg(kept, F.count(F.lit(1)).alias("n_records"))
+    groups = hashed(rows, keep_record=True).groupBy("root", "shape").agg(kept, F.count(F.lit(1)).alias("n_records"))
     return groups.select(F.col("kept.key").alias("first_key"), F.col("kept.record").alias("record"), "n_records")
