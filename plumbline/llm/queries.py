@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, lookalike, merkle, mixing
+from . import bpe, langid, lookalike, merkle, mixing
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -21,6 +22,21 @@ def p1_distinct(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("first_key", "record.text", "record.category", "n_records")
 
 
+def _p3_detected(spark: SparkSession, base: str) -> DataFrame:
+    return langid.detected(table(spark, base, "response"), langid.fit(table(spark, base, "lang_sample")))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 3: answers whose label is missing or wrong, and answers in several languages."""
+    return langid.mislabelled(_p3_detected(spark, base))
+
+
+def p3_segments(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 3: every stretch of every answer with its language and a confidence."""
+    part = _p3_detected(spark, base).select("response_id", F.explode("segments").alias("s"))
+    return part.select("response_id", "s.start_pos", "s.end_pos", "s.language", "s.confidence")
+
+
 def _p4_values(spark: SparkSession, base: str) -> DataFrame:
     return lookalike.values(
         [
@@ -57,7 +73,7 @@ def p7_mix(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_distinct, p4_found, p4_forms, p6_ids, p7_shares, p7_mix)}
+    return {f.__name__: f for f in (p1_found, p1_distinct, p3_found, p3_segments, p4_found, p4_forms, p6_ids, p7_shares, p7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
