@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that Python functions can import it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline.zip"
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(packed))
+    sc._plumbline_shipped = True
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``base``."""
+    ship(spark)
     return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
 
 
