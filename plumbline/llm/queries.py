@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, langid, lookalike, merkle, mixing
+from . import bpe, langid, lookalike, merkle, mixing, pairs, truncation
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -22,6 +22,21 @@ def p1_distinct(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("first_key", "record.text", "record.category", "n_records")
 
 
+def _p2_inputs(spark: SparkSession, base: str) -> tuple:
+    tables = [table(spark, base, name) for name in ("response", "scenario", "slot_dim")]
+    return (*tables, langid.fit(table(spark, base, "lang_sample")))
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 2: defective answers and the type of their defect."""
+    return pairs.defects(*_p2_inputs(spark, base))
+
+
+def p2_triggered(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 2: every rule that an answer triggers, one row each."""
+    return pairs.triggered(*_p2_inputs(spark, base)).select("response_id", F.posexplode("defects").alias("rank", "defect"))
+
+
 def _p3_detected(spark: SparkSession, base: str) -> DataFrame:
     return langid.detected(table(spark, base, "response"), langid.fit(table(spark, base, "lang_sample")))
 
@@ -57,6 +72,20 @@ def p4_forms(spark: SparkSession, base: str) -> DataFrame:
     return lookalike.normal_forms(_p4_values(spark, base))
 
 
+def _p5_values(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.values(table(spark, base, "response"), table(spark, base, "scenario"))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 5: values that were cut off."""
+    return truncation.cut_values(_p5_values(spark, base))
+
+
+def p5_rates(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 5: the rate of cut values of each source."""
+    return truncation.rates(_p5_values(spark, base))
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Problem 6: every document as token ids."""
     return bpe.encode(table(spark, base, "documents"))
@@ -73,7 +102,9 @@ def p7_mix(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_distinct, p3_found, p3_segments, p4_found, p4_forms, p6_ids, p7_shares, p7_mix)}
+    found = [p1_found, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_shares]
+    more = [p1_distinct, p2_triggered, p3_segments, p4_forms, p5_rates, p7_mix]
+    return {f.__name__: f for f in found + more}
 
 
 def oracle_sql() -> dict[str, str]:
