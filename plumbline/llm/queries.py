@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, langid, lookalike, merkle, mixing, pairs, truncation
+from . import bpe, langid, lookalike, merkle, mixing, pairs, sentences, truncation
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -101,8 +101,13 @@ def p7_mix(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix(table(spark, base, "documents"), table(spark, base, "mix_target"))
 
 
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 8: the sentences of every document."""
+    return sentences.sentences(table(spark, base, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_shares]
+    found = [p1_found, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_shares, p8_found]
     more = [p1_distinct, p2_triggered, p3_segments, p4_forms, p5_rates, p7_mix]
     return {f.__name__: f for f in found + more}
 
