@@ -62,53 +62,70 @@ _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _BEGIN = rf"[\"“„«‘'(\[]*(?:[{_UP}\d\[【]|[{_LOW}][{_UP}]|[{_CJK}ऀ-ॿ฀-๿]|[<$\\�&])"
 
 
+class _OneLetter:
+    """Contains every word of one letter."""
+
+    def __contains__(self, word: str) -> bool:
+        return len(word) == 1
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A pair of expressions: what ends before a position and what follows it."""
+    """A pair of expressions: what ends before a position and what follows it.
+
+    ``marks`` and ``words`` say which sentence mark and which word before it the first expression can match at all, so
+    that most rules are passed over without trying an expression.
+    """
 
     breaks: bool
     before: re.Pattern
     after: re.Pattern
+    marks: str | None
+    words: object
+
 
-    def matches(self, left: str, right: str) -> bool:
-        return self.after.match(right) is not None and self.before.search(left) is not None
+def rule(breaks: bool, before: str, after: str = "", marks: str | None = None, words: object = None) -> Rule:
+    cased = re.search(r"\[A-Z|\[a-z|ß", before)
+    return Rule(breaks, re.compile(f"(?:{before})\\Z", 0 if cased else re.IGNORECASE), re.compile(after), marks, words)
 
 
-def rule(breaks: bool, before: str, after: str = "") -> Rule:
-    return Rule(breaks, re.compile(f"(?:{before})\\Z", re.IGNORECASE if not re.search(r"\[A-Z|\[a-z|ß", before) else 0), re.compile(after))
+def last_words(alternatives: str) -> frozenset[str]:
+    """The letters that stand right before the final point of each alternative."""
+    return frozenset(re.search(r"[^\W\d_]*\Z", a.replace("\\s", " ").replace("\\.", "."))[0] for a in alternatives.split("|"))
 
 
 _STOP = r"\.[\"”»)’'\]]*"
 FORMULAS = [
-    rule(False, r"\s\.", r""),  # a spaced point: numbering or a formula
-    rule(False, rf"[=·./^]\s*[A-Za-z]\.", r"\s*[A-Za-zΔ�(]{1,3}(?![a-z])"),
+    rule(False, r"\s\.", r"", ".", frozenset([""])),  # a spaced point: numbering or a formula
+    rule(False, r"[=·./^]\s*[A-Za-z]\.", r"\s*[A-Za-zΔ�(]{1,3}(?![a-z])", ".", _OneLetter()),
 ]
-ABBREVIATIONS = [rule(False, rf"(?<!\w)(?:{words})\.", r"") for words in LEADING.values()]
-LETTERS = [rule(False, r"(?<!\w)\w\.", r"\s?\w\.(?!\d)")]
-DATES = [rule(False, r"\b(?:am|vom|zum|im|ab|bis|seit|den|dem|der|die|das|le)\s+\d{1,3}\.", rf"\s+[{_UP}]")]
-UNITS = [rule(True, r"\b(?:per|pro|par|por|je|в)\s+\w+\.", rf"\s+{_BEGIN}")]
-NUMBERS = [rule(False, rf"(?<!\w)(?:{NUMBERED})\.", r"\s*[\d(№]") ]
-LIST_ENDS = [rule(False, r"(?<!\w)(?:etc|usw|u\.\s?s\.\s?w|т\.\s?д|т\.\s?п|и др)\.", rf"\s+(?:{GOES_ON})\b")]
+ABBREVIATIONS = [rule(False, rf"(?<!\w)(?:{words})\.", r"", ".", last_words(words)) for words in LEADING.values()]
+LETTERS = [rule(False, r"(?<!\w)\w\.", r"\s?\w\.(?!\d)", ".", _OneLetter())]
+DATES = [rule(False, r"\b(?:am|vom|zum|im|ab|bis|seit|den|dem|der|die|das|le)\s+\d{1,3}\.", rf"\s+[{_UP}]", ".", frozenset([""]))]
+UNITS = [rule(True, r"\b(?:per|pro|par|por|je|в)\s+\w+\.", rf"\s+{_BEGIN}", ".")]
+NUMBERS = [rule(False, rf"(?<!\w)(?:{NUMBERED})\.", r"\s*[\d(№]", ".", frozenset(NUMBERED.split("|")))]
+_ENDING = r"etc|usw|u\.\s?s\.\s?w|т\.\s?д|т\.\s?п|и др"
+LIST_ENDS = [rule(False, rf"(?<!\w)(?:{_ENDING})\.", rf"\s+(?:{GOES_ON})\b", ".", last_words(_ENDING))]
 MARKS = [
-    rule(True, r"[!?…]+[\"”»)’'\]]*", rf"\s+{_BEGIN}"),
-    rule(True, _STOP, rf"\s+{_BEGIN}"),
+    rule(True, r"[!?…]+[\"”»)’'\]]*", rf"\s+{_BEGIN}", "!?…"),
+    rule(True, _STOP, rf"\s+{_BEGIN}", "."),
 ]
 ATTACHED = [
-    rule(True, rf"(?:[a-zß-öø-ÿа-яё]{{2,}}|\d\s?[A-Za-zА-Яа-я]{{1,3}}|\bin [A-Z]|[)%\d])[.!?]", rf"[{_UP}](?:[{_LOW}]|\s)|[{_LOW}][{_UP}]\s|[\[【]\d"),
-    rule(True, rf"(?:[a-zß-öø-ÿа-яё]{{3,}}|\d\s?(?:mm|cm|kg|min|g|s|K|bar)|\bin [A-Z]|\))[.!?]", r"\d"),
+    rule(True, rf"(?:[a-zß-öø-ÿа-яё]{{2,}}|\d\s?[A-Za-zА-Яа-я]{{1,3}}|\bin [A-Z]|[)%\d])[.!?]", rf"[{_UP}](?:[{_LOW}]|\s)|[{_LOW}][{_UP}]\s|[\[【]\d", ".!?"),
+    rule(True, rf"(?:[a-zß-öø-ÿа-яё]{{3,}}|\d\s?(?:mm|cm|kg|min|g|s|K|bar)|\bin [A-Z]|\))[.!?]", r"\d", ".!?"),
 ]
 LOWER_CASE = [
-    rule(True, r"[!?…]+[\"”»)’'\]]*", r"\s+\S"),
-    rule(True, _STOP, rf"\s+[{_LOW}]"),
-    rule(True, rf"(?:[a-zß-öø-ÿа-яё]{{3,}}|\d\s?[a-zа-я]{{1,3}}|\bin [a-z]|\))[.!?]", rf"[{_LOW}]+\s"),
+    rule(True, r"[!?…]+[\"”»)’'\]]*", r"\s+\S", "!?…"),
+    rule(True, _STOP, rf"\s+[{_LOW}]", "."),
+    rule(True, rf"(?:[a-zß-öø-ÿа-яё]{{3,}}|\d\s?[a-zа-я]{{1,3}}|\bin [a-z]|\))[.!?]", rf"[{_LOW}]+\s", ".!?"),
 ]
 IDEOGRAPHIC = [
-    rule(True, r"[。！？｡][」』”’）)\"〉》】]*", r""),
-    rule(True, rf"[{_CJK}][.!?]+[」』”’）)\"]*", rf"\s*[{_CJK}\[【]"),
+    rule(True, r"[。！？｡][」』”’）)\"〉》】]*", r"", "。！？｡"),
+    rule(True, rf"[{_CJK}][.!?]+[」』”’）)\"]*", rf"\s*[{_CJK}\[【]", ".!?"),
 ]
 DANDA = [
-    rule(True, r"[।॥][”\"’)]*", r""),
-    rule(True, r"[!?]+[”\"’)]*", r"\s+\S"),
+    rule(True, r"[।॥][”\"’)]*", r"", "।॥"),
+    rule(True, r"[!?]+[”\"’)]*", r"\s+\S", "!?"),
     rule(False, r"", r""),
 ]
 # Thai: spaces are the candidates.
@@ -135,6 +152,7 @@ TABLES = {
 }
 
 _CANDIDATE = re.compile(r"(?:\.(?!\d)|\.(?<=[A-Za-zß-öø-ÿа-яё)]\.)(?=\d)|[!?…。！？｡।॥]+)[\"”»’')\]」』）〉》】]*")
+_TAIL = re.compile(r"[^\W\d_]*\Z")
 _THAI_CANDIDATE = re.compile(r"(?<=\S)(?=\s+\S)")
 _SPANS = re.compile(
     r"\"[^\"]{1,400}\"|“[^”]{1,400}”|„[^“”]{1,400}[“”]|«[^»]{1,400}»|「[^」]{1,400}」|『[^』]{1,400}』|\([^()\n]{1,200}\)|（[^（）\n]{1,200}）|\[[^\[\]\n]{1,60}\]"
@@ -152,8 +170,8 @@ def table_of(text: str) -> str:
     if text.isascii():
         found = "cased"
     else:
-        counts = {name: sum(map(len, p.findall(text))) * (2 if name == "ideographic" else 1) for name, p in _SCRIPTS}
-        found = max(counts, key=counts.get)
+        counts = {name: len("".join(p.findall(text))) * (2 if name == "ideographic" else 1) for name, p in _SCRIPTS if p.search(text)}
+        found = max(counts, key=counts.get, default="cased")
     if found == "cased" and (text.islower() or not _CAPITALISED.search(text)):
         return "lower"
     return found
@@ -176,21 +194,20 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
         if not bare:
             open_block, after_blank = False, True
             continue
-        head = _HEAD_TRIM.sub("", bare).lower()
-        following = text[b : lines[i + 1][1]].strip() if i + 1 < len(lines) else ""
-        if head in HEADINGS or after_blank and following and _is_title(bare):
+        head = _HEAD_TRIM.sub("", bare).lower() if len(bare) <= 60 and bare[-1] not in ".。।;；,，" else ""
+        if head in HEADINGS or after_blank and len(bare) <= 40 and _is_title(bare) and i + 1 < len(lines) and text[b : lines[i + 1][1]].strip():
             out.append([a, b, True])
             open_block, after_blank = False, False
             claims = head in CLAIM_HEADINGS
             number = 0
             continue
-        claim = _CLAIM.match(line)
+        claim = _CLAIM.match(line) if (claims or after_blank) and (bare[0].isdigit() or bare[0] in "【[cC权") else None
         value = int(claim[1]) if claim else 0
         if claim and (claims or after_blank) and number < value <= number + 20 and (number or value == 1) and not (out and open_block and _LEADS_ON.search(text[out[-1][0] : a])):
             claims, number = True, value
             out.append([a, b, True])
             open_block = True
-        elif _PARAGRAPH.match(line) and not (claims and number):
+        elif bare[0] in "[【［" and _PARAGRAPH.match(line) and not (claims and number):
             out.append([a, b, False])
             open_block = True
         elif claims and number and out and not after_blank or open_block:
@@ -243,10 +260,16 @@ def split(text: str | None) -> list[tuple[int, int]]:
             inside = now < len(spans) and spans[now][0] < m.start() < spans[now][1]
             if inside and (pos < spans[now][1] or text[spans[now][1] - 1] in ")）]" or not re.match(rf"\s+[{_UP}]", text[pos:b])):
                 continue
-            left, right = text[max(at, m.start() - 24) : pos], text[pos : min(b, pos + 24)]
-            if not right.strip():
+            right = text[pos : min(b, pos + 24)]
+            if not right or right.isspace():
                 continue
+            first = m.start()
+            left = text[max(at, first - 24) : pos]
+            mark = text[first : first + 1]
+            word = _TAIL.search(text, max(at, first - 12), first)[0].lower()
             for r in rules:
+                if r.marks is not None and mark not in r.marks or r.words is not None and word not in r.words:
+                    continue
                 if r.after.match(right) and r.before.search(left):
                     if r.breaks:
                         add(at, pos)
