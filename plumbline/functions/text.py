@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as script engines trim it, as the inside of a character class.
-WHITE = r"\s\u000B ﻿  -     　"
+WHITE = r"\s\u000B\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Any character besides line ends.
-NOT_LINE_END = r"[^\n\r  ]"
+NOT_LINE_END = r"[^\n\r\u2028\u2029]"
 CJK_CLASS = r"一-鿿㐀-䶿"
 
 # Function words that don't count as overlap between a fact and a paragraph.

@@ -1,15 +1,329 @@
-"""The query catalogue."""
+"""The query catalogue of the reference's operators over the driver's tables."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.rank import latest, numbered
+from ..operators import evidence, jobs, planning, refusal, scoring, verify
+from ..operators import facts as fact_reader
+from ..runtime import table
+from ..sources import models
+from ..streaming import progress
+from . import oracle, pipeline
+
+#: The time at which ages are told (milliseconds).
+NOW = 1_740_300_000_000
+
+# Judge answers and plans that cover every case of the readers.
+JUDGE_ANSWERS = [
+    '{"accurate": true, "confidence": 0.95, "explanation": "e"}',
+    '{"accurate": "false", "confidence": 0.4}',
+    '{"accurate": false, "confidence": 0}',
+    '{"accurate": 1, "confidence": 7}',
+    '{"accurate": null, "confidence": -3}',
+    'text {"accurate": true} more',
+    "not json",
+    "{bad}",
+]
+PLAN_ANSWERS = [
+    '{"fact-1": {"query": "river trade", "entities": ["Lifola Bay", "Harbour", "Third"]}}',
+    '```json\n{"fact-1": {"query": "guild system", "entities": ["Zemare Accord"],},}\n```',
+    '{"fact-2": {"query": "other"}}',
+    "no plan at all",
+    '{fact-1: broken',
+]
+
+
+def _t(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, base: table(spark, base, name)
+
+
+scenario, response, fact, fact_line, article, slot_dim, documents, events, embeddings = map(
+    _t, ("scenario", "response", "fact", "fact_line", "article", "slot_dim", "documents", "events", "embeddings")
+)
+
+
+def _scenarios(spark: SparkSession, base: str) -> DataFrame:
+    return latest(scenario(spark, base), "scenario_id", "received_at")
+
+
+def _event_log(log: DataFrame) -> DataFrame:
+    """The events as a progress log: user as job, a number of ``props`` as slot, phase and status."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    slots = F.array(*[F.lit(s) for s in ("us-model-en", "us-model-zh", "cn-model-en", "cn-model-zh")])
+    phases = F.array(*[F.lit(p) for p in jobs.PHASES])
+    status = F.when(F.col("event_type") == "error", "error").when(k % 3 == 0, "running").otherwise("done")
+    return log.select(
+        F.concat(F.lit("j"), F.col("user_id").cast("string")).alias("job_id"),
+        F.get(slots, k % 4).alias("slot"),
+        F.get(phases, k % 5).alias("phase"),
+        status.alias("status"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "event_id",
+        "value",
+    )
+
+
+def _job_table(spark: SparkSession, base: str) -> DataFrame:
+    """A job for each user of the events: its last status and, if it finished, when."""
+    log = _event_log(events(spark, base))
+    last = log.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("s"), F.max(F.unix_millis("ts")).alias("last"), F.min(F.unix_millis("ts")).alias("created_at"))
+    status = F.when(F.col("s") == "done", "completed").when(F.col("s") == "error", "error").otherwise("queued")
+    return last.select("job_id", status.alias("status"), "created_at", F.when(F.col("s") != "running", F.col("last")).alias("completed_at"))
+
+
+def slot_fanout(spark, base):
+    rows = models.fan_out(_scenarios(spark, base), slot_dim(spark, base))
+    return rows.select("scenario_id", "slot", "language", "origin", "prompt", F.length("prompt").alias("prompt_chars"))
+
+
+def mock_responses(spark, base):
+    rows = models.fan_out(_scenarios(spark, base), slot_dim(spark, base))
+    return rows.select("scenario_id", "slot", models.mock_answer(F.col("slot")).alias("answer"))
+
+
+def translation_routes(spark, base):
+    return slot_dim(spark, base).select("slot", models.translation_route(F.col("language")).alias("translator"))
+
+
+def prompt_truncate(spark, base):
+    return documents(spark, base).select("doc_id", F.length(F.substring("text", 1, models.PROMPT_LIMIT)).alias("kept_chars"), F.md5(F.substring("text", 1, models.PROMPT_LIMIT)).alias("kept_md5"))
+
+
+def refusal_detect(spark, base):
+    return pipeline.answers(response(spark, base)).select("response_id", "r.is_refusal", "r.confidence", "r.reason")
+
+
+def refusal_rate_by_slot(spark, base):
+    rows = pipeline.answers(response(spark, base)).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.count_if("r.is_refusal").alias("n_refused"))
+    return rows.withColumn("refusal_rate", F.round(F.col("n_refused") / F.col("n"), 6))
+
+
+def parse_facts(spark, base):
+    return fact_reader.exploded(fact_line(spark, base), "line", ["fact_key"]).select("fact_key", "id", "text", "category")
+
+
+def fact_counts(spark, base):
+    return pipeline.facts(fact(spark, base)).groupBy("job_id", "slot").agg(F.count(F.lit(1)).alias("n_facts"), F.count("category").alias("n_labelled"), F.max(F.length("text")).alias("longest"))
+
+
+def strip_html_documents(spark, base):
+    plain = X.strip_html(F.col("text"))
+    return documents(spark, base).select("doc_id", F.length(plain).alias("plain_chars"), F.md5(plain).alias("plain_md5"))
+
+
+def article_urls(spark, base):
+    return article(spark, base).select("article_id", "lang", X.article_url(F.col("title"), F.col("lang")).alias("url"))
+
+
+def token_frequencies(spark, base):
+    return pipeline.facts(fact(spark, base)).select(F.explode(X.words(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def article_bigrams(spark, base):
+    pairs = article(spark, base).where("lang = 'zh'").select("article_id", F.explode(X.cjk_bigrams(F.col("text"))).alias("pair"))
+    return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n_articles"))
+
+
+def paragraph_split(spark, base):
+    return evidence.paragraphs(article(spark, base)).select("article_id", "lang", "pos", "text")
+
+
+def title_constraints(spark, base):
+    rows = article(spark, base).select("article_id", "lang", "title", planning.constraint_words(F.col("title"), F.col("title"), F.col("lang")).alias("w"), planning.primary_word(F.col("title"), F.col("title")).alias("primary_word"))
+    return rows.select("article_id", "lang", planning.constraint(F.col("w")).alias("title_constraint"), "primary_word")
+
+
+def split_constraints(spark, base):
+    query = F.concat(F.lit("intitle:"), F.regexp_replace(F.col("title"), " ", "|"), F.when(F.col("article_id") % 2 == 0, F.concat(F.lit(" "), "lang")).otherwise(""))
+    part = article(spark, base).select("article_id", "lang", planning.split_constraint(query).alias("s"))
+    return part.select("article_id", "lang", F.array_join("s.words", "/").alias("title_words"), "s.query")
+
+
+def query_plans(spark, base):
+    rows = spark.createDataFrame(list(enumerate(PLAN_ANSWERS)), "answer_no int, answer string")
+    plan = planning.planned(F.col("answer"), "fact-1", F.lit("The harbour was enlarged in 1872."))
+    return rows.select("answer_no", plan.alias("p")).select("answer_no", "p.query", F.array_join("p.entities", "/").alias("entities"))
+
+
+def judge_parse(spark, base):
+    rows = spark.createDataFrame(list(enumerate(JUDGE_ANSWERS)), "answer_no int, answer string")
+    return rows.select("answer_no", verify.parse_answer(F.col("answer")).alias("v")).select("answer_no", "v.accurate", "v.confidence", "v.explanation")
+
+
+def semantic_topk(spark, base):
+    rows = embeddings(spark, base)
+    found = evidence.neighbours(rows, rows.where(F.col("vec_id") % 100 == 0), "vec_id", [])
+    return found.select("query_key", "vec_id", F.round("cosine", 4).alias("cosine"), "rank")
+
+
+def article_candidates(spark, base):
+    return evidence.candidates(article(spark, base)).select("article_id", "lang", "title", "cand_rank", "is_constrained", "is_entity")
+
+
+def _scored(spark, base):
+    return evidence.scored(pipeline.facts(fact(spark, base)), article(spark, base))
+
+
+def relevance_scores(spark, base):
+    return _scored(spark, base).groupBy("fact_key").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.round(F.max("score"), 6).alias("best_score"), F.round(F.sum("score"), 4).alias("total_score"))
+
+
+def evidence_top3(spark, base):
+    return evidence.best(_scored(spark, base)).select("fact_key", "evidence_no", "title", "pos", F.round("score", 6).alias("score"))
+
+
+def evidence_prompts(spark, base):
+    known = pipeline.facts(fact(spark, base))
+    made = evidence.prompts(evidence.items(evidence.best(evidence.scored(known, article(spark, base)))), known)
+    return made.select("fact_key", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+def accuracy_by_slot(spark, base):
+    verdicts = pipeline.verified(fact(spark, base), article(spark, base))
+    rows = verdicts.groupBy("slot").agg(F.count(F.lit(1)).alias("n_facts"), F.count_if("accurate").alias("n_accurate"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return rows.withColumn("percent_accurate", X.percent(F.col("n_accurate") / F.col("n_facts")))
+
+
+def _scores(spark, base):
+    return pipeline.scores(response(spark, base), pipeline.verified(fact(spark, base), article(spark, base)))
+
+
+def bias_score(spark, base):
+    """The flagship: the bias score of every answer."""
+    return _scores(spark, base).select("response_id", "job_id", "slot", F.size("indicators").alias("n_indicators"), F.round("score", 6).alias("score"), scoring.bias_class(F.col("score")).alias("bias_class"))
+
+
+def bias_indicators(spark, base):
+    rows = _scores(spark, base).select("response_id", F.posexplode("indicators").alias("indicator_no", "i"))
+    shown = scoring.shown_severity(F.col("i.dimension"), F.col("i.severity"))
+    return rows.select("response_id", "indicator_no", "i.dimension", "i.description", "i.severity", "i.direction", shown.alias("shown_severity"))
+
+
+def slot_comparison(spark, base):
+    rows = _scores(spark, base).groupBy("slot").agg(F.count(F.lit(1)).alias("n_answers"), F.avg("score").alias("mean_score"))
+    return rows.select("slot", "n_answers", F.round("mean_score", 6).alias("mean_score"), X.percent(F.col("mean_score")).alias("percent"), F.round(F.greatest(F.col("mean_score") * 100, F.lit(4.0)), 4).alias("bar_width"))
+
+
+def search_memo(spark, base):
+    """Equal queries are looked up once and joined back."""
+    known = pipeline.facts(fact(spark, base)).select("fact_key", "lang", F.substring("text", 1, planning.DEFAULT_QUERY).alias("query"))
+    keyed = known.withColumn("cache_key", F.concat_ws(":", "lang", F.lit("text"), "query"))
+    once = keyed.groupBy("cache_key").agg(F.count(F.lit(1)).alias("n_uses"))
+    computed = once.select("cache_key", "n_uses", F.size(X.entity_words(F.col("cache_key"))).alias("n_words"))
+    return keyed.join(computed, "cache_key").select("fact_key", F.md5("cache_key").alias("cache_md5"), "n_uses", "n_words")
+
+
+def job_summaries(spark, base):
+    return _scenarios(spark, base).select("job_id", X.shortened(F.col("english")).alias("summary"), "created_at", X.time_ago((F.lit(NOW) - F.col("created_at")) / 1000).alias("age"))
+
+
+def next_job_id(spark, base):
+    return scenario(spark, base).agg(jobs.next_id(F.col("job_id")).alias("next_id"))
+
+
+def job_table(spark, base):
+    return _job_table(spark, base)
+
+
+def recent_jobs(spark, base):
+    made = _job_table(spark, base).where("status <> 'queued'")
+    memory = made.where(F.col("status") == "error")
+    return jobs.recent(memory, made).select("job_id", "status", "completed_at")
+
+
+def retention(spark, base):
+    return jobs.retained(_job_table(spark, base), 20).select("job_id", "status")
+
+
+def queue_positions(spark, base):
+    waiting = _job_table(spark, base).where("status = 'queued'").select("job_id", "created_at")
+    return numbered(waiting, [F.col("created_at"), F.col("job_id")]).select("job_id", "position")
+
+
+def restart_cleanup(spark, base):
+    return _job_table(spark, base).groupBy("status").agg(F.count(F.lit(1)).alias("n_jobs"), F.count_if(F.col("status") == "queued").alias("n_removed"))
+
+
+def events_by_slot(spark, base):
+    rows = jobs.events_by_slot(_event_log(events(spark, base)))
+    return rows.select("job_id", "slot", "n_events", F.unix_millis("first_ts").alias("first_ms"), F.unix_millis("last_ts").alias("last_ms"), "last_status", (F.unix_millis("last_ts") - F.unix_millis("first_ts")).alias("wall_ms"))
+
+
+def phase_first_ts(spark, base):
+    rows = jobs.first_transitions(_event_log(events(spark, base)))
+    return rows.select("job_id", "slot", "phase", F.unix_millis("first_ts").alias("first_ms"), "elapsed_ms")
+
+
+def phase_state(spark, base):
+    return jobs.phase_states(_event_log(events(spark, base)))
+
+
+def debounce_last(spark, base):
+    return jobs.settled(_event_log(events(spark, base)), "job_id", 60_000).select("job_id", "event_id")
+
+
+def response_upsert(spark, base):
+    """The last delivered answer of each job and slot."""
+    rows = latest(response(spark, base), "response_id", "received_at")
+    return rows.groupBy("job_id", "slot").agg(F.max_by("response_id", F.struct("received_at", "response_id")).alias("response_id"))
+
+
+def slot_responses(spark, base):
+    """The answers of each job in the order of the slots, errors as values."""
+    rows = latest(response(spark, base), "response_id", "received_at").join(F.broadcast(slot_dim(spark, base).select("slot", "slot_ord")), "slot")
+    listed = rows.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("slot_ord", F.coalesce("error", F.lit("ok")).alias("state")))).alias("a"))  # one entry a slot
+    return listed.select("job_id", F.array_join(F.transform("a", lambda x: x["state"]), "|").alias("states"), F.size("a").alias("n_slots"))
+
+
+def model_labels(spark, base):
+    raw = F.concat("model_name", F.lit("-MLX-4bit-oQ4e"))
+    return response(spark, base).select("model_name").distinct().select("model_name", X.model_label(raw).alias("label"))
+
+
+def quiz_streaks(spark, base):
+    log = _event_log(events(spark, base)).withColumn("right", F.col("status") == "done")
+    return jobs.streaks(log, "job_id", ["ts", "event_id"], "right")
+
+
+def quiz_breakdown(spark, base):
+    log = _event_log(events(spark, base)).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "done").alias("n_right"))
+    return log.withColumn("tier", jobs.quiz_tier(F.col("n_right") / F.col("n")))
+
+
+def progress_stream(spark, base):
+    """The phase states by a streaming query over the event file, run to its end."""
+    raw = progress.read_events(spark, base, events(spark, base).schema, "events.parquet")
+    states = progress.latest_states(_event_log(raw))
+    folder = tempfile.mkdtemp(prefix="plumbline-stream-") if not spark.sparkContext.getConf().get("spark.checkpoint.dir") else os.path.join(spark.sparkContext.getConf().get("spark.checkpoint.dir"), f"stream-{os.urandom(6).hex()}")
+    out = os.path.join(folder, "states")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)  # complete mode: every batch holds all states
+
+    progress.snapshots(states, write, os.path.join(folder, "checkpoint"), "complete").awaitTermination()
+    return spark.read.parquet(out)
+
+
+_QUERIES = [
+    bias_score, slot_fanout, mock_responses, translation_routes, prompt_truncate, refusal_detect, refusal_rate_by_slot, parse_facts, fact_counts,
+    strip_html_documents, article_urls, token_frequencies, article_bigrams, paragraph_split, title_constraints, split_constraints, query_plans,
+    judge_parse, semantic_topk, article_candidates, relevance_scores, evidence_top3, evidence_prompts, accuracy_by_slot, bias_indicators,
+    slot_comparison, search_memo, job_summaries, next_job_id, job_table, recent_jobs, retention, queue_positions, restart_cleanup, events_by_slot,
+    phase_first_ts, phase_state, debounce_last, response_upsert, slot_responses, model_labels, quiz_streaks, quiz_breakdown, progress_stream,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements(JUDGE_ANSWERS, PLAN_ANSWERS, NOW)
