@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rank import first_n
-from ..functions.text import article_url, cjk_bigrams, has_cjk, shortened, trim_white, words
+from ..functions.text import article_url, cjk_bigrams, has_cjk, trim_white, words
 from .planning import constraint_words, primary_word, title_holds
 
 #: Hits of a search, longest extract, paragraphs of a fact and of an article, and boosts.
@@ -84,33 +84,61 @@ def candidates(article: DataFrame, k: int = TOP_K) -> DataFrame:
     return ranked.select(F.col("query_key").alias("article_id"), "lang", "cand_id", F.col("cand_title").alias("title"), "cand_rank", "is_constrained", is_entity.alias("is_entity"))
 
 
+def candidate_paragraphs(article: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The paragraphs of all candidates, keyed by ``article_id, lang, cand_rank, pos``."""
+    texts = paragraphs(article).withColumnRenamed("article_id", "cand_id").drop("title")
+    boost = F.when(F.col("is_entity"), ENTITY_BOOST).otherwise(1.0) * F.when(F.col("is_constrained"), TITLE_BOOST).otherwise(1.0)
+    return candidates(article, k).join(texts, ["cand_id", "lang"]).withColumn("boost", boost)
+
+
+def _tokens(words_: Column, pairs: Column) -> Column:
+    """Words and pairs of ideographs as one array with their kinds."""
+
+    def tagged(kind: str, array: Column) -> Column:
+        return F.transform(array, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
+
+    return F.concat(tagged("w", words_), tagged("b", pairs))
+
+
 def scored(facts: DataFrame, article: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Every relevant paragraph of each fact's candidates with its boosted score.
+    """``fact_key, article_id, lang, cand_rank, pos, score`` of every relevant paragraph of each fact's candidates.
 
-    The search runs once for each article instead of once for each fact; articles are a fixed table, so their paragraphs
-    are broadcast and the facts, however skewed, are never shuffled.
+    The same share as ``relevance``, as a join on tokens: the tokens of the facts meet the tokens of their candidates'
+    paragraphs, and the matches are summed by pair, combined before the shuffle. The search runs once for each article
+    instead of once for each fact. Articles are a fixed table, so their tokens are broadcast; the facts are never
+    shuffled by article, however skewed.
     """
-    texts = paragraphs(article).withColumnRenamed("article_id", "cand_id").drop("title")
-    found = candidates(article, k).join(texts, ["cand_id", "lang"])
+    none = F.array().cast("array<string>")
+    found = candidate_paragraphs(article, k)
+    at = ["article_id", "lang", "cand_rank", "pos"]
+    usable = found.select(*at, "boost", "p_cjk", F.size("p_words").alias("n_words"), F.size("p_pairs").alias("n_pairs"), F.explode(_tokens(F.col("p_words"), F.when(F.col("p_cjk"), F.col("p_pairs")).otherwise(none))).alias("t"))
+    enough = F.when(F.col("t.kind") == "w", F.col("n_words") >= 3).otherwise(F.col("n_pairs") >= 2)
+    held = usable.where(enough).groupBy(*at, "boost", "p_cjk", "t").agg(F.count(F.lit(1)).alias("times"))
     seen = facts.select("fact_key", "article_id", "lang", has_cjk(F.col("text")).alias("f_cjk"), F.array_distinct(words(F.col("text"))).alias("f_words"), cjk_bigrams(F.col("text")).alias("f_pairs"))
-    pairs = seen.join(F.broadcast(found), ["article_id", "lang"])
-    raw = relevance(*[F.col(c) for c in ("p_cjk", "p_words", "p_pairs", "f_cjk", "f_words", "f_pairs")])
-    boost = F.when(F.col("is_entity"), ENTITY_BOOST).otherwise(1.0)
-    limited = F.when(F.col("is_constrained"), TITLE_BOOST).otherwise(1.0)
-    out = pairs.withColumn("raw", raw).where(F.col("raw") > 0)
-    return out.select("fact_key", "lang", "title", "cand_rank", "pos", "text", (F.col("raw") * boost * limited).alias("score"))
+    asked = seen.select("fact_key", "article_id", "lang", "f_cjk", F.size("f_words").alias("n_w"), F.size("f_pairs").alias("n_b"), F.explode(_tokens(F.col("f_words"), F.when(F.col("f_cjk"), F.col("f_pairs")).otherwise(none))).alias("t"))
+    asked = asked.select("*", F.when(F.col("t.kind") == "w", F.col("n_w")).otherwise(F.col("n_b")).alias("n_tokens"))
+    met = asked.join(F.broadcast(held), ["article_id", "lang", "t"]).where((F.col("t.kind") == "b") == (F.col("f_cjk") & F.col("p_cjk")))
+    sums = met.groupBy("fact_key", *at, "boost", "n_tokens", F.col("t.kind").alias("kind")).agg(F.sum("times").alias("hits"))
+    share = sums.withColumn("share", F.col("hits") / F.col("n_tokens")).where((F.col("kind") == "w") | (F.col("share") * F.col("n_tokens") >= 1))
+    return share.select("fact_key", *at, (F.col("share") * F.col("boost")).alias("score"))
 
 
 def best(scored_: DataFrame, n: int = BEST, per_article: int = BEST_OF_ARTICLE) -> DataFrame:
     """The ``n`` best paragraphs of each fact, at most ``per_article`` of one article; ties by article and position."""
     order = [F.col("score").desc(), F.col("cand_rank"), F.col("pos")]
-    few = first_n(scored_, ["fact_key", "title"], order, per_article)
+    few = first_n(scored_, ["fact_key", "cand_rank"], order, per_article)
     window = Window.partitionBy("fact_key").orderBy(*order)
     return few.withColumn("evidence_no", F.row_number().over(window)).where(F.col("evidence_no") <= n)
 
 
+def with_texts(best_: DataFrame, article: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The best paragraphs with the title and text of each (the articles are a fixed table and broadcast)."""
+    texts = candidate_paragraphs(article, k).select("article_id", "lang", "cand_rank", "pos", "title", "text")
+    return best_.join(F.broadcast(texts), ["article_id", "lang", "cand_rank", "pos"])
+
+
 def items(best_: DataFrame) -> DataFrame:
-    """Evidence items: snippet, address and whole paragraph."""
+    """Evidence items of ``with_texts``: snippet, address and whole paragraph."""
     return best_.select("fact_key", "evidence_no", "title", F.substring("text", 1, 250).alias("snippet"), article_url(F.col("title"), F.col("lang")).alias("url"), F.col("text").alias("extract"), "score")
 
 
@@ -123,4 +151,4 @@ def prompts(items_: DataFrame, facts: DataFrame) -> DataFrame:
     return facts.select("fact_key", "text").join(listed, "fact_key", "left").select("fact_key", F.concat(head, "text", F.lit('"\n\nEvidence:\n'), body).alias("prompt"))
 
 
-__all__ = ["best", "candidates", "items", "neighbours", "paragraphs", "prompts", "relevance", "scored", "shortened"]
+__all__ = ["best", "candidate_paragraphs", "candidates", "items", "neighbours", "paragraphs", "prompts", "relevance", "scored", "with_texts"]

@@ -177,12 +177,13 @@ def relevance_scores(spark, base):
 
 
 def evidence_top3(spark, base):
-    return evidence.best(_scored(spark, base)).select("fact_key", "evidence_no", "title", "pos", F.round("score", 6).alias("score"))
+    return evidence.with_texts(evidence.best(_scored(spark, base)), article(spark, base)).select("fact_key", "evidence_no", "title", "pos", F.round("score", 6).alias("score"))
 
 
 def evidence_prompts(spark, base):
     known = pipeline.facts(fact(spark, base))
-    made = evidence.prompts(evidence.items(evidence.best(evidence.scored(known, article(spark, base)))), known)
+    top = evidence.with_texts(evidence.best(evidence.scored(known, article(spark, base))), article(spark, base))
+    made = evidence.prompts(evidence.items(top), known)
     return made.select("fact_key", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
