@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rank import first_n
 from .common import once_per_key
 from .lookalike import consistent
 
@@ -203,10 +204,11 @@ class Profiles:
 
 def fit(samples: DataFrame, lang: str = "lang", text: str = "text", order: str = "sample_id") -> Profiles:
     """Profiles from at most ``SAMPLE_ROWS`` labelled rows per language (those with the smallest ``order``)."""
-    ranked = samples.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(lang).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct(order, text))), 1, SAMPLE_ROWS).alias("rows")
-    )
-    return Profiles({r[lang]: [x[text] for x in r["rows"]] for r in ranked.collect()})
+    known = samples.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, order, text)
+    rows: dict[str, list[str]] = {}
+    for r in first_n(known, [lang], [F.col(order), F.col(text)], SAMPLE_ROWS).orderBy(lang, order, text).collect():
+        rows.setdefault(r[lang], []).append(r[text])
+    return Profiles(rows)
 
 
 _SEGMENTS = T.ArrayType(
