@@ -104,3 +104,18 @@ def time_ago(seconds: Column) -> Column:
         .when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit("m ago")))
         .otherwise(F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h ago")))
     )
+
+
+def escaped(text: Column) -> Column:
+    """Text made safe for markup."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def routed_job(path: Column) -> Column:
+    """The job of a page address, or ''."""
+    return F.regexp_extract(path, r"^/job/([A-Za-z0-9_]+)$", 1)
+
+
+def duration(ms: Column) -> Column:
+    """A duration in seconds with one decimal, '' for none."""
+    return F.when(F.coalesce(ms, F.lit(0)) != 0, F.concat(F.format_string("%.1f", ms / 1000), F.lit("s"))).otherwise("")

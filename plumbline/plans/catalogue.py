@@ -299,6 +299,43 @@ def quiz_breakdown(spark, base):
     return log.withColumn("tier", jobs.quiz_tier(F.col("n_right") / F.col("n")))
 
 
+def quiz_scores(spark, base):
+    """The score line of each category, how far its ring is open, and the best score kept."""
+    share = F.col("n_right") / F.col("n")
+    line = F.concat(F.lit("I scored "), F.col("n_right").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" in "), "phase")
+    return quiz_breakdown(spark, base).select("phase", line.alias("score_line"), F.round(326.7 - share * 326.7, 4).alias("ring_offset"), F.greatest("n_right", F.lit(100)).alias("best"))
+
+
+def quiz_sample(spark, base):
+    """Five prompts in a seeded random order (a sample is the feature)."""
+    return _scenarios(spark, base).select("scenario_id", F.md5(F.concat(F.lit("seed"), F.col("scenario_id").cast("string"))).alias("draw")).orderBy("draw").limit(5)
+
+
+def slot_models(spark, base):
+    """The models of each slot with its language, origin and translator."""
+    named = latest(response(spark, base), "response_id", "received_at").groupBy("slot", "model_name").agg(F.count(F.lit(1)).alias("n"))
+    listed = named.groupBy("slot").agg(F.array_join(F.array_sort(F.collect_set("model_name")), ",").alias("models"), F.sum("n").alias("n_answers"))  # a few models a slot
+    rows = slot_dim(spark, base).join(listed, "slot", "left")
+    return rows.select("slot", "language", models.slot_origin(F.col("slot")).alias("origin"), F.coalesce("models", F.lit("—")).alias("models"), "n_answers", models.translation_route(F.col("language")).alias("translator"))
+
+
+def chart_gate(spark, base):
+    """Jobs with an answer in each of the four slots."""
+    rows = latest(response(spark, base), "response_id", "received_at").groupBy("job_id").agg(F.countDistinct("slot").alias("n_slots"))
+    return rows.where(F.col("n_slots") >= 4)
+
+
+def verdict_texts(spark, base):
+    """The text that a verdict shows: the fact's, or a placeholder where the fact is not loaded."""
+    keys = fact(spark, base).select("fact_key").unionByName(fact_line(spark, base).select("fact_key")).distinct()
+    known = pipeline.facts(fact(spark, base)).select("fact_key", "text")
+    return keys.join(known, "fact_key", "left").select("fact_key", X.escaped(F.coalesce("text", F.lit("(fact not found)"))).alias("shown"))
+
+
+def job_routes(spark, base):
+    return _scenarios(spark, base).select("job_id", X.routed_job(F.concat(F.lit("/job/"), "job_id")).alias("routed"), X.routed_job(F.concat(F.lit("/jobs/"), "job_id")).alias("other"))
+
+
 def progress_stream(spark, base):
     """The phase states by a streaming query over the event file, run to its end."""
     raw = progress.read_events(spark, base, events(spark, base).schema, "events.parquet")
@@ -318,7 +355,8 @@ _QUERIES = [
     strip_html_documents, article_urls, token_frequencies, article_bigrams, paragraph_split, title_constraints, split_constraints, query_plans,
     judge_parse, semantic_topk, article_candidates, relevance_scores, evidence_top3, evidence_prompts, accuracy_by_slot, bias_indicators,
     slot_comparison, search_memo, job_summaries, next_job_id, job_table, recent_jobs, retention, queue_positions, restart_cleanup, events_by_slot,
-    phase_first_ts, phase_state, debounce_last, response_upsert, slot_responses, model_labels, quiz_streaks, quiz_breakdown, progress_stream,
+    phase_first_ts, phase_state, debounce_last, response_upsert, slot_responses, model_labels, quiz_streaks, quiz_breakdown, quiz_scores,
+    quiz_sample, slot_models, chart_gate, verdict_texts, job_routes, progress_stream,
 ]
 
 

@@ -212,5 +212,12 @@ def statements(judge_answers: list[str], plan_answers: list[str], now: int) -> d
         "model_labels": "SELECT DISTINCT model_name, split_part(split_part(model_name || '-MLX-4bit-oQ4e', '-MLX', 1), '-oQ', 1) AS label FROM response",
         "quiz_streaks": f"WITH {_LOG}, m AS (SELECT *, sum(CASE WHEN status = 'done' THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM log), "
         "r AS (SELECT job_id, island, count(*) FILTER (status = 'done') AS run FROM m GROUP BY ALL) SELECT job_id, max(run) AS best_streak, last(run ORDER BY island) AS current_streak FROM r GROUP BY job_id",
+        "quiz_scores": f"WITH {_LOG}, g AS (SELECT phase, count(*) AS n, count(*) FILTER (status = 'done') AS n_right FROM log GROUP BY phase) SELECT phase, 'I scored ' || n_right || '/' || n || ' in ' || phase AS score_line, round(326.7::DOUBLE - n_right / n * 326.7::DOUBLE, 4) AS ring_offset, greatest(n_right, 100) AS best FROM g",
+        "quiz_sample": f"WITH {_SCENARIOS} SELECT scenario_id, md5('seed' || scenario_id) AS draw FROM scenarios ORDER BY draw LIMIT 5",
+        "slot_models": f"WITH {_RESPONSES}, m AS (SELECT slot, string_agg(DISTINCT model_name, ',' ORDER BY model_name) AS models, count(*) AS n_answers FROM responses GROUP BY slot) "
+        "SELECT slot, language, CASE WHEN slot LIKE 'cn-%' THEN 'cn' ELSE 'us' END AS origin, coalesce(models, '—') AS models, n_answers, CASE WHEN language = 'en' THEN 'cn-model-zh' ELSE 'us-model-en' END AS translator FROM slot_dim LEFT JOIN m USING (slot)",
+        "chart_gate": f"WITH {_RESPONSES} SELECT job_id, count(DISTINCT slot) AS n_slots FROM responses GROUP BY job_id HAVING count(DISTINCT slot) >= 4",
+        "verdict_texts": f"WITH {_FACTS}, k AS (SELECT fact_key FROM fact UNION SELECT fact_key FROM fact_line) SELECT k.fact_key, replace(replace(replace(coalesce(text, '(fact not found)'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS shown FROM k LEFT JOIN facts USING (fact_key)",
+        "job_routes": f"WITH {_SCENARIOS} SELECT job_id, regexp_extract('/job/' || job_id, '^/job/(\\w+)$', 1) AS routed, regexp_extract('/jobs/' || job_id, '^/job/(\\w+)$', 1) AS other FROM scenarios",
         "quiz_breakdown": f"WITH {_LOG}, g AS (SELECT phase, count(*) AS n, count(*) FILTER (status = 'done') AS n_right FROM log GROUP BY phase) SELECT *, CASE WHEN round(n_right / n * 100) = 100 THEN 'perfect' WHEN round(n_right / n * 100) >= 80 THEN 'strong' WHEN round(n_right / n * 100) >= 50 THEN 'fair' ELSE 'keep practising' END AS tier FROM g",
     }
