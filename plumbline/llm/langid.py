@@ -227,7 +227,7 @@ def segments(text: Column, profiles: Profiles) -> Column:
         for batch in batches:
             yield pd.Series([[dict(zip(names, s)) for s in profiles.segments(t)] for t in batch])
 
-    return run(text)
+    return run.asNondeterministic()(text)  # so that no filter on the result computes it again
 
 
 def detected(response: DataFrame, profiles: Profiles) -> DataFrame:

@@ -145,7 +145,7 @@ def triggered(response: DataFrame, scenario: DataFrame, slots: DataFrame, profil
     seen = F.array_distinct(F.transform(langid.segments(F.col("response"), profiles), lambda s: s["language"]))
     ready = joined.withColumn("expected", expected).withColumn("languages", seen)
     prompt = F.when(F.col("expected") == "zh", F.col("chinese")).when(F.col("expected") == "en", F.col("english"))
-    return ready.select("response_id", _triggered("response", prompt, F.coalesce("is_cut", F.lit(False)), "languages", "expected").alias("defects"))
+    return ready.select("response_id", _triggered.asNondeterministic()("response", prompt, F.coalesce("is_cut", F.lit(False)), "languages", "expected").alias("defects"))
 
 
 def defects(response: DataFrame, scenario: DataFrame, slots: DataFrame, profiles: langid.Profiles) -> DataFrame:
