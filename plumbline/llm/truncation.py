@@ -20,7 +20,8 @@ summed by 64-bit hashes.
 Replacement characters at the end, brackets and quotations left open, and a closing comma or dash count as cut at once.
 
 Defined cases: null, empty and blank values, and values without a word, are never cut. A key delivered again counts
-once. Statistics are taken over all rows of the column, each key once. Extra columns are ignored; empty tables give
+once. Statistics are taken over the distinct texts of the column (case, look-alikes and spacing aside), so copies of a text
+neither vouch for each other nor differ in their verdict. Extra columns are ignored; empty tables give
 empty results (rates: no rows).
 """
 
@@ -46,6 +47,8 @@ from .lookalike import skeleton
 #: Lengths of closing sequences, and how often one must occur elsewhere to be believed.
 LENGTHS = (6, 4, 3, 2, 1)
 SUPPORT = 5
+#: Share of the open-ended texts of a column that must end in a word seen nowhere else before it counts as a word.
+OPEN_SHARE = 0.01
 #: Min-hash: 8 bands of 4 rows find pairs of similarity 0.8 with a chance of 0.985.
 BANDS, ROWS_A_BAND = 8, 4
 SHINGLE = 5
@@ -161,12 +164,9 @@ def contexts(words: tuple[str, ...], end: str, field: str, n: int, into: Counter
     into[_hash("", _start(list(words))), end] += n
 
 
-def look(text: str | None) -> tuple[str, list[tuple[list[str], str]]]:
-    """A first verdict and the sentences. Verdicts: ``none`` (no word), ``cut``, ``whole``, or ``ask-bare`` and
-    ``ask-mark`` where the statistics decide."""
-    if text is None or not _HAS_WORD.search(text):
-        return "none", []
-    body = plain(text)
+def look(body: str) -> tuple[str, list[tuple[list[str], str]]]:
+    """A first verdict on a plain text and its sentences. Verdicts: ``cut``, ``whole``, or ``ask-bare`` and ``ask-mark``
+    where the statistics decide."""
     parts = lines_of(tokens(body))
     if body.endswith("�") or _ESCAPE.search(body):
         return "cut", parts
@@ -193,10 +193,11 @@ def look(text: str | None) -> tuple[str, list[tuple[list[str], str]]]:
     return "ask-bare", parts
 
 
-def decide(verdict: str, stats: list[tuple[int, int, int] | None], start: tuple[int, int, int] | None, within: tuple[int, int, int] | None, fragment: bool, sentences: int) -> bool:
-    """Whether a value is cut. ``stats`` holds (mid, mark, bare) of its closing sequences, the longest first, ``start``
+def decide(verdict: str, stats: list[tuple[int, int, int] | None], start: tuple[int, int, int] | None, within: tuple[int, int, int] | None, fragment: bool, sentences: int, open_texts: int) -> bool:
+    """Whether a text is cut. ``stats`` holds (mid, mark, bare) of its closing sequences, the longest first, ``start``
     that of its last sentence's first words and ``within`` that of its closing words in sentences with these first
-    words; the value's own end is still counted in them."""
+    words; the text's own end is still counted in them, once. ``open_texts`` is the number of texts of the column that
+    end without a mark."""
     own = (0, 1, 0) if verdict == "ask-mark" else (0, 0, 1)
     less = [None if s is None else tuple(max(0, a - b) for a, b in zip(s, own)) for s in stats]
     known = next((s for s in less if s is not None and sum(s) >= SUPPORT), None)
@@ -211,7 +212,7 @@ def decide(verdict: str, stats: list[tuple[int, int, int] | None], start: tuple[
     word = less[-1] or (0, 0, 0)
     if titles:
         return fragment and word[0] + word[1] == 0 and word[2] < 0.05 * begun[2]
-    if fragment and word[0] + word[1] == 0 and (begun[1] > 3 * begun[2] or word[2] < SUPPORT):
+    if fragment and word[0] + word[1] == 0 and (begun[1] > 3 * begun[2] or word[2] < max(SUPPORT, OPEN_SHARE * open_texts)):
         return True
     if known is not None:
         if known[1] or known[2] >= SUPPORT and known[2] > known[0]:
@@ -219,7 +220,8 @@ def decide(verdict: str, stats: list[tuple[int, int, int] | None], start: tuple[
     return begun[1] > 3 * begun[2] and begun[1] >= SUPPORT or sentences > 1 and begun[2] < SUPPORT
 
 
-_ENDS = "field string, key bigint, verdict string, closing array<bigint>, fragment boolean, sentences int, norm string, buckets array<bigint>"
+_PLAIN = "field string, key bigint, body string"
+_ENDS = "field string, id binary, verdict string, closing array<bigint>, fragment boolean, sentences int, norm string, buckets array<bigint>"
 _SEED = np.random.default_rng(7)
 _MUL = _SEED.integers(1, 1 << 62, BANDS * ROWS_A_BAND, dtype=np.uint64) | np.uint64(1)
 _ADD = _SEED.integers(0, 1 << 62, BANDS * ROWS_A_BAND, dtype=np.uint64)
@@ -237,24 +239,29 @@ def buckets(words: list[str]) -> list[int]:
     return [_hash(head, f"{b} {low[b * ROWS_A_BAND : (b + 1) * ROWS_A_BAND].tobytes().hex()}") for b in range(BANDS)]
 
 
+def _plain_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The plain form of each value; null without a word."""
+    for batch in batches:
+        body = [plain(t) if t is not None and _HAS_WORD.search(t) else None for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body, pa.string())], names=["field", "key", "body"])
+
+
 def _ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
-        [("field", pa.string()), ("key", pa.int64()), ("verdict", pa.string()), ("closing", pa.list_(pa.int64())), ("fragment", pa.bool_()), ("sentences", pa.int32()), ("norm", pa.string()), ("buckets", pa.list_(pa.int64()))]
+        [("field", pa.string()), ("id", pa.binary()), ("verdict", pa.string()), ("closing", pa.list_(pa.int64())), ("fragment", pa.bool_()), ("sentences", pa.int32()), ("norm", pa.string()), ("buckets", pa.list_(pa.int64()))]
     )
     for batch in batches:
         rows = []
-        for field, key, text in zip(*(c.to_pylist() for c in batch.columns[:3])):
-            verdict, parts = look(text)
-            closing, fragment, norm, own = [], False, None, []
+        for field, key, body in zip(*(c.to_pylist() for c in batch.columns[:3])):
+            verdict, parts = look(body)
+            closing, fragment = [], False
             if verdict.startswith("ask"):
                 words = parts[-1][0] if parts else []
                 closing = [_hash(field, " ".join(words[-k:])) if len(words) >= k else None for k in LENGTHS]
                 closing += [_hash("", _start(words)), _hash("", _within(words, len(words)))] if words else []
                 fragment = bool(words) and len(words[-1]) > 1 and words[-1].isalpha() or bool(words) and bool(re.fullmatch("[a-zа-я]", words[-1]))
-            if verdict != "none":
-                norm = plain(text).lower()
-                own = buckets([m[0] for m in _TOKEN.finditer(norm) if m[0].isalnum()])
-            rows.append((field, key, verdict, closing, fragment, len(parts), norm, own))
+            norm = body.lower()
+            rows.append((field, key, verdict, closing, fragment, len(parts), norm, buckets([m[0] for m in _TOKEN.finditer(norm) if m[0].isalnum()])))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
@@ -273,10 +280,8 @@ def _contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=["h", "mid", "mark", "bare"])
 
     for batch in batches:
-        for field, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            if text is None:
-                continue
-            for words, end in lines_of(tokens(plain(text))):
+        for field, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for words, end in lines_of(tokens(body)):
                 seen[field, tuple(words), end] += 1
             if len(seen) >= COMBINE:
                 yield flush()
@@ -285,41 +290,43 @@ def _contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _early_ends(ends: DataFrame) -> DataFrame:
-    """``field, norm`` of open-ended texts that a longer copy continues."""
-    placed = ends.where("norm is not null").select("field", "norm", F.col("verdict").isin("ask-bare", "cut").alias("open"), F.explode("buckets").alias("bucket"))
-    hashed = placed.select("field", "bucket", "open", F.xxhash64("norm").alias("h"))
-    live = hashed.groupBy("field", "bucket").agg(F.max("open").alias("open"), F.min("h").alias("low"), F.max("h").alias("high"))
-    live = live.where(F.col("open") & (F.col("low") != F.col("high"))).select("field", "bucket")
-    members = placed.join(live, ["field", "bucket"]).groupBy("field", "bucket", "norm").agg(F.max("open").alias("open"))
+    """``field, id`` of open-ended texts that a longer copy continues."""
+    placed = ends.select("field", "id", "norm", F.col("verdict").isin("ask-bare", "cut").alias("open"), F.explode("buckets").alias("bucket"))
+    live = placed.groupBy("field", "bucket").agg(F.max("open").alias("open"), F.count(F.lit(1)).alias("n"))
+    live = live.where(F.col("open") & (F.col("n") > 1)).select("field", "bucket")
+    members = placed.join(live, ["field", "bucket"])
     following = F.lead("norm").over(Window.partitionBy("field", "bucket").orderBy("norm"))
     aligned = members.withColumn("longer", following).where(F.col("open") & F.col("longer").isNotNull() & F.expr("startswith(longer, norm)"))
     rest = F.expr("substring(longer, length(norm) + 1)")
-    return aligned.where(rest.rlike(r"^[^\n.!?。！？…।]*[\p{L}\p{N}]")).select("field", "norm").distinct()
+    return aligned.where(rest.rlike(r"^[^\n.!?。！？…।]*[\p{L}\p{N}]")).select("field", "id").distinct()
 
 
 @F.pandas_udf(T.BooleanType())
-def _decided(verdict: pd.Series, met: pd.Series, fragment: pd.Series, sentences: pd.Series) -> pd.Series:
-    def one(v, found, f, n):
+def _decided(verdict: pd.Series, met: pd.Series, fragment: pd.Series, sentences: pd.Series, open_texts: pd.Series) -> pd.Series:
+    def one(v, found, f, n, among):
         by_rank = {s["rank"]: (s["mid"], s["mark"], s["bare"]) for s in (() if found is None else found)}
-        return decide(v, [by_rank.get(i) for i in range(len(LENGTHS))], by_rank.get(len(LENGTHS)), by_rank.get(len(LENGTHS) + 1), f, n)
+        return decide(v, [by_rank.get(i) for i in range(len(LENGTHS))], by_rank.get(len(LENGTHS)), by_rank.get(len(LENGTHS) + 1), f, n, among)
 
-    return pd.Series([one(*x) for x in zip(verdict, met, fragment, sentences)], dtype=bool)
+    return pd.Series([one(*x) for x in zip(verdict, met, fragment, sentences, open_texts)], dtype=bool)
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """``field, key, is_cut`` of all values (``field, key, value``, each key once)."""
-    ends = materialise(rows.select("field", "key", "value").mapInArrow(_ends_of, _ENDS))  # read five times below
-    stats = rows.select("field", "key", "value").mapInArrow(_contexts_of, "h bigint, mid bigint, mark bigint, bare bigint")
+    read = materialise(rows.select("field", "key", "value").mapInArrow(_plain_of, _PLAIN)).withColumn("id", F.unhex(F.md5(F.lower("body"))))
+    texts = materialise(read.where("body is not null").groupBy("field", "id").agg(F.min("body").alias("body")))
+    ends = materialise(texts.mapInArrow(_ends_of, _ENDS))  # read six times below
+    stats = texts.mapInArrow(_contexts_of, "h bigint, mid bigint, mark bigint, bare bigint")
     stats = stats.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("mid", "mark", "bare")])
     asked = ends.where(F.col("verdict").startswith("ask"))
-    wanted = asked.select("field", "key", F.posexplode("closing").alias("rank", "h")).where("h is not null")
-    met = wanted.join(stats, "h").groupBy("field", "key").agg(F.collect_list(F.struct("rank", "mid", "mark", "bare")).alias("met"))  # at most 7 a value
-    asked = asked.join(met, ["field", "key"], "left")
-    by_words = asked.select("field", "key", "norm", _decided.asNondeterministic()("verdict", "met", "fragment", "sentences").alias("by_words"))
-    sure = ends.where(~F.col("verdict").startswith("ask")).select("field", "key", "norm", (F.col("verdict") == "cut").alias("by_words"))
+    wanted = asked.select("field", "id", F.posexplode("closing").alias("rank", "h")).where("h is not null")
+    met = wanted.join(stats, "h").groupBy("field", "id").agg(F.collect_list(F.struct("rank", "mid", "mark", "bare")).alias("met"))  # at most 7 a text
+    among = F.broadcast(asked.groupBy("field").agg(F.count_if(F.col("verdict") == "ask-bare").alias("open_texts")))  # a row a column
+    asked = asked.join(met, ["field", "id"], "left").join(among, "field")
+    by_words = asked.select("field", "id", _decided.asNondeterministic()("verdict", "met", "fragment", "sentences", "open_texts").alias("by_words"))
+    sure = ends.where(~F.col("verdict").startswith("ask")).select("field", "id", (F.col("verdict") == "cut").alias("by_words"))
     early = _early_ends(ends).withColumn("by_copy", F.lit(True))
-    both = by_words.unionByName(sure).join(early, ["field", "norm"], "left")
-    return both.select("field", "key", (F.col("by_words") | F.coalesce("by_copy", F.lit(False))).alias("is_cut"))
+    cut = by_words.unionByName(sure).join(early, ["field", "id"], "left").where(F.col("by_words") | F.col("by_copy")).select("field", "id", F.lit(True).alias("cut"))
+    return read.join(cut, ["field", "id"], "left").select("field", "key", F.coalesce("cut", F.lit(False)).alias("is_cut"))
 
 
 def values(response: DataFrame, scenario: DataFrame) -> DataFrame:

@@ -133,3 +133,16 @@ def test_pairs(spark, profiles):
     got = {r.response_id: r.defect for r in pairs.defects(spark.createDataFrame(rows, RESPONSE), scenario, slots, profiles).collect()}
     assert got == {i: d for i, (_, _, d) in enumerate(cases) if d}
     assert pairs.defects(spark.createDataFrame([], RESPONSE), scenario, slots, profiles).count() == 0
+
+
+def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark):
+    for n in (1, 6, 40):
+        texts = corpus() + [CUT[0]] * n + [CUT[0].upper()]
+        rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "field string, key long, value string")
+        assert {r.row_key for r in truncation.cut_values(rows).collect()} == set(range(len(corpus()), len(texts)))
+
+
+def test_a_fragment_is_one_at_any_size():
+    for n in (1, 10, 100):  # the same shares in a small, a middle and a large corpus
+        met = [None, None, None, None, (0, 0, n)]
+        assert truncation.decide("ask-bare", met, (0, 90 * n, 40 * n), None, True, 1, 400 * n)
