@@ -3,10 +3,12 @@
 Method, in two steps whose findings are joined.
 
 *Near-copies.* Values are cut into shingles of five words (characters in scripts without spaces); min-hash banding brings
-near-copies (similarity 0.8 and more) into buckets, which are divided further by a hash of the first words, as a cut
-copy begins like its whole. Within a bucket the distinct texts are sorted; all texts that begin with a text follow
-it immediately, so comparing each text with its successor aligns it with a longer copy whenever the bucket holds one.
-A text whose alignment ends within a word or sentence of the longer copy is cut. No pairs are emitted; buckets
+near-copies (similarity 0.8 and more) into buckets. Within a bucket every text is aligned, word by word, with each
+text that ends without a mark: the closing words must be met again (the last one perhaps as the beginning of a longer
+word), and the words before them may differ by one edit (a word put in, left out or replaced; marks don't count) in
+ten. A text whose alignment ends within a word or sentence of an equal longer copy is cut; one whose longer copies differ
+in some word is cut if three times as many distinct near-copies go on there as end there, since texts of one pattern
+may be near-copies too. No pairs are emitted; a bucket's open ends are held while its texts stream by, and buckets
 without an open end or with one text only are dropped before any text is shuffled.
 
 *Closing words.* For values without such a copy the terminality of their closing words is scored. For every sequence of
@@ -52,7 +54,9 @@ OPEN_SHARE = 0.01
 #: Min-hash: 8 bands of 4 rows find pairs of similarity 0.8 with a chance of 0.985.
 BANDS, ROWS_A_BAND = 8, 4
 SHINGLE = 5
-HEAD = 8
+#: Words before the last one that an alignment must meet again, and words for each edit before them.
+ANCHOR = 3
+WORDS_AN_EDIT = 10
 #: Distinct sentences that a task combines before it passes their counts on.
 COMBINE = 50_000
 
@@ -68,6 +72,7 @@ _LEADING = re.compile(
 )
 #: An escape or entity that stops within itself.
 _ESCAPE = re.compile(r"\\(?:[uU][0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|&(?:#\w{0,6}|[alg]|am|amp|lt|gt|q|qu|quo|quot|n|nb|nbs|nbsp)$")
+_GOES_ON = re.compile(r"[^\n.!?。！？…।]*[^\W_]")
 _CLOSERS = "\"'”’»」』)）]】》〉*_"
 _STRONG = "!?。！？…।"
 _OPEN = {"(": ")", "（": "）", "“": "”", "「": "」", "『": "』", "《": "》", "【": "】", "«": "»"}
@@ -228,15 +233,14 @@ _ADD = _SEED.integers(0, 1 << 62, BANDS * ROWS_A_BAND, dtype=np.uint64)
 
 
 def buckets(words: list[str]) -> list[int]:
-    """The bucket of each band: band, its min-hashes and the first words."""
+    """The bucket of each band: band and its min-hashes."""
     if not words:
         return []
     grams = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
     h = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
     with np.errstate(over="ignore"):
         low = (h[:, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0)
-    head = " ".join(words[:HEAD])
-    return [_hash(head, f"{b} {low[b * ROWS_A_BAND : (b + 1) * ROWS_A_BAND].tobytes().hex()}") for b in range(BANDS)]
+    return [_hash("", f"{b} {low[b * ROWS_A_BAND : (b + 1) * ROWS_A_BAND].tobytes().hex()}") for b in range(BANDS)]
 
 
 def _plain_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,16 +293,97 @@ def _contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _words_at(norm: str) -> tuple[list[str], list[int]]:
+    """The words of a text and where each ends."""
+    found = [(m[0], m.end()) for m in _TOKEN.finditer(norm) if m[0].isalnum() or m[0][0].isalnum()]
+    return [w for w, _ in found], [e for _, e in found]
+
+
+def edits(a: list[str], b: list[str], most: int) -> int:
+    """The edits (insert, delete, replace) between two lists of words; ``most + 1`` where there are more than ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    i = 0
+    while i < len(a) and i < len(b) and a[i] == b[i]:
+        i += 1
+    j, k = len(a), len(b)
+    while j > i and k > i and a[j - 1] == b[k - 1]:
+        j, k = j - 1, k - 1
+    a, b = a[i:j], b[i:k]
+    if not a or not b or len(a) == len(b) == 1:
+        return max(len(a), len(b))
+    row = list(range(len(b) + 1))
+    for n, x in enumerate(a, 1):
+        last, row[0] = row[0], n
+        for m, y in enumerate(b, 1):
+            last, row[m] = row[m], min(row[m] + 1, row[m - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return most + 1
+    return min(row[-1], most + 1)
+
+
+def goes_on(norm: str, end: int, word: str, last: str) -> bool:
+    """Whether a text goes on within the word or sentence, where ``word`` ends at ``end`` and the copy ends with ``last``."""
+    return word != last or bool(_GOES_ON.match(norm, end))
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``field, id`` of the open-ended texts that longer near-copies continue; rows come by bucket, open ends first."""
+    now = None
+    opened: list[list] = []  # [id, words, edits allowed, goes on, ends, is cut] of the bucket's open ends
+    by_anchor: dict[tuple[str, ...], list[list]] = {}
+    waiting: list[tuple[bytes, str]] = []
+
+    def meet(key: bytes, norm: str) -> None:
+        words, at = _words_at(norm)
+        for i, word in enumerate(words):
+            for one in by_anchor.get(tuple(words[max(0, i - ANCHOR) : i]), ()):
+                last = one[1][-1]
+                if one[5] or one[0] == key or not word.startswith(last):
+                    continue
+                n = edits(one[1][:-1], words[:i], one[2])
+                if n > one[2]:
+                    continue
+                on = goes_on(norm, at[i], word, last)
+                one[5] = on and n == 0
+                one[3 if on else 4] += 1
+
+    def settle() -> Iterator[tuple[str, bytes]]:
+        for key, norm in waiting:
+            meet(key, norm)
+        for one in opened:
+            if one[5] or one[3] > 3 * one[4]:
+                yield now[0], one[0]
+        opened.clear(), by_anchor.clear(), waiting.clear()
+
+    def emit(found: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([i for _, i in found], pa.binary())], names=["field", "id"])
+
+    for batch in batches:
+        found: list[tuple[str, bytes]] = []
+        for field, key, norm, is_open, bucket in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "norm", "open", "bucket"))):
+            if now != (field, bucket):
+                found += settle()
+                now = field, bucket
+            if not is_open:
+                meet(key, norm)
+                continue
+            words = _words_at(norm)[0]
+            one = [key, words, max(1, len(words) // WORDS_AN_EDIT), 0, 0, False]
+            opened.append(one)
+            by_anchor.setdefault(tuple(words[:-1][-ANCHOR:]), []).append(one)
+            waiting.append((key, norm))  # open ends may continue one another
+        yield emit(found)
+    yield emit(list(settle()))
+
+
 def _early_ends(ends: DataFrame) -> DataFrame:
     """``field, id`` of open-ended texts that a longer copy continues."""
-    placed = ends.select("field", "id", "norm", F.col("verdict").isin("ask-bare", "cut").alias("open"), F.explode("buckets").alias("bucket"))
+    placed = ends.select("field", "id", "norm", (F.col("verdict") == "ask-bare").alias("open"), F.explode("buckets").alias("bucket"))
     live = placed.groupBy("field", "bucket").agg(F.max("open").alias("open"), F.count(F.lit(1)).alias("n"))
     live = live.where(F.col("open") & (F.col("n") > 1)).select("field", "bucket")
-    members = placed.join(live, ["field", "bucket"])
-    following = F.lead("norm").over(Window.partitionBy("field", "bucket").orderBy("norm"))
-    aligned = members.withColumn("longer", following).where(F.col("open") & F.col("longer").isNotNull() & F.expr("startswith(longer, norm)"))
-    rest = F.expr("substring(longer, length(norm) + 1)")
-    return aligned.where(rest.rlike(r"^[^\n.!?。！？…।]*[\p{L}\p{N}]")).select("field", "id").distinct()
+    members = placed.join(live, ["field", "bucket"]).repartition("field", "bucket").sortWithinPartitions("field", "bucket", F.desc("open"), "id")
+    return members.mapInArrow(_aligned, "field string, id binary").distinct()
 
 
 @F.pandas_udf(T.BooleanType())

@@ -146,3 +146,15 @@ def test_a_fragment_is_one_at_any_size():
     for n in (1, 10, 100):  # the same shares in a small, a middle and a large corpus
         met = [None, None, None, None, (0, 0, n)]
         assert truncation.decide("ask-bare", met, (0, 90 * n, 40 * n), None, True, 1, 400 * n)
+
+
+def test_cut_copy_that_differs_before_its_end(spark):
+    whole = "the old harbour office kept a long list of vessels and of their masters which the clerks of the new council copied again and again until nobody knew whose hand had written the first page or why the last entries named a quay that had never stood in the town of Lozedevesi"
+    cut = whole[:-4].replace("old harbour", "former harbour")
+    short = "A note on the salt tax of the upper valley and its long decline"
+    others = [f"{short}.\nIt was written late.", f"{short}. It was", f"{short} before the war"]
+    assert truncation.edits("a b c d".split(), "a x c".split(), 3) == 2 and truncation.edits(list("abcd"), list("wxyz"), 2) == 3
+    for extra, want in (([whole, cut], {1}), ([whole, cut[:-6] + "Korite"], set()), ([short, *others], {0})):
+        rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(extra)], "field string, key long, value string")
+        ends = truncation.judged(rows)
+        assert {r.key for r in ends.where("is_cut").collect()} & {0, 1} == want
