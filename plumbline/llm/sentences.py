@@ -11,7 +11,8 @@ unit each, whatever they hold; in all other blocks the tables decide. Positions
 candidates, unless the quotation ends there and a new sentence visibly begins.
 
 A text whose Latin or Cyrillic letters are all in lower case takes the same tables plus one that lets lower-case letters
-begin a sentence. Languages are not read from labels; the scripts of the whole text choose the tables.
+begin a sentence. Languages are not read from labels; the scripts of the whole text choose the tables, and its commonest
+function words the abbreviations among their rules.
 
 Each text is one pass in Arrow batches without any shuffle; offsets count code points.
 
@@ -30,13 +31,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Abbreviations that always lead on to something, by language, as alternatives of a pattern (lower case).
+# Abbreviations that always lead on to something, by language, as alternatives of a pattern (lower case);
+# those of citations stand in texts of any language.
+CITING = r"fig|figs|u\.\s?s|pat|pats|appl|dr|prof|cf|vs|e\.\s?g|i\.\s?e|et\s+al"
 LEADING = {
-    "en": r"fig|figs|eq|eqs|sec|secs|no|nos|appl|pat|pats|u\.\s?s|dr|mr|mrs|ms|prof|cf|vs|approx|max|e\.\s?g|i\.\s?e|wt|vol|vols|ref|refs|ser|publ|tab|ch|ex|al|resp|incl|st|inc|viz",
-    "de": r"ca|bzw|anm|nr|abb|vgl|z\.\s?b|d\.\s?h|u\.\s?a|gem|bspw|sog|ggf|evtl|kap|abs|art|s\.\s?o|s\.\s?u|z\.\s?t|o\.\s?ä|tab|einschl|max|mind",
-    "fr": r"env|p\.\s?ex|dem|c\.-à-d|réf|art|chap|mme|mlle|fig|max|n°|rev",
-    "es": r"aprox|p\.\s?ej|núm|sr|sra|pág|cap",
-    "ru": r"т\.\s?е|напр|рис|п|пп|ок|прибл|см|ср|г|гг|стр|гл|табл|т\.\s?н|т\.\s?к|ф-ла|макс|мин",
+    "en": r"eq|eqs|nos|mr|mrs|ms|approx|vol|vols|refs|ser|publ|resp|incl|inc|viz",
+    "de": r"ca|bzw|anm|nr|abb|vgl|z\.\s?b|d\.\s?h|u\.\s?a|gem|bspw|sog|ggf|evtl|s\.\s?o|s\.\s?u|z\.\s?t|o\.\s?ä|einschl|max|mind",
+    "fr": r"env|p\.\s?ex|dem|c\.-à-d|réf|mme|mlle|n°",
+    "es": r"aprox|p\.\s?ej|núm|sr|sra|pág",
+    "ru": r"т\.\s?е|напр|пп|прибл|ср|стр|гл|табл|т\.\s?н|т\.\s?к|ф-ла|макс",
+}
+# Fixed values, likewise: those that are usual words too and don't lead on to a word in letters with case; those that don't to
+# a capital; and those that are units behind a number (and then usual words) and lead on elsewhere.
+USUAL = {"en": "no|ex|tab|ch|ref|st", "de": "kap|abs|art|tab", "fr": "art|chap|rev", "es": "cap", "ru": "рис|ок"}
+BEFORE_SMALL = {"en": "max", "fr": "max"}
+UNIT_OR = {"en": "sec|secs|wt", "ru": "см|г|гг|п|мин"}
+# Words that tell the language of a text.
+FUNCTION_WORDS = {
+    "en": frozenset("the of and to is are by with for from that which this an it be as".split()),
+    "de": frozenset("der die das und ist mit von ein eine einer den dem des zu auf wird im für nicht sich".split()),
+    "fr": frozenset("le la les et est une un dans du des pour par que sur avec au aux qui ce".split()),
+    "es": frozenset("el la los las y es una un en del por para que con se al su como".split()),
+    "ru": frozenset("и в на с по из для не что или к от это при до как".split()),
 }
 # Abbreviations that lead on only to a number, and words that go on after an abbreviation of a list's end.
 NUMBERED = r"min|mind|p|pp|par|art|step|n|seq|col|line|s|bd|z|pos"
@@ -99,7 +115,25 @@ FORMULAS = [
     rule(False, r"\s\.", r"", ".", frozenset([""])),  # a spaced point: numbering or a formula
     rule(False, r"[=·./^]\s*[A-Za-z]\.", r"\s*[A-Za-zΔ�(]{1,3}(?![a-z])", ".", _OneLetter()),
 ]
-ABBREVIATIONS = [rule(False, rf"(?<!\w)(?:{words})\.", r"", ".", last_words(words)) for words in LEADING.values()]
+_NUMBER = rf"\s*(?:[\d(№]|[{_UP}]{{1,3}}[-/.\s]?\d)"
+
+
+def abbreviations(lang: str) -> list[Rule]:
+    """The no-break rules for the abbreviations of a language."""
+    out = [rule(False, rf"(?<!\w)(?:{words})\.", r"", ".", last_words(words)) for words in (LEADING[lang],)]
+    no_word, no_capital = (rf"(?!\s*[\"“„«‘'(\[]*[{x}])|{_NUMBER}" for x in (_UP + _LOW, _UP))
+    for words, before, after in ((USUAL, "", no_word), (BEFORE_SMALL, "", no_capital), (UNIT_OR, r"(?<![\d%]\s)", ""), (UNIT_OR, "", rf"(?!\s*[\"“„«‘'(\[]*[{_UP}{_LOW}\d])")):
+        if lang in words:
+            out.append(rule(False, rf"(?<!\w){before}(?:{words[lang]})\.", after, ".", last_words(words[lang])))
+    if lang == "en":
+        out.append(rule(False, r"(?<![A-Za-z])(?<!\d )St\.", rf"\s[{_UP}]", ".", frozenset(["st"])))  # Saint
+    return out
+
+
+CITATIONS = [rule(False, rf"(?<!\w)(?:{CITING})\.", r"", ".", last_words(CITING))]
+#: By language; texts whose words tell none take those of all.
+ABBREVIATIONS = {lang: [*CITATIONS, *abbreviations(lang)] for lang in LEADING}
+ABBREVIATIONS[""] = CITATIONS + [r for lang in LEADING for r in abbreviations(lang)]
 LETTERS = [rule(False, r"(?<!\w)\w\.", r"\s?\w\.(?!\d)", ".", _OneLetter())]
 DATES = [rule(False, r"\b(?:am|vom|zum|im|ab|bis|seit|den|dem|der|die|das|le)\s+\d{1,3}\.", rf"\s+[{_UP}]", ".", frozenset([""]))]
 UNITS = [rule(True, r"\b(?:per|pro|par|por|je|в)\s+\w+\.", rf"\s+{_BEGIN}", ".")]
@@ -142,14 +176,22 @@ THAI = [
     rule(True, r"[!?]", r"\s"),
 ]
 
-CASED = [*IDEOGRAPHIC[:1], *DANDA[:1], *FORMULAS, *UNITS, *ABBREVIATIONS, *LETTERS, *DATES, *NUMBERS, *LIST_ENDS, *MARKS, *ATTACHED, *IDEOGRAPHIC[1:]]
-TABLES = {
-    "cased": CASED,
-    "lower": [*CASED[:-1], *LOWER_CASE, *CASED[-1:]],
-    "ideographic": [*IDEOGRAPHIC, *FORMULAS, *ABBREVIATIONS, *LETTERS, *MARKS],
-    "danda": DANDA,
-    "thai": THAI,
-}
+
+
+def tables(lang: str) -> dict[str, list[Rule]]:
+    """The rule tables by script for a language."""
+    own = ABBREVIATIONS[lang]
+    cased = [*IDEOGRAPHIC[:1], *DANDA[:1], *FORMULAS, *UNITS, *own, *LETTERS, *DATES, *NUMBERS, *LIST_ENDS, *MARKS, *ATTACHED, *IDEOGRAPHIC[1:]]
+    return {
+        "cased": cased,
+        "lower": [*cased[:-1], *LOWER_CASE, *cased[-1:]],
+        "ideographic": [*IDEOGRAPHIC, *FORMULAS, *own, *LETTERS, *MARKS],
+        "danda": DANDA,
+        "thai": THAI,
+    }
+
+
+TABLES = {lang: tables(lang) for lang in ABBREVIATIONS}
 
 _CANDIDATE = re.compile(r"(?:\.(?!\d)|\.(?<=[A-Za-zß-öø-ÿа-яё)]\.)(?=\d)|[!?…。！？｡।॥]+)[\"”»’')\]」』）〉》】]*")
 _TAIL = re.compile(r"[^\W\d_]*\Z")
@@ -160,7 +202,10 @@ _SPANS = re.compile(
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
 _PARAGRAPH = re.compile(r"\s*(?:\[\s?\d{1,5}\s?\]|【\s?[0-9０-９]{1,5}\s?】|［\s?[0-9０-９]{1,5}\s?］)")
 _CLAIM = re.compile(r"\s*(?:(?:【\s?請求項\s?|\[\s?claim\s?|claim\s|权利要求\s?)?([0-9０-９]{1,3})\s?(?:】|\]|[.)．、:：）](?![0-9])))", re.IGNORECASE)
-_LEADS_ON = re.compile(rf"(?<!\w)(?:{'|'.join(LEADING.values())}|{NUMBERED})\.\s*\Z", re.IGNORECASE)
+_LEADS_ON = {
+    lang: re.compile(rf"(?<!\w)(?:{'|'.join([CITING, *(w[x] for w in (LEADING, USUAL, BEFORE_SMALL, UNIT_OR) for x in w if x == (lang or x))])}|{NUMBERED})\.\s*\Z", re.IGNORECASE)
+    for lang in ABBREVIATIONS
+}
 _HEAD_TRIM = re.compile(r"^[\s【\[*#=_-]+|[\s】\]*#=_:：.-]+$")
 _SCRIPTS = (("thai", re.compile("[ก-๛]+")), ("danda", re.compile("[ऀ-ॿ]+")), ("ideographic", re.compile(f"[{_CJK}]+")), ("cased", re.compile(f"[{_UP}{_LOW}]+")))
 
@@ -180,7 +225,14 @@ def table_of(text: str) -> str:
 _CAPITALISED = re.compile(f"(?<![{_UP}{_LOW}])[{_UP}][{_LOW}]")
 
 
-def blocks(text: str) -> list[tuple[int, int, bool]]:
+def language_of(text: str) -> str:
+    """The language whose function words are commonest in a text; empty where two are equally common or none occurs."""
+    words = text.lower().split()
+    counts = sorted(((sum(map(known.__contains__, words)), lang) for lang, known in FUNCTION_WORDS.items()), reverse=True)
+    return counts[0][1] if counts[0][0] > counts[1][0] else ""
+
+
+def blocks(text: str, lang: str = "") -> list[tuple[int, int, bool]]:
     """``start, end, whole`` of the blocks; a whole block is one sentence."""
     out: list[list] = []
     open_block = False  # whether the next line may continue the last block
@@ -203,7 +255,7 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
             continue
         claim = _CLAIM.match(line) if (claims or after_blank) and (bare[0].isdigit() or bare[0] in "【[cC权") else None
         value = int(claim[1]) if claim else 0
-        if claim and (claims or after_blank) and number < value <= number + 20 and (number or value == 1) and not (out and open_block and _LEADS_ON.search(text[out[-1][0] : a])):
+        if claim and (claims or after_blank) and number < value <= number + 20 and (number or value == 1) and not (out and open_block and _LEADS_ON[lang].search(text[out[-1][0] : a])):
             claims, number = True, value
             out.append([a, b, True])
             open_block = True
@@ -236,7 +288,8 @@ def split(text: str | None) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return []
     name = table_of(text)
-    rules = TABLES[name]
+    lang = language_of(text) if name in ("cased", "lower") else ""
+    rules = TABLES[lang][name]
     candidate = _THAI_CANDIDATE if name == "thai" else _CANDIDATE
     out: list[tuple[int, int]] = []
 
@@ -247,7 +300,7 @@ def split(text: str | None) -> list[tuple[int, int]]:
         if part:
             out.append((a + left, a + left + len(part)))
 
-    for a, b, whole in blocks(text):
+    for a, b, whole in blocks(text, lang):
         if whole:
             add(a, b)
             continue

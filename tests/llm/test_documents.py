@@ -99,3 +99,13 @@ def test_every_character_belongs_to_one_sentence(spark):
             assert a >= at and not text[at:a].strip() and text[a:b] == text[a:b].strip()
             at = b
         assert not (text or "")[at:].strip()
+
+
+def test_abbreviations_of_one_language_do_not_bind_another():
+    for one in (
+        ["The screw is known in the prior art.", "The device is new."],
+        ["Die Vorrichtung ist von dieser Art.", "Die Welle ist neu, vgl. Art. 5 und Abs. 2, bei max. Druck."],
+        ["Длина паза 5 см.", "Затем его закрывают, см. Рис. 3, и греют 3 г. порошка."],
+        ["The answer to the question is no.", "The valve of No. 4 and of Pat. No. US 4821 is shut for 5 sec.", "Then it is at the max.", "The end, cf. Smith et al. Patents of St. Gallen."],
+    ):
+        assert parts(" ".join(one)) == one
