@@ -24,6 +24,7 @@ its own sentences. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -196,9 +197,12 @@ TABLES = {lang: tables(lang) for lang in ABBREVIATIONS}
 _CANDIDATE = re.compile(r"(?:\.(?!\d)|\.(?<=[A-Za-zß-öø-ÿа-яё)]\.)(?=\d)|[!?…。！？｡।॥]+)[\"”»’')\]」』）〉》】]*")
 _TAIL = re.compile(r"[^\W\d_]*\Z")
 _THAI_CANDIDATE = re.compile(r"(?<=\S)(?=\s+\S)")
-_SPANS = re.compile(
-    r"\"[^\"]{1,400}\"|“[^”]{1,400}”|„[^“”]{1,400}[“”]|«[^»]{1,400}»|「[^」]{1,400}」|『[^』]{1,400}』|\([^()\n]{1,200}\)|（[^（）\n]{1,200}）|\[[^\[\]\n]{1,60}\]"
-)
+_PAIRED = re.compile(r"[\"“”„«»「」『』()（）\[\]]")
+_OPENING = "“„«「『(（["
+_OPENED_BY = {"”": "“„", "»": "«", "」": "「", "』": "『", ")": "(", "）": "（", "]": "["}
+_WIDE = re.compile(f"[{_CJK}。！？，、；：]")
+_NEW_SENTENCE = re.compile(rf"\s+[{_UP}]")
+_VISIBLE = re.compile(r"\S")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
 _PARAGRAPH = re.compile(r"\s*(?:\[\s?\d{1,5}\s?\]|【\s?[0-9０-９]{1,5}\s?】|［\s?[0-9０-９]{1,5}\s?］)")
 _CLAIM = re.compile(r"\s*(?:(?:【\s?請求項\s?|\[\s?claim\s?|claim\s|权利要求\s?)?([0-9０-９]{1,3})\s?(?:】|\]|[.)．、:：）](?![0-9])))", re.IGNORECASE)
@@ -225,10 +229,13 @@ def table_of(text: str) -> str:
 _CAPITALISED = re.compile(f"(?<![{_UP}{_LOW}])[{_UP}][{_LOW}]")
 
 
+_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values())
+
+
 def language_of(text: str) -> str:
     """The language whose function words are commonest in a text; empty where two are equally common or none occurs."""
-    words = text.lower().split()
-    counts = sorted(((sum(map(known.__contains__, words)), lang) for lang, known in FUNCTION_WORDS.items()), reverse=True)
+    met = Counter(filter(_FUNCTION_WORDS.__contains__, text.lower().split()))
+    counts = sorted(((sum(n for w, n in met.items() if w in known), lang) for lang, known in FUNCTION_WORDS.items()), reverse=True)
     return counts[0][1] if counts[0][0] > counts[1][0] else ""
 
 
@@ -283,6 +290,57 @@ def _is_title(line: str) -> bool:
     return len(line) <= 40 and len(line.split()) <= 3 and line[-1].isalpha() and not any(c.isdigit() for c in line) and (line.isupper() or line.istitle()) and not re.search(f"[{_CJK}]", line)
 
 
+def spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The outermost quotations and brackets between two offsets, of any length, in order.
+
+    A mark that closes a pair drops what is left open within it; marks without a partner give no span. A straight quote
+    opens behind white space or a mark and closes behind anything else; a second one that can only open replaces the first.
+    """
+    marks = list(_PAIRED.finditer(text, a, b))
+    if len(marks) < 2:
+        return []
+    opened: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = {}  # the places of each kind in ``opened``
+    found: list[tuple[int, int]] = []
+
+    def close(kind: str, end: int) -> None:
+        at = where[kind][-1]
+        start = opened[at][1]
+        drop(at)
+        while found and found[-1][0] > start:
+            found.pop()
+        found.append((start, end))
+
+    def drop(at: int) -> None:
+        while len(opened) > at:
+            where[opened.pop()[0]].pop()
+
+    def push(kind: str, start: int) -> None:
+        where.setdefault(kind, []).append(len(opened))
+        opened.append((kind, start))
+
+    for m in marks:
+        c, i = m[0], m.start()
+        if c == '"':
+            before, after = text[i - 1 : i] if i > a else " ", text[i + 1 : i + 2] if i + 1 < b else " "
+            opens = not after.isspace() and (before.isspace() or not before.isalnum() and before not in ".,;:!?…%)]")
+            if where.get(c) and not (opens and before.isspace()):
+                close(c, i + 1)
+            elif opens or not before.isdigit() and not after.isspace() and _WIDE.match(before):
+                if where.get(c):
+                    drop(where[c][-1])
+                push(c, i)
+        elif c == "“" and where.get("„"):
+            close("„", i + 1)
+        elif c in _OPENING:
+            push(c, i)
+        else:
+            kind = max((k for k in _OPENED_BY[c] if where.get(k)), key=lambda k: where[k][-1], default=None)
+            if kind:
+                close(kind, i + 1)
+    return found
+
+
 def split(text: str | None) -> list[tuple[int, int]]:
     """The offsets of the sentences of a text."""
     if not text or text.isspace():
@@ -304,18 +362,19 @@ def split(text: str | None) -> list[tuple[int, int]]:
         if whole:
             add(a, b)
             continue
-        spans = [m.span() for m in _SPANS.finditer(text, a, b)] if name != "thai" else []
+        held = spans(text, a, b) if name != "thai" else []
         at, now = a, 0
         for m in candidate.finditer(text, a, b):
             pos = m.end()
-            while now < len(spans) and spans[now][1] < pos:
+            while now < len(held) and held[now][1] < pos:
                 now += 1
-            inside = now < len(spans) and spans[now][0] < m.start() < spans[now][1]
-            if inside and (pos < spans[now][1] or text[spans[now][1] - 1] in ")）]" or not re.match(rf"\s+[{_UP}]", text[pos:b])):
+            inside = now < len(held) and held[now][0] < m.start() < held[now][1]
+            if inside and (pos < held[now][1] or text[held[now][1] - 1] in ")）]" or not _NEW_SENTENCE.match(text, pos, b)):
                 continue
-            right = text[pos : min(b, pos + 24)]
-            if not right or right.isspace():
+            begin = _VISIBLE.search(text, pos, b)
+            if not begin:
                 continue
+            right = text[pos : min(b, begin.start() + 24)]
             first = m.start()
             left = text[max(at, first - 24) : pos]
             mark = text[first : first + 1]

@@ -109,3 +109,15 @@ def test_abbreviations_of_one_language_do_not_bind_another():
         ["The answer to the question is no.", "The valve of No. 4 and of Pat. No. US 4821 is shut for 5 sec.", "Then it is at the max.", "The end, cf. Smith et al. Patents of St. Gallen."],
     ):
         assert parts(" ".join(one)) == one
+
+
+def test_quotations_brackets_and_gaps_of_any_length():
+    long = "Turn the screw. Hold the belt. " * 30
+    for one in (
+        [f'The label reads "{long}" and stays.', f"The label reads “{long}” and stays.", "It is flat."],
+        [f'He reads "{long}Stop it."', "A 5\" pipe is flat.", f'She reads "{long}" again.', "It stays."],
+        [f"The screw (turned.\nHeld. {long}) is flat.", "The belt (see [4. Ed. " + long + "]) is new."],
+        ["The 1st screw (of the pair is flat.", "The belt is new (see 3).", 'The "belt (is" old.', "It stays (here)."],
+    ):
+        assert parts(" ".join(one)) == one
+        assert parts((" " * 40).join(one)) == one
