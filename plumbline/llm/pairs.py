@@ -31,9 +31,8 @@ from .lookalike import consistent
 
 #: The order in which a single defect is chosen.
 ORDER = ("empty", "copies_question", "refusal", "truncated", "other_language")
-#: Letters that an announcement before a copied prompt may have, and letters of a refusal at most.
+#: Letters that an announcement before a copied prompt may have.
 ANNOUNCEMENT = 60
-LONGEST_REFUSAL = 600
 
 # Phrases that decline, by language, as patterns over lower-case text with plain apostrophes.
 REFUSALS = (
@@ -97,7 +96,7 @@ def copies(answer: str | None, prompt: str | None) -> bool:
 
 def refuses(answer: str | None) -> bool:
     """Whether an answer declines and holds nothing else."""
-    if not answer or len(answer) > LONGEST_REFUSAL:
+    if not answer:
         return False
     said = consistent(answer).replace("’", "'").lower()
     declined = False

@@ -158,3 +158,9 @@ def test_cut_copy_that_differs_before_its_end(spark):
         rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(extra)], "field string, key long, value string")
         ends = truncation.judged(rows)
         assert {r.key for r in ends.where("is_cut").collect()} & {0, 1} == want
+
+
+def test_refusals_of_any_length():
+    long = "I'd rather not go into this. " + "Is there anything else you would like help with? " * 20
+    assert len(long) > 600 and pairs.refuses(long) and pairs.refuses("I cannot answer this." + "\n " * 600)
+    assert not pairs.refuses(long + "The council merged several older offices.")
