@@ -138,8 +138,8 @@ def triggered(response: DataFrame, scenario: DataFrame, slots: DataFrame, profil
     prompts = once_per_key(scenario.select("job_id", "received_at", "english", "chinese"), "job_id", "received_at")
     known = F.broadcast(slots.groupBy("slot").agg(F.max("language").alias("known")))  # a fixed table of a few slots
     expected = F.coalesce("known", F.when(F.col("slot").endswith("-zh"), "zh").when(F.col("slot").endswith("-en"), "en"))
-    cut = truncation.judged(answers.select(F.lit("response.response").alias("field"), F.col("response_id").alias("key"), F.col("response").alias("value")))
-    cut = cut.select(F.col("key").alias("response_id"), "is_cut")
+    cut = truncation.judged(truncation.values(response, scenario))  # with the prompts, as in p5: all columns give evidence
+    cut = cut.where(F.col("field") == "response.response").select(F.col("key").alias("response_id"), "is_cut")
     joined = answers.join(prompts.select("job_id", "english", "chinese"), "job_id", "left").join(known, "slot", "left").join(cut, "response_id", "left")
     seen = F.array_distinct(F.transform(langid.segments(F.col("response"), profiles), lambda s: s["language"]))
     ready = joined.withColumn("expected", expected).withColumn("languages", seen)

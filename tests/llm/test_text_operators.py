@@ -164,3 +164,14 @@ def test_refusals_of_any_length():
     long = "I'd rather not go into this. " + "Is there anything else you would like help with? " * 20
     assert len(long) > 600 and pairs.refuses(long) and pairs.refuses("I cannot answer this." + "\n " * 600)
     assert not pairs.refuses(long + "The council merged several older offices.")
+
+
+def test_truncated_answers_are_those_of_problem_5(spark, profiles):
+    asked = [f"Which sources would you consult on the {x} of the council?" for x in "tolls roads walls gates mills wells fairs ports".split()]
+    scenario = spark.createDataFrame([(f"j{i}", i, t, None, "web", D) for i, t in enumerate(asked)], SCENARIO)
+    answers = ["Which sources would you consult first about the market", "The market was closed.", "The council merged several older offices."]
+    response = spark.createDataFrame([(i, "j0", "us-model-en", "m", "en", t, None, D, "", "") for i, t in enumerate(answers)], RESPONSE)
+    slots = spark.createDataFrame(SLOTS, "slot string, language string")
+    cut = {r.row_key for r in truncation.cut_values(truncation.values(response, scenario)).where("field = 'response.response'").collect()}
+    found = {r.response_id for r in pairs.triggered(response, scenario, slots, profiles).where("array_contains(defects, 'truncated')").collect()}
+    assert found == cut == {0}
