@@ -74,6 +74,7 @@ _GROUPS = (
 )
 _KANA = re.compile("[぀-ヿ]")
 _QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|「[^」\n]*」|«[^»\n]*»|\([^()\n]*\)|（[^（）\n]*）')
+_MARKED = re.compile(r"[.!?。！？…][\"”’)」』）]*\s*$")
 _CUT = re.compile(r"[^.!?。！？\n]*(?:[.!?]+[\"”’)]*(?=\s|$)|[。！？]+[”」』）]*|\n+|$|[.!?])")
 
 
@@ -92,6 +93,15 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
+def is_whole(sentence: str) -> bool:
+    """Whether a short stretch is a sentence rather than a name or a heading: it ends with a mark and holds, outside
+    quotations, two words or three characters of a script without spaces."""
+    outside = _QUOTED.sub(" ", sentence)
+    if not _MARKED.search(sentence):
+        return False
+    return any(len(p.findall(outside)) > 1 if g != "unspaced" else sum(map(len, p.findall(outside))) > 2 for g, p in _GROUPS)
+
+
 def letters_of(sentence: str) -> tuple[str, list[str]]:
     """The dominant script group of a sentence and its words in that script (lower case)."""
     outside = _QUOTED.sub(" ", sentence)
@@ -155,7 +165,7 @@ class Profiles:
         group, words = letters_of(sentence)
         size = sum(map(len, words)) * (2 if group == "unspaced" else 1)
         among = self.candidates.get(group, [])
-        if group == "unspaced" and size >= SHORT:
+        if group == "unspaced" and (size >= SHORT or _MARKED.search(sentence)):
             share = 2 * sum(len(_KANA.findall(w)) for w in words) / size
             if share == 0 or share > 0.1:
                 among = [x for x in among if self.kana[x] == (share > 0)] or among
@@ -187,7 +197,9 @@ class Profiles:
                 continue
             near = min(firm, key=lambda f: (abs(f - i), f))
             same = [f for f in firm if j[2] and self.group[judged[f][2]] == self.group[j[2]]]
-            if j[4] < SHORT or not j[2]:
+            if j[4] < SHORT and same:
+                j[2], j[3] = judged[min(same, key=lambda f: (abs(f - i), f))][2], 0.0
+            elif not j[2] or j[4] < SHORT and not is_whole(consistent(text[j[0] : j[1]])):
                 j[2], j[3] = judged[near][2], 0.0
             elif same:
                 j[2] = judged[min(same, key=lambda f: (abs(f - i), f))][2]

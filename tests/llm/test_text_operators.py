@@ -175,3 +175,13 @@ def test_truncated_answers_are_those_of_problem_5(spark, profiles):
     cut = {r.row_key for r in truncation.cut_values(truncation.values(response, scenario)).where("field = 'response.response'").collect()}
     found = {r.response_id for r in pairs.triggered(response, scenario, slots, profiles).where("array_contains(defects, 'truncated')").collect()}
     assert found == cut == {0}
+
+
+def test_short_sentences_of_another_script_stand_alone(profiles):
+    english = "The council merged several older offices."
+    for text, want in (
+        (f"{english} Это правда. {english}", ["en", "ru", "en"]), (f"{english} 他走了。", ["en", "zh"]), (f"{english} そうです。", ["en", "ja"]),
+        (f"{english} Yes, so.", ["en"]), (f"{english} Москва.", ["en"]), (f"{english}\n格莱奥巴弗\n{english}", ["en"]), (f"{english} “他走了。”", ["en"]),
+        (f"商人欢迎这一变化，因为北门的排队时间缩短了。{english} 他走了。", ["zh", "en", "zh"]),
+    ):
+        assert [s[2] for s in profiles.segments(text)] == want
