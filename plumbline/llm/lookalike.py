@@ -15,7 +15,7 @@ White space of ASCII, letter case, punctuation, accents and raised digits stay v
 different from ASCII punctuation.
 
 Both are Python functions that run over Arrow batches (Spark has no Unicode normalisation); values in pure ASCII return
-at once. Pairs are found from 16-byte digests: groups with one form only are dropped after a partial aggregate, so a
+at once. Pairs are found from digests of the consistent form and the skeleton: groups with one form only are dropped after a partial aggregate, so a
 group that holds a third of all rows is never gathered; the forms of a group are paired first and joined to their keys
 afterwards, so nothing but result rows is built.
 
@@ -25,6 +25,7 @@ once, by its latest row; several keys with one identical string give no pair amo
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import unicodedata
@@ -123,23 +124,33 @@ def script_sets(token: str) -> set[str]:
     return possible
 
 
-def consistent(text: str | None) -> str | None:
-    """The one consistent form of all texts that look like ``text``. Null for null."""
-    bare = skeleton(text)
+@lru_cache(maxsize=1)
+def _prototypes() -> frozenset[str]:
+    return frozenset(p for m in tables()[1].values() for p in m)
+
+
+@lru_cache(maxsize=100_000)
+def _scripts(token: str) -> tuple[set[str], set[str]]:
+    """The script set of a token, and the scripts of its letters that no other script can write."""
+    return script_sets(token), _fixed(token, _prototypes())
+
+
+def consistent(text: str | None, bare: str | None = None) -> str | None:
+    """The one consistent form of all texts that look like ``text`` (``bare``: its skeleton if known). Null for null."""
+    bare = skeleton(text) if bare is None else bare
     if bare is None or bare.isascii() and text.isascii():
         return bare
     back = tables()[1]
-    prototypes = {p for m in back.values() for p in m}
     tokens = _TOKEN.findall(bare)
     votes: dict[str, int] = {}
     for t in tokens:
-        for s in _fixed(t, prototypes) - {"Other"}:
+        for s in _scripts(t)[1] - {"Other"}:
             votes[s] = votes.get(s, 0) + 1
     usual = max(sorted(votes), key=votes.get) if votes else "Latin"
 
     def respell(match: re.Match) -> str:
         token = match[0]
-        possible, fixed = script_sets(token), _fixed(token, prototypes) & {"Latin", *back}
+        possible, fixed = _scripts(token)[0], _scripts(token)[1] & {"Latin", *back}
         script = usual if usual in possible else "Latin"
         if len(fixed) == 1:
             script = next(iter(fixed))
@@ -162,6 +173,18 @@ def consistent_udf(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield v.map(consistent, na_action="ignore")
 
 
+def look(text: str) -> bytes:
+    """What a text looks like, in 32 bytes: a digest of its consistent form, confirmed by one of its skeleton."""
+    bare = skeleton(text)
+    return b"".join(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in (consistent(text, bare), bare))
+
+
+@F.pandas_udf(T.BinaryType())
+def look_udf(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for v in values:
+        yield v.map(look, na_action="ignore")
+
+
 #: Column expressions.
 HAS_WORD = r"[\p{L}\p{N}]"
 
@@ -186,8 +209,8 @@ def normal_forms(rows: DataFrame) -> DataFrame:
 def same_looking(rows: DataFrame) -> DataFrame:
     """``field, key_a, key_b`` of every two rows of a field whose values look the same but are not the same string."""
     wordy = rows.where(F.col("value").rlike(HAS_WORD))
-    drawn = wordy.select("field", "key", F.unhex(F.md5(skeleton_udf("value"))).alias("look"), F.unhex(F.md5("value")).alias("form"))
-    drawn = materialise(drawn)  # 50 bytes a row; read twice below
+    drawn = wordy.select("field", "key", look_udf("value").alias("look"), F.unhex(F.md5("value")).alias("form"))
+    drawn = materialise(drawn)  # 66 bytes a row; read twice below
     looks = drawn.groupBy("field", "look").agg(F.min("form").alias("least"), F.max("form").alias("most"))
     several = looks.where(F.col("least") != F.col("most")).select("field", "look")
     held = materialise(drawn.join(several, ["field", "look"], "left_semi"))  # rows of groups with several forms only

@@ -185,3 +185,11 @@ def test_short_sentences_of_another_script_stand_alone(profiles):
         (f"商人欢迎这一变化，因为北门的排队时间缩短了。{english} 他走了。", ["zh", "en", "zh"]),
     ):
         assert [s[2] for s in profiles.segments(text)] == want
+
+
+def test_pairs_are_grouped_by_the_consistent_form(spark, monkeypatch):
+    for a, b in (("Bay", "Вау"), ("Lifola", "Lifοla"), ("年", "年")):
+        assert lookalike.look(a) == lookalike.look(b)
+    assert lookalike.look("A") != lookalike.look("a")
+    monkeypatch.setattr(lookalike, "consistent", lambda text, bare=None: text)  # the script sets take part
+    assert lookalike.look("Bay") != lookalike.look("Вау")
