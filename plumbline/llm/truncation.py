@@ -1,25 +1,30 @@
 """Problem 5: values that stop before their text is over, and the rate of cut values of each source.
 
-Method, in two steps whose findings are joined.
-
-*Near-copies.* Values are cut into shingles of five words (characters in scripts without spaces); min-hash banding brings
-near-copies (similarity 0.8 and more) into buckets. Within a bucket every text is aligned, word by word, with each
-text that ends without a mark: the closing words must be met again (the last one perhaps as the beginning of a longer
-word), and the words before them may differ by one edit (a word put in, left out or replaced; marks don't count) in
-ten. A text whose alignment ends within a word or sentence of an equal longer copy is cut; one whose longer copies differ
-in some word is cut if three times as many distinct near-copies go on there as end there, since texts of one pattern
-may be near-copies too. No pairs are emitted; a bucket's open ends are held while its texts stream by, and buckets
-without an open end or with one text only are dropped before any text is shuffled.
-
-*Closing words.* For values without such a copy the terminality of their closing words is scored. For every sequence of
-closing words (1 to 6 words or characters; names and numbers masked) the whole column tells how often the text goes on
-after it, how often a sentence ends there with its mark, and how often a line ends there without one. The same is
-counted, over all columns together, for the first words of sentences and for closing words after them: some kinds of lines (titles, notes, list items, short requests) are complete
-without a mark. A value is cut if its closing words are nearly always continued, or if it ends without a mark within a
-kind of sentence that has one, or in a fragment that is no word of the column. Counts are combined within partitions and
-summed by 64-bit hashes.
-
-Replacement characters at the end, brackets and quotations left open, and a closing comma or dash count as cut at once.
+Method, in two steps; a value that the first one finds no copy for is left to the second.
+
+*Near-copies.* A cut copy is like the beginning of its whole, however early it was cut. So min-hash banding (shingles of
+five words; characters in scripts without spaces) is over the first 8, 16, 32, 64, ... words: a text has the buckets of all
+these beginnings, and a text that ends without a mark looks into those of the longest beginning that it has. Within a
+bucket the two are aligned word by word: the closing words must be met again (the last one perhaps as the beginning of a
+longer word), and the words before them may differ by one edit (a word put in, left out or replaced; marks don't count)
+in ten. A text whose alignment ends within a word or sentence of an equal longer copy is cut; one whose longer copies
+differ in some word is cut if three times as many distinct near-copies go on there as end there, since texts of one
+pattern may be near-copies too. No pairs are emitted. Buckets without an open end or with one text only are dropped
+before any text is shuffled; larger ones are split into blocks of ``BLOCK`` texts by ``BLOCK`` open ends, and the counts of
+the blocks are summed.
+
+*Closing words.* For the others the terminality of their closing words is scored. For every sequence of closing words (1
+to 6 words or characters; names and numbers masked) all texts of the column tell how often the text goes on after it, how
+often a sentence ends there with its mark, and how often a line ends there without one, and how often its last word goes on
+to a longer word. Over all columns together the same is counted for closing words within sentences of the same first words,
+and for these first words alone: some kinds of lines (titles, notes, list items) are complete without a mark. A value is cut if
+its closing words are nearly always continued, if its last word is nearly always the beginning of a longer one, or if it
+ends in words not known within a kind of sentence that has a mark. All tests compare rates; ``SUPPORT`` only says how many
+observations a rate needs, so that ten times the data give ten times the cases. Only sequences that close some
+value that is asked for are shuffled: a table of ``FILTER`` hash values at most, so of bounded size, tells them.
+
+Replacement characters at the end, brackets and quotations left open, and a closing comma or dash count as cut at once;
+the closing words of such values are no evidence for others.
 
 Defined cases: null, empty and blank values, and values without a word, are never cut. A key delivered again counts
 once. Statistics are taken over the distinct texts of the column (case, look-alikes and spacing aside), so copies of a text
@@ -30,7 +35,6 @@ empty results (rates: no rows).
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,23 +50,41 @@ from ..runtime import materialise
 from .common import once_per_key
 from .lookalike import skeleton
 
-#: Lengths of closing sequences, and how often one must occur elsewhere to be believed.
+#: Lengths of closing sequences, and how many observations a rate needs.
 LENGTHS = (6, 4, 3, 2, 1)
 SUPPORT = 5
-#: Share of the open-ended texts of a column that must end in a word seen nowhere else before it counts as a word.
-OPEN_SHARE = 0.01
-#: Min-hash: 8 bands of 4 rows find pairs of similarity 0.8 with a chance of 0.985.
+#: How many times as often closing words must go on as end before they count as unfinished; in kinds of lines without marks.
+GOES_ON_MORE, GOES_ON_MORE_IN_TITLES = 2, 20
+#: Share of the longer words that a fragment may occur as a whole word besides.
+STRAY = 0.02
+#: Min-hash: 8 bands of 4 rows find beginnings of similarity 0.8 with a chance of 0.985.
 BANDS, ROWS_A_BAND = 8, 4
 SHINGLE = 5
+#: The shortest beginning that has buckets, in words; each further one is twice as long.
+BEGINNING = 8
 #: Words before the last one that an alignment must meet again, and words for each edit before them.
 ANCHOR = 3
 WORDS_AN_EDIT = 10
+#: Texts and open ends of a bucket that one task holds against each other.
+BLOCK = 4096
 #: Distinct sentences that a task combines before it passes their counts on.
-COMBINE = 50_000
+COMBINE = 20_000
+#: Values of the filter of asked hashes: 2**20 numbers, some 20 MB, whatever the size of the data.
+FILTER = 1 << 20
 
 _UNSPACED = "぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿"
 _WORD = rf"[^\W\d_{_UNSPACED}]"
-_TOKEN = re.compile(rf"\d+(?:[.,:]\d+)*|{_WORD}+(?:['’-]{_WORD}+)*|[{_UNSPACED}]|\n|[^\w\s]|\w")
+_UP, _LOW = "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ", "a-zß-öø-ÿα-ωа-яё"
+_CLOSERS = "\"'”’»」』)）]】》〉*_"
+_STRONG = "!?。！？…।"
+_C = re.escape(_CLOSERS)
+_NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+_NAME = re.compile(rf"(?<!\w)[{_UP}]{_WORD}+(?:['’-]{_WORD}+)*")
+_ANY_WORD = re.compile(rf"{_WORD}{{2,}}")
+_FIRST = re.compile(r"\W*\w+")
+_END = re.compile(rf"(?:[{_STRONG}]+|\.(?=[{_C}]*(?:\Z|\s+(?![{_LOW}])|[{_UNSPACED}])))[{_C}]*|\n")
+_MASKED = re.compile(rf"{_WORD}+(?:['’-]{_WORD}+)*|[{_UNSPACED}]|[^\w\s]|\w")
+_TOKEN = re.compile(rf"\d+(?:[.,:]\d+)*|{_WORD}+(?:['’-]{_WORD}+)*|[{_UNSPACED}]|\w")
 _HAS_WORD = re.compile(r"[^\W_]")
 # Abbreviations that something always follows.
 _LEADING = re.compile(
@@ -73,10 +95,10 @@ _LEADING = re.compile(
 #: An escape or entity that stops within itself.
 _ESCAPE = re.compile(r"\\(?:[uU][0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|&(?:#\w{0,6}|[alg]|am|amp|lt|gt|q|qu|quo|quot|n|nb|nbs|nbsp)$")
 _GOES_ON = re.compile(r"[^\n.!?。！？…।]*[^\W_]")
-_CLOSERS = "\"'”’»」』)）]】》〉*_"
-_STRONG = "!?。！？…।"
 _OPEN = {"(": ")", "（": "）", "“": "”", "「": "」", "『": "』", "《": "》", "【": "】", "«": "»"}
 _CLOSE = {b: a for a, b in _OPEN.items()}
+_BRACKETS = re.compile("[" + re.escape("".join(_OPEN) + "".join(_CLOSE)) + "]")
+_LONE = re.compile("[a-zа-я]")
 
 
 def plain(text: str) -> str:
@@ -84,163 +106,246 @@ def plain(text: str) -> str:
     return re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[^\S\n]+", " ", skeleton(text))).strip()
 
 
-def tokens(text: str) -> list[tuple[str, str]]:
-    """``(masked, kind)`` of a plain text; kind is word, mark, line or other."""
-    found = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    words = [w for w, _, _ in found if w[0].isalpha() and len(w) > 1]
-    titled = sum(w[0].isupper() for w in words) > 0.6 * len(words)
-    out: list[tuple[str, str]] = []
-    first = True
-    for w, a, b in found:
-        if w == "\n":
-            out.append((w, "line"))
-            first = True
-        elif w[0].isdigit():
-            out.append(("#", "word"))
-            first = False
-        elif w[0].isalnum():
-            name = w[0].isupper() and not first and not titled and len(w) > 1
-            out.append(("@" if name else w.lower(), "word"))
-            first = False
-        elif w in _STRONG or w == "." and _ends(text, b):
-            out.append((w, "mark"))
-            first = True
-        else:
-            out.append((w, "other"))
-    return out
-
-
-def _ends(text: str, at: int) -> bool:
-    """Whether a full stop before ``at`` can end a sentence: what follows is neither attached nor in lower case."""
-    while at < len(text) and text[at] in _CLOSERS:
-        at += 1
-    if at == len(text):
-        return True
-    if not text[at].isspace():
-        return unicodedata.category(text[at]) == "Lo"
-    rest = text[at:].lstrip()
-    return not rest or not rest[0].islower()
-
-
-def lines_of(toks: list[tuple[str, str]]) -> list[tuple[list[str], str]]:
-    """The sentences: their masked tokens, and whether they end with a ``mark`` or ``bare``."""
-    out, now = [], []
-    for i, (w, kind) in enumerate(toks):
-        if kind == "line":
-            if now:
-                out.append((now, "bare"))
-            now = []
-        elif kind == "mark":
-            if now:
-                out.append((now, "mark"))
-            now = []
-        elif kind == "other" and not now and out and w in _CLOSERS and toks[i - 1][1] != "line":
-            continue  # closes the sentence before
-        else:
-            now.append(w)
-    if now:
-        out.append((now, "bare"))
+def sentences(body: str) -> list[tuple[str, str]]:
+    """The sentences of a plain text with numbers (#) and names (@) masked, in lower case, and whether each ends with a
+    ``mark`` or ``bare``."""
+    text = _NUMBER.sub("#", body)
+    titled = len(_NAME.findall(text)) > 0.6 * len(_ANY_WORD.findall(text))
+    out, at = [], 0
+
+    def add(part: str, end: str) -> None:
+        if part and _HAS_WORD_OR_NUMBER.search(part):
+            first = _FIRST.match(part)
+            if not titled and first:
+                part = part[: first.end()] + _NAME.sub("@", part[first.end() :])
+            out.append((part.lower(), end))
+
+    for m in _END.finditer(text):
+        add(text[at : m.start()].strip(), "bare" if m[0] == "\n" else "mark")
+        at = m.end()
+    add(text[at:].strip(), "bare")
     return out
 
 
-def _start(words: list[str]) -> str:
-    return "^" + " ".join(words[:3])
-
-
-def _hash(field: str, text: str) -> int:
-    h = xxhash.xxh64_intdigest(f"{field}\t{text}")
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def _within(words: list[str] | tuple[str, ...], end: int) -> str:
-    """The closing words of a sentence of a kind: its first words, and the last three before ``end``."""
-    return _start(list(words)) + "~" + " ".join(words[max(0, end - 3) : end])
-
-
-def contexts(words: tuple[str, ...], end: str, field: str, n: int, into: Counter) -> None:
-    """Add ``n`` times what a sentence shows: (hash, what) where what is mid, mark or bare."""
-    last = len(words) - 1
-    for i in range(len(words)):
-        what = "mid" if i < last else end
-        for k in LENGTHS:
-            if i + 1 >= k:
-                into[_hash(field, " ".join(words[i + 1 - k : i + 1])), what] += n
-        into[_hash("", _within(words, i + 1)), what] += n
-    into[_hash("", _start(list(words))), end] += n
+_HAS_WORD_OR_NUMBER = re.compile(r"[^\W_]|#")
 
 
-def look(body: str) -> tuple[str, list[tuple[list[str], str]]]:
-    """A first verdict on a plain text and its sentences. Verdicts: ``cut``, ``whole``, or ``ask-bare`` and ``ask-mark``
-    where the statistics decide."""
-    parts = lines_of(tokens(body))
+def look(body: str) -> str:
+    """A first verdict on a plain text: ``cut``, ``whole``, or ``ask-bare`` and ``ask-mark`` where the statistics decide."""
     if body.endswith("�") or _ESCAPE.search(body):
-        return "cut", parts
+        return "cut"
     opened: list[str] = []
-    for c in body:
+    for c in _BRACKETS.findall(body):
         if c in _OPEN:
             opened.append(c)
-        elif c in _CLOSE and opened and opened[-1] == _CLOSE[c]:
+        elif opened and opened[-1] == _CLOSE[c]:
             opened.pop()
     if opened or body.count('"') % 2:
-        return "cut", parts
+        return "cut"
     end = body.rstrip(_CLOSERS + " ")
-    if not end:
-        return "whole", parts
-    if end[-1] in _STRONG:
-        return "whole", parts
-    if body[-1] in ",，、;；:：-–—/(（" and parts:
-        return "cut", parts
+    if not end or end[-1] in _STRONG:
+        return "whole"
+    if body[-1] in ",，、;；:：-–—/(（" and _HAS_WORD.search(body.rsplit("\n", 1)[-1]):
+        return "cut"
     if end[-1] == ".":
         if _LEADING.search(end):
-            return "cut", parts
-        words = [w for w, _ in tokens(end) if w not in "."]
-        return ("whole" if not words or re.match(f"[{_UNSPACED}]", words[-1]) else "ask-mark"), parts
-    return "ask-bare", parts
+            return "cut"
+        return "whole" if len(end) < 2 or re.match(f"[{_UNSPACED}]", end[-2]) else "ask-mark"
+    return "ask-bare"
+
+
+# Hashes are sums of word hashes times odd numbers, one for each place, and a number for each kind of key.
+_RANDOM = np.random.default_rng(5)
+_PLACE = _RANDOM.integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KIND = {k: _RANDOM.integers(1, 1 << 62, dtype=np.uint64) for k in (*LENGTHS, "within", "begun", "longer", "longer word")}
+#: What is asked of a text, in this order: its closing sequences, and the keys of the other kinds.
+ASKED = (*LENGTHS, "within", "begun", "longer", "longer word")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of sums (the last step of a well-known generator)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class _Words:
+    """Hashes of words and of their beginnings, kept while they fit."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.known, self.parts = most, {}, {}
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.most:
+            known.clear(), self.parts.clear()
+        return np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
+
+    def beginnings(self, word: str) -> np.ndarray:
+        """The hashes of all shorter beginnings of a word."""
+        if word not in self.parts:
+            self.parts[word] = np.array([xxhash.xxh64_intdigest(word[:n]) for n in range(1, len(word))], np.uint64)
+        return self.parts[word]
+
 
+def _key(kind: object, salt: np.uint64, total: np.ndarray) -> np.ndarray:
+    return _mixed(total + _KIND[kind] + salt)
 
-def decide(verdict: str, stats: list[tuple[int, int, int] | None], start: tuple[int, int, int] | None, within: tuple[int, int, int] | None, fragment: bool, sentences: int, open_texts: int) -> bool:
-    """Whether a text is cut. ``stats`` holds (mid, mark, bare) of its closing sequences, the longest first, ``start``
-    that of its last sentence's first words and ``within`` that of its closing words in sentences with these first
-    words; the text's own end is still counted in them, once. ``open_texts`` is the number of texts of the column that
-    end without a mark."""
+
+def _salt(field: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest("field " + field))
+
+
+#: The salt of what is counted over all columns together.
+_ALL = np.uint64(0)
+
+
+def _sums(h: np.ndarray) -> list[np.ndarray]:
+    """The sums over the last 0, 1, ... words up to each word (those that reach over a sentence's start are garbage)."""
+    out = [np.zeros(len(h), np.uint64)]
+    for n in range(max(LENGTHS)):
+        out.append(out[-1] + np.concatenate([np.zeros(n, np.uint64), h[: len(h) - n]])[: len(h)] * _PLACE[n])
+    return out
+
+
+def _starts(h: np.ndarray) -> list[np.uint64]:
+    """The sums over the first 1, 2 and 3 words."""
+    return list(np.cumsum(h[:3] * _PLACE[5 : 5 + len(h[:3])]))
+
+
+def closing(words: list[str], field: str, hashes: _Words) -> tuple[list[int | None], bool]:
+    """What is asked of an open last sentence, in the order of ``ASKED``, and whether its last word may be a fragment."""
+    with np.errstate(over="ignore"):
+        h, salt, n = hashes.hashes(words), _salt(field), len(words)
+        sums, starts = _sums(h), _starts(h)
+        fragment = len(words[-1]) > 1 and words[-1].isalpha() and not re.match(f"[{_UNSPACED}]", words[-1]) or bool(_LONE.fullmatch(words[-1]))
+        out = [_key(k, salt, sums[k][-1:]) if n >= k else None for k in LENGTHS]
+        out.append(_key("within", _ALL, sums[min(3, n)][-1:] + starts[-1] * np.uint64(3)))
+        sure = min(3, n - 1) if fragment else min(3, n)
+        out.append(_key("begun", _ALL, np.array(starts[sure - 1 : sure])) if sure else None)
+        before = h[-2:-1] if n > 1 else np.zeros(1, np.uint64)
+        last = h[-1:] * _PLACE[0]
+        out += [_key("longer", salt, last + before * _PLACE[1]), _key("longer word", salt, last)] if fragment else [None, None]
+    return [None if x is None else int(x.view(np.int64)[0]) for x in out], fragment
+
+
+def counted(seen: dict[tuple[str, str, str], int], hashes: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (signed) of masked sentences ``{(field, sentence, end): number}`` and how often each goes on
+    (mid), ends with a mark or bare."""
+    parts = [(_MASKED.findall(s), f, e, n) for (f, s, e), n in seen.items()]
+    parts = [p for p in parts if p[0]]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
+    with np.errstate(over="ignore"):
+        flat = [w for ws, _, _, _ in parts for w in ws]
+        h = hashes.hashes(flat)
+        size = np.array([len(ws) for ws, _, _, _ in parts])
+        first = np.repeat(np.cumsum(size) - size, size)
+        place = np.arange(len(flat)) - first
+        last = place == np.repeat(size, size) - 1
+        salts = {f: _salt(f) for f in {p[1] for p in parts}}
+        salt = np.repeat(np.array([salts[f] for _, f, _, _ in parts], np.uint64), size)
+        end = np.repeat(np.array([1 if e == "mark" else 2 for _, _, e, _ in parts]), size)
+        many = np.repeat(np.array([n for *_, n in parts]), size)
+        what = np.where(last, end, 0)
+        sums = _sums(h)
+        keys, kinds, numbers = [], [], []
+
+        def add(key: np.ndarray, kind: np.ndarray, number: np.ndarray) -> None:
+            keys.append(key), kinds.append(kind), numbers.append(number)
+
+        for k in LENGTHS:
+            ok = place + 1 >= k
+            add(_key(k, salt[ok], sums[k][ok]), what[ok], many[ok])
+        begun = np.zeros(len(flat), np.uint64)  # the sum over the first words up to here, three at most
+        for n in range(3):
+            at = np.minimum(first + n, len(flat) - 1)
+            begun = begun + np.where(place >= n, h[at] * _PLACE[5 + n], np.uint64(0))
+            ok = last & (place >= n)
+            add(_key("begun", _ALL, begun[ok]), what[ok], many[ok])
+        near = np.where(place >= 2, sums[3], np.where(place == 1, sums[2], sums[1]))
+        add(_key("within", _ALL, near + begun * np.uint64(3)), what, many)
+        # how often a word goes on to a longer one, alone and behind the word before it
+        before = np.where(place > 0, np.concatenate([np.zeros(1, np.uint64), h[:-1]]), np.uint64(0))
+        worded = np.fromiter((len(w) > 1 for w in flat), bool, len(flat))
+        pairs = np.rec.fromarrays([salt[worded], before[worded], h[worded]])
+        found, at, back = np.unique(pairs, return_index=True, return_inverse=True)
+        total = np.bincount(back.ravel(), weights=many[worded]).astype(np.int64)
+        index = np.flatnonzero(worded)[at]
+        begin = [hashes.beginnings(flat[i]) for i in index]
+        lengths = np.array([len(b) for b in begin], dtype=np.int64)
+        if len(begin) and lengths.sum():
+            part = np.concatenate(begin) * _PLACE[0]
+            salted, behind, number = (np.repeat(x, lengths) for x in (salt[index], before[index], total))
+            none = np.zeros(len(part), np.int64)
+            add(_key("longer", salted, part + behind * _PLACE[1]), none, number)
+            add(_key("longer word", salted, part), none, number)
+        key, kind, number = np.concatenate(keys), np.concatenate(kinds), np.concatenate(numbers)
+    distinct, back = np.unique(key, return_inverse=True)
+    table = np.stack([np.bincount(back[kind == w], weights=number[kind == w], minlength=len(distinct)) for w in range(3)], axis=1)
+    return distinct.view(np.int64), table.astype(np.int64)
+
+
+def decide(verdict: str, found: dict[object, tuple[int, int, int]], fragment: bool, several: bool) -> bool:
+    """Whether a text is cut. ``found`` holds (mid, mark, bare) of what was asked, by kind (see ``ASKED``); the text's own
+    end is still counted in it, once. ``several``: it has sentences before the last."""
     own = (0, 1, 0) if verdict == "ask-mark" else (0, 0, 1)
-    less = [None if s is None else tuple(max(0, a - b) for a, b in zip(s, own)) for s in stats]
-    known = next((s for s in less if s is not None and sum(s) >= SUPPORT), None)
+    less = {k: tuple(max(0, a - b) for a, b in zip(v, own)) for k, v in found.items()}
+    none = (0, 0, 0)
+    length = next((k for k in LENGTHS if sum(less.get(k, none)) >= SUPPORT), None)
+    known = less.get(length, none)
     if verdict == "ask-mark":
-        return known is not None and known[0] > 10 * (known[1] + known[2])
-    begun = tuple(max(0, a - b) for a, b in zip(start, own)) if start else (0, 0, 0)
+        return known[0] > 10 * (known[1] + known[2])
+    if fragment:
+        for longer, size in (("longer", 2), ("longer word", 1)):
+            goes_on = found.get(longer, none)[0]
+            mid, mark, bare = less.get(size, none)
+            if goes_on >= SUPPORT:
+                if goes_on > GOES_ON_MORE * bare and mid + mark <= STRAY * goes_on:
+                    return True
+                break
+    within, begun = less.get("within", none), less.get("begun", none)
+    if sum(within) >= SUPPORT:
+        return within[0] > GOES_ON_MORE * (within[1] + within[2])
     titles = begun[2] >= SUPPORT and begun[2] >= begun[1]
-    if titles and within is not None and (alike := sum(within) - 1) >= 2 and 2 * within[0] <= alike:
-        return False
-    if known is not None and known[0] > (20 if titles else 2) * (known[1] + known[2]):
-        return True
-    word = less[-1] or (0, 0, 0)
-    if titles:
-        return fragment and word[0] + word[1] == 0 and word[2] < 0.05 * begun[2]
-    if fragment and word[0] + word[1] == 0 and (begun[1] > 3 * begun[2] or word[2] < max(SUPPORT, OPEN_SHARE * open_texts)):
-        return True
-    if known is not None:
-        if known[1] or known[2] >= SUPPORT and known[2] > known[0]:
-            return 3 * (known[1] + known[2]) < known[0]
-    return begun[1] > 3 * begun[2] and begun[1] >= SUPPORT or sentences > 1 and begun[2] < SUPPORT
+    if length:
+        return known[0] > (GOES_ON_MORE_IN_TITLES if titles else GOES_ON_MORE) * (known[1] + known[2])
+    return sum(begun) >= SUPPORT and begun[1] > 3 * begun[2] or several and sum(begun) < SUPPORT
+
+
+def beginnings(n: int) -> list[int]:
+    """The lengths of the beginnings of a text of ``n`` words that have buckets."""
+    out, size = [], BEGINNING
+    while size <= n:
+        out.append(size)
+        size *= 2
+    return out
 
 
-_PLAIN = "field string, key bigint, body string"
-_ENDS = "field string, id binary, verdict string, closing array<bigint>, fragment boolean, sentences int, norm string, buckets array<bigint>"
 _SEED = np.random.default_rng(7)
 _MUL = _SEED.integers(1, 1 << 62, BANDS * ROWS_A_BAND, dtype=np.uint64) | np.uint64(1)
 _ADD = _SEED.integers(0, 1 << 62, BANDS * ROWS_A_BAND, dtype=np.uint64)
+_FOLD = _SEED.integers(1, 1 << 62, ROWS_A_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def buckets(words: list[str]) -> list[int]:
-    """The bucket of each band: band and its min-hashes."""
-    if not words:
+def buckets(words: list[str], hashes: _Words) -> list[list[int]]:
+    """The buckets of each beginning, the longest last: a hash of length, band and its min-hashes."""
+    sizes = beginnings(len(words))
+    if not sizes:
         return []
-    grams = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-    h = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
     with np.errstate(over="ignore"):
-        low = (h[:, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0)
-    return [_hash("", f"{b} {low[b * ROWS_A_BAND : (b + 1) * ROWS_A_BAND].tobytes().hex()}") for b in range(BANDS)]
+        h = hashes.hashes(words[: sizes[-1]])
+        n = len(h) - SHINGLE + 1
+        grams = _mixed(sum(h[i : i + n] * _PLACE[i] for i in range(SHINGLE)))
+        rows = _mixed(grams[:, None] * _MUL[None, :] + _ADD[None, :])
+        low = np.minimum.accumulate(rows, axis=0)[[s - SHINGLE for s in sizes]]
+        bands = (low.reshape(len(sizes), BANDS, ROWS_A_BAND) * _FOLD).sum(axis=2, dtype=np.uint64)
+        keys = _mixed(bands + np.arange(BANDS, dtype=np.uint64) * _PLACE[6] + np.array(sizes, np.uint64)[:, None] * _PLACE[7])
+    return keys.view(np.int64).tolist()
+
+
+_PLAIN = "field string, key bigint, body string"
+_ENDS = "field string, id binary, body string, verdict string, asked array<bigint>, fragment boolean, several boolean, buckets array<bigint>, looks array<bigint>"
 
 
 def _plain_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,54 +356,48 @@ def _plain_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first verdict on each text, what is asked of it, and its buckets (``looks``: those an open end looks into)."""
+    longs = pa.list_(pa.int64())
     schema = pa.schema(
-        [("field", pa.string()), ("id", pa.binary()), ("verdict", pa.string()), ("closing", pa.list_(pa.int64())), ("fragment", pa.bool_()), ("sentences", pa.int32()), ("norm", pa.string()), ("buckets", pa.list_(pa.int64()))]
+        [("field", pa.string()), ("id", pa.binary()), ("body", pa.string()), ("verdict", pa.string()), ("asked", longs), ("fragment", pa.bool_()), ("several", pa.bool_()), ("buckets", longs), ("looks", longs)]
     )
+    hashes = _Words()
     for batch in batches:
         rows = []
         for field, key, body in zip(*(c.to_pylist() for c in batch.columns[:3])):
-            verdict, parts = look(body)
-            closing, fragment = [], False
+            verdict = look(body)
+            asked, fragment, several = [], False, False
             if verdict.startswith("ask"):
-                words = parts[-1][0] if parts else []
-                closing = [_hash(field, " ".join(words[-k:])) if len(words) >= k else None for k in LENGTHS]
-                closing += [_hash("", _start(words)), _hash("", _within(words, len(words)))] if words else []
-                fragment = bool(words) and len(words[-1]) > 1 and words[-1].isalpha() or bool(words) and bool(re.fullmatch("[a-zа-я]", words[-1]))
-            norm = body.lower()
-            rows.append((field, key, verdict, closing, fragment, len(parts), norm, buckets([m[0] for m in _TOKEN.finditer(norm) if m[0].isalnum()])))
+                parts = sentences(body)
+                words = _MASKED.findall(parts[-1][0]) if parts else []
+                several = len(parts) > 1
+                if words:
+                    asked, fragment = closing(words, field, hashes)
+            placed = buckets(_TOKEN.findall(body.lower()), hashes)
+            rows.append((field, key, body, verdict, asked, fragment, several, [b for at in placed for b in at], placed[-1] if placed and verdict == "ask-bare" else []))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def _contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h, mid, mark, bare`` of the sentences, combined over many texts."""
     seen: Counter = Counter()
+    hashes = _Words()
 
     def flush() -> pa.RecordBatch:
-        found: Counter = Counter()
-        for (field, words, end), n in seen.items():
-            contexts(words, end, field, n, found)
+        keys, table = counted(seen, hashes)
         seen.clear()
-        table: dict[int, list[int]] = {}
-        for (h, what), n in found.items():
-            table.setdefault(h, [0, 0, 0])[("mid", "mark", "bare").index(what)] += n
-        columns = [pa.array(list(table), pa.int64())] + [pa.array([v[i] for v in table.values()], pa.int64()) for i in range(3)]
-        return pa.RecordBatch.from_arrays(columns, names=["h", "mid", "mark", "bare"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(3)]], names=["h", "mid", "mark", "bare"])
 
     for batch in batches:
-        for field, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            for words, end in lines_of(tokens(body)):
-                seen[field, tuple(words), end] += 1
+        for field, body, verdict in zip(*(c.to_pylist() for c in batch.columns[:3])):
+            found = sentences(body)
+            seen.update((field, s, e) for s, e in (found[:-1] if verdict == "cut" else found))  # where a text was cut, nothing ends
             if len(seen) >= COMBINE:
                 yield flush()
     if seen:
         yield flush()
 
 
-def _words_at(norm: str) -> tuple[list[str], list[int]]:
-    """The words of a text and where each ends."""
-    found = [(m[0], m.end()) for m in _TOKEN.finditer(norm) if m[0].isalnum() or m[0][0].isalnum()]
-    return [w for w, _ in found], [e for _, e in found]
-
-
 def edits(a: list[str], b: list[str], most: int) -> int:
     """The edits (insert, delete, replace) between two lists of words; ``most + 1`` where there are more than ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -328,90 +427,106 @@ def goes_on(norm: str, end: int, word: str, last: str) -> bool:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``field, id`` of the open-ended texts that longer near-copies continue; rows come by bucket, open ends first."""
+    """What the texts of a block say of its open ends: ``field, bucket, id, equal, on, ends``; rows come by block, open
+    ends first."""
     now = None
-    opened: list[list] = []  # [id, words, edits allowed, goes on, ends, is cut] of the bucket's open ends
+    opened: list[list] = []  # [id, words, edits allowed, an equal copy goes on, copies that go on, copies that end]
     by_anchor: dict[tuple[str, ...], list[list]] = {}
-    waiting: list[tuple[bytes, str]] = []
 
     def meet(key: bytes, norm: str) -> None:
-        words, at = _words_at(norm)
-        for i, word in enumerate(words):
+        found = [(m[0], m.end()) for m in _TOKEN.finditer(norm)]
+        words = [w for w, _ in found]
+        for i, (word, at) in enumerate(found):
             for one in by_anchor.get(tuple(words[max(0, i - ANCHOR) : i]), ()):
                 last = one[1][-1]
-                if one[5] or one[0] == key or not word.startswith(last):
+                if one[3] or one[0] == key or not word.startswith(last):
                     continue
                 n = edits(one[1][:-1], words[:i], one[2])
                 if n > one[2]:
                     continue
-                on = goes_on(norm, at[i], word, last)
-                one[5] = on and n == 0
-                one[3 if on else 4] += 1
+                on = goes_on(norm, at, word, last)
+                one[3] = on and n == 0
+                one[4 if on else 5] += 1
+
+    def settle() -> list[tuple]:
+        told = [(*now[:2], one[0], one[3], one[4], one[5]) for one in opened if one[4] or one[5]]
+        opened.clear(), by_anchor.clear()
+        return told
 
-    def settle() -> Iterator[tuple[str, bytes]]:
-        for key, norm in waiting:
-            meet(key, norm)
-        for one in opened:
-            if one[5] or one[3] > 3 * one[4]:
-                yield now[0], one[0]
-        opened.clear(), by_anchor.clear(), waiting.clear()
+    schema = pa.schema([("field", pa.string()), ("bucket", pa.int64()), ("id", pa.binary()), ("equal", pa.bool_()), ("on", pa.int64()), ("ends", pa.int64())])
 
-    def emit(found: list[tuple[str, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([i for _, i in found], pa.binary())], names=["field", "id"])
+    def emit(told: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told), schema)] if told else [pa.array([], f.type) for f in schema], schema=schema)
 
     for batch in batches:
-        found: list[tuple[str, bytes]] = []
-        for field, key, norm, is_open, bucket in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "norm", "open", "bucket"))):
-            if now != (field, bucket):
-                found += settle()
-                now = field, bucket
-            if not is_open:
+        told: list[tuple] = []
+        for field, bucket, block, asks, key, norm in zip(*(batch.column(c).to_pylist() for c in ("field", "bucket", "block", "asks", "id", "norm"))):
+            if now != (field, bucket, block):
+                told += settle()
+                now = field, bucket, block
+            if not asks:
                 meet(key, norm)
                 continue
-            words = _words_at(norm)[0]
-            one = [key, words, max(1, len(words) // WORDS_AN_EDIT), 0, 0, False]
+            words = _TOKEN.findall(norm)
+            one = [key, words, max(1, len(words) // WORDS_AN_EDIT), False, 0, 0]
             opened.append(one)
             by_anchor.setdefault(tuple(words[:-1][-ANCHOR:]), []).append(one)
-            waiting.append((key, norm))  # open ends may continue one another
-        yield emit(found)
-    yield emit(list(settle()))
+        yield emit(told)
+    yield emit(settle() if now else [])
 
 
 def _early_ends(ends: DataFrame) -> DataFrame:
     """``field, id`` of open-ended texts that a longer copy continues."""
-    placed = ends.select("field", "id", "norm", (F.col("verdict") == "ask-bare").alias("open"), F.explode("buckets").alias("bucket"))
-    live = placed.groupBy("field", "bucket").agg(F.max("open").alias("open"), F.count(F.lit(1)).alias("n"))
-    live = live.where(F.col("open") & (F.col("n") > 1)).select("field", "bucket")
-    members = placed.join(live, ["field", "bucket"]).repartition("field", "bucket").sortWithinPartitions("field", "bucket", F.desc("open"), "id")
-    return members.mapInArrow(_aligned, "field string, id binary").distinct()
+    asking = ends.where(F.size("looks") > 0).select("field", "id", F.explode("looks").alias("bucket"))
+    wanted = _filter(asking.select("bucket"), "bucket")
+    placed = ends.select("field", "id", F.explode("buckets").alias("bucket")).join(wanted, F.pmod("bucket", F.lit(FILTER)) == F.col("bit"), "left_semi")
+    both = placed.select("field", "bucket", "id", F.lit(False).alias("asks")).unionByName(asking.select("field", "bucket", "id", F.lit(True).alias("asks")))
+    live = both.groupBy("field", "bucket").agg(F.count_if("asks").alias("n_open"), F.count_if(~F.col("asks")).alias("n")).where((F.col("n_open") > 0) & (F.col("n") > 1))
+    # a block holds one part of the texts against one part of the open ends; nearly all buckets are one block
+    parts, open_parts = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "n_open"))
+    member = both.join(live.select("field", "bucket", parts.alias("parts"), open_parts.alias("open_parts")), ["field", "bucket"])
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("open_parts")).otherwise(F.col("parts")))
+    others = F.sequence(F.lit(0), F.when(F.col("asks"), F.col("parts")).otherwise(F.col("open_parts")) - 1)
+    block = F.when(F.col("asks"), F.col("own") * F.col("parts") + F.col("other")).otherwise(F.col("other") * F.col("parts") + F.col("own"))
+    blocks = member.withColumn("own", own).withColumn("other", F.explode(others)).select("field", "bucket", "id", "asks", block.alias("block"))
+    held = blocks.join(ends.select("field", "id", F.lower("body").alias("norm")), ["field", "id"])
+    held = held.repartition("field", "bucket", "block").sortWithinPartitions("field", "bucket", "block", F.desc("asks"), "id")
+    told = held.mapInArrow(_aligned, "field string, bucket bigint, id binary, equal boolean, on bigint, ends bigint")
+    summed = told.groupBy("field", "id", "bucket").agg(F.max("equal").alias("equal"), F.sum("on").alias("on"), F.sum("ends").alias("ends"))
+    return summed.where(F.col("equal") | (F.col("on") > 3 * F.col("ends"))).select("field", "id").distinct()
+
+
+def _filter(hashes: DataFrame, column: str) -> DataFrame:
+    """The remainders of hashes, at most ``FILTER`` numbers: a broadcast of bounded size that tells most others apart."""
+    return F.broadcast(hashes.select(F.pmod(column, F.lit(FILTER)).alias("bit")).distinct())
 
 
 @F.pandas_udf(T.BooleanType())
-def _decided(verdict: pd.Series, met: pd.Series, fragment: pd.Series, sentences: pd.Series, open_texts: pd.Series) -> pd.Series:
-    def one(v, found, f, n, among):
-        by_rank = {s["rank"]: (s["mid"], s["mark"], s["bare"]) for s in (() if found is None else found)}
-        return decide(v, [by_rank.get(i) for i in range(len(LENGTHS))], by_rank.get(len(LENGTHS)), by_rank.get(len(LENGTHS) + 1), f, n, among)
+def _decided(verdict: pd.Series, met: pd.Series, fragment: pd.Series, several: pd.Series) -> pd.Series:
+    def one(v, found, f, n):
+        by_kind = {ASKED[s["rank"]]: (s["mid"], s["mark"], s["bare"]) for s in (() if found is None else found)}
+        return decide(v, by_kind, f, n)
 
-    return pd.Series([one(*x) for x in zip(verdict, met, fragment, sentences, open_texts)], dtype=bool)
+    return pd.Series([one(*x) for x in zip(verdict, met, fragment, several)], dtype=bool)
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """``field, key, is_cut`` of all values (``field, key, value``, each key once)."""
-    read = materialise(rows.select("field", "key", "value").mapInArrow(_plain_of, _PLAIN)).withColumn("id", F.unhex(F.md5(F.lower("body"))))
-    texts = materialise(read.where("body is not null").groupBy("field", "id").agg(F.min("body").alias("body")))
+    read = rows.select("field", "key", "value").mapInArrow(_plain_of, _PLAIN).withColumn("id", F.unhex(F.md5(F.lower("body"))))
+    read = materialise(read)  # read twice below
+    texts = read.where("body is not null").groupBy("field", "id").agg(F.min("body").alias("body"))
     ends = materialise(texts.mapInArrow(_ends_of, _ENDS))  # read six times below
-    stats = texts.mapInArrow(_contexts_of, "h bigint, mid bigint, mark bigint, bare bigint")
+    asked = ends.where(F.col("verdict").startswith("ask")).select("field", "id", "verdict", "asked", "fragment", "several")
+    wanted = asked.select("field", "id", F.posexplode("asked").alias("rank", "h")).where("h is not null")
+    stats = ends.select("field", "body", "verdict").mapInArrow(_counts_of, "h bigint, mid bigint, mark bigint, bare bigint")
+    stats = stats.join(_filter(wanted, "h"), F.pmod("h", F.lit(FILTER)) == F.col("bit"), "left_semi")
     stats = stats.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("mid", "mark", "bare")])
-    asked = ends.where(F.col("verdict").startswith("ask"))
-    wanted = asked.select("field", "id", F.posexplode("closing").alias("rank", "h")).where("h is not null")
-    met = wanted.join(stats, "h").groupBy("field", "id").agg(F.collect_list(F.struct("rank", "mid", "mark", "bare")).alias("met"))  # at most 7 a text
-    among = F.broadcast(asked.groupBy("field").agg(F.count_if(F.col("verdict") == "ask-bare").alias("open_texts")))  # a row a column
-    asked = asked.join(met, ["field", "id"], "left").join(among, "field")
-    by_words = asked.select("field", "id", _decided.asNondeterministic()("verdict", "met", "fragment", "sentences", "open_texts").alias("by_words"))
+    met = wanted.join(stats, "h").groupBy("field", "id").agg(F.collect_list(F.struct("rank", "mid", "mark", "bare")).alias("met"))  # at most 9 a text
+    by_words = asked.join(met, ["field", "id"], "left").select("field", "id", _decided.asNondeterministic()("verdict", "met", "fragment", "several").alias("by_words"))
     sure = ends.where(~F.col("verdict").startswith("ask")).select("field", "id", (F.col("verdict") == "cut").alias("by_words"))
     early = _early_ends(ends).withColumn("by_copy", F.lit(True))
     cut = by_words.unionByName(sure).join(early, ["field", "id"], "left").where(F.col("by_words") | F.col("by_copy")).select("field", "id", F.lit(True).alias("cut"))
-    return read.join(cut, ["field", "id"], "left").select("field", "key", F.coalesce("cut", F.lit(False)).alias("is_cut"))
+    return read.select("field", "key", "id").join(cut, ["field", "id"], "left").select("field", "key", F.coalesce("cut", F.lit(False)).alias("is_cut"))
 
 
 def values(response: DataFrame, scenario: DataFrame) -> DataFrame:

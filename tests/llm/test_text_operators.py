@@ -1,5 +1,6 @@
 """Problems 2 to 5 on small fixtures and their defined cases."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -142,10 +143,54 @@ def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark):
         assert {r.row_key for r in truncation.cut_values(rows).collect()} == set(range(len(corpus()), len(texts)))
 
 
-def test_a_fragment_is_one_at_any_size():
-    for n in (1, 10, 100):  # the same shares in a small, a middle and a large corpus
-        met = [None, None, None, None, (0, 0, n)]
-        assert truncation.decide("ask-bare", met, (0, 90 * n, 40 * n), None, True, 1, 400 * n)
+def test_decisions_are_the_same_at_any_size():
+    for n in (1, 10, 1000):  # the same rates in a small, a middle and a large corpus
+        own = lambda mid, mark, bare: (mid, mark, bare + 1)
+        assert truncation.decide("ask-bare", {2: own(0, 0, n), 1: own(0, 0, n), "longer": (90 * n, 0, 0)}, True, False)
+        assert truncation.decide("ask-bare", {1: own(90 * n, 0, 2 * n), "begun": own(0, 0, 2 * n)}, False, False)
+        assert truncation.decide("ask-bare", {6: own(90 * n, 9 * n, 2 * n)}, False, True)
+        assert not truncation.decide("ask-bare", {6: own(9 * n, 9 * n, 20 * n), "begun": own(0, 90 * n, 9 * n)}, False, True)
+        assert not truncation.decide("ask-bare", {"within": own(0, 0, 9 * n), 1: own(90 * n, 0, 9 * n)}, False, False)
+
+
+def test_ten_times_the_texts_give_ten_times_the_cases(spark):
+    def texts(times):
+        towns = [f"{a}{b}{c}" for a in ("Ma", "Li", "Hi", "Sa", "Gi") for b in ("fi", "lo", "le", "ti") for c in ("ke", "la", "hi", "mo", "si", "ko", "vi", "me", "ri", "no")][: 20 * times]
+        whole = [t.replace("Mafike", x) for x in towns for t in (f"The town of {x} plans to honour the founders of its grain stores with a plaque. The council merged several older offices.", f"Describe the border markets of {x} for a general reader")]
+        return whole, [f"The town of {x} plans to honour the founders of its grain stores with a plaque. The council merged sev" for x in towns[::10]]
+
+    for times in (1, 10):
+        whole, cut = texts(times)
+        rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(whole + cut)], "field string, key long, value string")
+        found = [r.row_key for r in truncation.cut_values(rows).collect()]
+        assert sorted(found) == list(range(len(whole), len(whole) + 2 * times))
+    again = rows.unionByName(rows.selectExpr("field", "key + 100000 AS key", "value"))
+    assert truncation.cut_values(again).count() == 2 * len(found)
+
+
+def test_cut_copies_share_a_bucket_with_their_whole():
+    rng = random.Random(3)
+    hashes = truncation._Words()
+    for kept in (0.3, 0.5, 0.7, 0.9):
+        met = 0
+        for _ in range(100):
+            words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+            other = list(words)
+            other[rng.randrange(20, 60)] = "another"
+            open_end = truncation.buckets(words[: int(60 * kept)], hashes)[-1]
+            met += bool(set(open_end) & {b for at in truncation.buckets(other, hashes) for b in at})
+        assert met >= 90
+
+
+def test_large_buckets_are_split_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "BLOCK", 3)
+    ask = "List the three oldest and best known facts about the long and winding harbour wall of"
+    texts = [f"{ask} the town {i}." for i in range(20)] + [f"{ask} the to"] + [f"{ask} the town {i} and its" for i in range(5)]
+    rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "field string, key long, value string")
+    ends = spark.createDataFrame([("f", str(i).encode(), t, "ask-bare" if i >= 20 else "whole") for i, t in enumerate(texts)], "field string, id binary, body string, verdict string")
+    ends = ends.mapInArrow(truncation._ends_of, truncation._ENDS)
+    assert {int(r.id.decode()) for r in truncation._early_ends(ends).collect()} == {20}
+    assert 20 in {r.key for r in truncation.judged(rows).where("is_cut").collect()}
 
 
 def test_cut_copy_that_differs_before_its_end(spark):
