@@ -2,9 +2,9 @@
 
 Method: rank-order profiles. The n-grams (1 to 3 characters within words) of the labelled sentences of each language are
 ranked by frequency; a sentence is compared to each profile by the out-of-place distance (the sum of the differences of
-ranks; a missing n-gram costs the whole profile length) and takes the nearest language. The confidence is the margin
-between the nearest and the second language as a share of the largest possible distance, scaled by how much text there
-is.
+ranks; a missing n-gram costs the whole profile length) and takes the nearest language. All languages are compared for every sentence; its scripts take part as further n-grams, ahead of the
+others. The confidence is the margin between the nearest and the second language as a share of the largest possible
+distance, scaled by how much text there is.
 
 The profiles are fitted on at most ``SAMPLE_ROWS`` labelled rows per language (a documented bound); they are a few
 thousand n-grams a language and travel with the Python function. Classification is one pass over the column in Arrow
@@ -15,7 +15,8 @@ another script don't decide: quotations and brackets are left out, and the scrip
 characters of an unspaced script count as one). Fragments below ``SHORT`` letters take the language of their
 neighbours. Neighbouring sentences of one language make a segment.
 
-Defined cases: null texts, and texts without a letter, have no language and are no cases. The label is read by its
+Defined cases: null texts, and texts without a letter, have no language and are no cases. Text that shares no n-gram with
+any profile has the language ``und`` with confidence 0; it makes an answer a mixed one, but names no language of a case. The label is read by its
 primary subtag in any letter case and with any separator, in two- or three-letter codes or as the language's name;
 other values, blanks and placeholders name no language. Extra columns are ignored.
 """
@@ -26,7 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,10 @@ PROFILE = 3000
 #: Longest n-gram; letters below which a stretch is a fragment.
 LONGEST = 3
 SHORT = 12
+#: Distinct sentences that a task remembers the language of.
+REMEMBERED = 200_000
+#: The language of text in a script that no profile knows (the code of standards for undetermined languages).
+UNKNOWN = "und"
 #: Confidence below which a sentence follows a neighbour of its script group.
 DOUBTFUL = 0.2
 
@@ -68,11 +73,11 @@ def label_language(label: Column) -> Column:
 
 
 _GROUPS = (
-    ("unspaced", re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]+")),
+    ("unspaced", re.compile("[぀-ヿ㐀-䶿一-鿿\uf900-\ufaff]+")),
     ("cyrillic", re.compile("[Ѐ-ԯ]+")),
     ("latin", re.compile("[A-Za-zÀ-ɏ]+")),
+    ("other", re.compile(r"[^\W\d_A-Za-zÀ-ɏЀ-ԯ぀-ヿ㐀-䶿一-鿿\uf900-\ufaff]+")),
 )
-_KANA = re.compile("[぀-ヿ]")
 _QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|「[^」\n]*」|«[^»\n]*»|\([^()\n]*\)|（[^（）\n]*）')
 _MARKED = re.compile(r"[.!?。！？…][\"”’)」』）]*\s*$")
 _CUT = re.compile(r"[^.!?。！？\n]*(?:[.!?]+[\"”’)]*(?=\s|$)|[。！？]+[”」』）]*|\n+|$|[.!?])")
@@ -125,68 +130,86 @@ def ranked_ngrams(words: list[str]) -> list[str]:
     return [g for g, _ in Counter(chain.from_iterable(map(word_ngrams, words))).most_common()]
 
 
-class Profiles:
-    """The ranks of the n-grams of each language.
+_KANA, _HAN = re.compile("[぀-ヿ]"), re.compile("[㐀-䶿一-鿿\uf900-\ufaff]")
+
+
+def script_grams(group: str, words: list[str]) -> list[str]:
+    """The scripts of a sentence as further n-grams: all together (Han alone, kana alone and both differ) and each."""
+    if group != "unspaced":
+        return [f"\0{group}"]
+    text = "".join(words)
+    each = [f"\0{name}" for name, p in (("kana", _KANA), ("han", _HAN)) if p.search(text)]
+    return ["".join(each) + "\0", *each]
+
 
-    A language is a candidate for a sentence if its own samples are written in the sentence's script group; among the
-    unspaced ones, kana point to the languages whose samples have kana. Where one candidate is left, no distance is
-    needed.
-    """
+#: The rank of an n-gram that a profile lacks: farther than any distance.
+_ABSENT = np.iinfo(np.int32).max // 2
+
+
+class Profiles:
+    """The ranks of the n-grams of each language."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.group: dict[str, str] = {}
-        self.kana: dict[str, bool] = {}
-        ranks: dict[str, dict[str, int]] = {}
-        for lang in sorted(samples):
-            pairs = [letters_of(consistent(text)) for text in samples[lang]]
-            words = [w for _, ws in pairs for w in ws]
-            self.group[lang] = Counter(g for g, _ in pairs if g).most_common(1)[0][0] if words else ""
-            self.kana[lang] = sum(len(_KANA.findall(w)) for w in words) > 0.1 * sum(map(len, words))
-            ranks[lang] = {g: i for i, g in enumerate(ranked_ngrams(words)[:PROFILE])}
-        self.candidates = {g: [x for x in sorted(self.group) if self.group[x] == g] for g, _ in _GROUPS}
+        self.languages = sorted(samples)
+        self.group: dict[str, str] = {UNKNOWN: "other"}
         self.ids: dict[str, int] = {}
-        for rank in ranks.values():
-            for g in rank:
+        ranks = []
+        for lang in self.languages:
+            pairs = [letters_of(consistent(text)) for text in samples[lang]]
+            self.group[lang] = max(Counter(g for g, _ in pairs if g).most_common(1), key=lambda x: x[1], default=("", 0))[0]
+            scripts = [g for g, _ in Counter(g for p in pairs if p[1] for g in script_grams(*p)).most_common()]
+            ranks.append({g: i for i, g in enumerate([*scripts, *ranked_ngrams([w for _, ws in pairs for w in ws])][:PROFILE])})
+            for g in ranks[-1]:
                 self.ids.setdefault(g, len(self.ids) + 1)
-        self.rank: dict[str, np.ndarray] = {}
-        for lang, rank in ranks.items():
-            row = np.full(len(self.ids) + 1, np.iinfo(np.int32).max // 2, dtype=np.int64)
+        self.rank = np.full((len(self.languages), len(self.ids) + 1), _ABSENT, dtype=np.int64)
+        for row, rank in zip(self.rank, ranks):
             row[[self.ids[g] for g in rank]] = list(rank.values())
-            self.rank[lang] = row
 
-    def distance(self, ranked: list[str], lang: str) -> int:
-        """The out-of-place distance of ranked n-grams to a profile."""
-        get = self.ids.get
-        rows = self.rank[lang][[get(g, 0) for g in ranked]]
-        return int(np.minimum(np.abs(rows - np.arange(len(ranked))), PROFILE).sum())
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "read"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
+    def distances(self, ranked: list[str]) -> np.ndarray:
+        """The out-of-place distance of ranked n-grams to the profile of each language."""
+        rows = self.rank[:, list(map(self.ids.get, ranked, repeat(0)))]
+        return np.minimum(np.abs(rows - np.arange(len(ranked))), PROFILE).sum(axis=1)
 
     def judge(self, sentence: str) -> tuple[str | None, float, int]:
-        """The language of a sentence, the confidence and the number of letters that decided (an unspaced one counts as two)."""
+        """The language of a sentence, the confidence and the number of letters that decided (an unspaced one counts as two).
+
+        All languages with a profile are compared; ``UNKNOWN`` with confidence 0 where no profile has any of the n-grams.
+        """
         group, words = letters_of(sentence)
-        size = sum(map(len, words)) * (2 if group == "unspaced" else 1)
-        among = self.candidates.get(group, [])
-        if group == "unspaced" and (size >= SHORT or _MARKED.search(sentence)):
-            share = 2 * sum(len(_KANA.findall(w)) for w in words) / size
-            if share == 0 or share > 0.1:
-                among = [x for x in among if self.kana[x] == (share > 0)] or among
-        if not among:
+        if not words:
             return None, 0.0, 0
-        if len(among) == 1:
-            return among[0], min(1.0, size / 40), size
-        ranked = ranked_ngrams(words)
-        far = sorted((self.distance(ranked, lang), lang) for lang in among)
-        margin = (far[1][0] - far[0][0]) / (PROFILE * len(ranked))
-        return far[0][1], min(1.0, 4 * margin) * min(1.0, size / 40), size
+        size = sum(map(len, words)) * (2 if group == "unspaced" else 1)
+        ranked = [*script_grams(group, words), *ranked_ngrams(words)]
+        most = PROFILE * len(ranked)
+        far = self.distances(ranked) if self.languages else np.array([most])
+        first = int(far.argmin())  # ties: the first in alphabetical order
+        if far[first] == most:
+            return UNKNOWN, 0.0, size
+        second = np.partition(far, 1)[1] if len(far) > 1 else most
+        margin = (second - far[first]) / most
+        return self.languages[first], float(min(1.0, 4 * margin) * min(1.0, size / 40)), size
+
+    def reading(self, sentence: str) -> tuple[str | None, float, int, bool]:
+        """``judge`` of the consistent form, and whether it is a whole sentence; sentences read lately are remembered."""
+        if "read" not in self.__dict__:
+            self.read = lru_cache(maxsize=REMEMBERED)(self._reading)
+        return self.read(sentence)
+
+    def _reading(self, sentence: str) -> tuple[str | None, float, int, bool]:
+        part = consistent(sentence)
+        return (*self.judge(part), is_whole(part))
 
     def segments(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """``start, end, language, confidence`` of the stretches of a text in one language each."""
         if not text:
             return []
-        judged = []
-        for a, b in sentences(text):
-            part = consistent(text[a:b])
-            lang, sure, size = self.judge(part)
-            judged.append([a, b, lang, sure, size])
+        judged = [[a, b, *self.reading(text[a:b])] for a, b in sentences(text)]
         firm = [i for i, j in enumerate(judged) if j[2] and j[4] >= SHORT and j[3] >= DOUBTFUL]
         firm = firm or [i for i, j in enumerate(judged) if j[2] and j[4] >= SHORT]
         if not firm:
@@ -199,12 +222,12 @@ class Profiles:
             same = [f for f in firm if j[2] and self.group[judged[f][2]] == self.group[j[2]]]
             if j[4] < SHORT and same:
                 j[2], j[3] = judged[min(same, key=lambda f: (abs(f - i), f))][2], 0.0
-            elif not j[2] or j[4] < SHORT and not is_whole(consistent(text[j[0] : j[1]])):
+            elif not j[2] or j[4] < SHORT and not j[5]:
                 j[2], j[3] = judged[near][2], 0.0
             elif same:
                 j[2] = judged[min(same, key=lambda f: (abs(f - i), f))][2]
         out: list[list] = []
-        for a, b, lang, sure, size in judged:
+        for a, b, lang, sure, size, _ in judged:
             if out and out[-1][2] == lang:
                 out[-1][1] = b
                 out[-1][3] += sure * size
@@ -259,4 +282,4 @@ def mislabelled(found: DataFrame) -> DataFrame:
     named = label_language(F.col("label"))
     wrong = named.isNull() | (named != F.col("languages")[0])
     cases = by_language(found).where((F.size("languages") > 1) | wrong)
-    return cases.select("response_id", F.explode("languages").alias("language"))
+    return cases.select("response_id", F.explode("languages").alias("language")).where(F.col("language") != UNKNOWN)

@@ -7,7 +7,8 @@ unmistakable letters (Latin where there are none). Remaining forms are normalise
 become the ordinary space, full- and half-width letters and digits, ligatures, radicals and compatibility ideographs
 become the usual character, and accents are composed.
 
-``skeleton`` writes every look-alike letter in one prototype (as in Unicode Technical Standard 39); two values look the
+``skeleton`` writes every look-alike letter in one prototype. The letters are those of the public table of Unicode Technical
+Standard 39, read from the Unicode library that every Spark installation holds, as far as both have the same case; two values look the
 same exactly if their skeletons are equal. ``consistent`` respells the skeleton by script, so it is a function of the
 skeleton: values that look the same get the same consistent form, and it is readable text of the right script.
 
@@ -26,11 +27,16 @@ once, by its latest row; several keys with one identical string give no pair amo
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import string
+import struct
 import sys
 import unicodedata
+import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,7 +46,8 @@ from pyspark.sql import types as T
 from ..runtime import materialise
 from .common import once_per_key
 
-# Letters that look like a letter of the Latin alphabet, by script, in pairs of look-alike and prototype.
+# Letters that look like a letter of the Latin alphabet, by script, in pairs of look-alike and prototype. They
+# go before the public table and say which letter of a script is written for a prototype.
 CYRILLIC = (
     "аa сc ԁd еe һh іi јj ӏl оo рp ԛq ѕs ѵv ԝw хx уy ɡg "
     "АA ВB СC ЕE ԌG НH ІI ЈJ КK МM ОO РP ԚQ ЅS ТT ѴV ԜW ХX УY ҮY ӀI ЗƷ"
@@ -49,18 +56,81 @@ GREEK = "αa γy ιı νv οo ρp υu ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM Ν
 ARMENIAN = "օo ոn սu հh ցg զq ԱU ՏS ՕO ԼL"
 CHEROKEE = "ᎪA ᏴB ᏟC ᎠD ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ"
 
-_SCRIPTS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE}
+_LISTED = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE}
 
 # Characters without any ink besides those of category Cf.
 _INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 
 _BLOCKS = ((0x2E80, 0x2FDF), (0xFB00, 0xFB06), (0xFF01, 0xFFEF), (0x3131, 0x318E))
+_DATA = "com/ibm/icu/impl/data/icudata/confusables.cfu"
 
 
 def _pairs(listing: str) -> dict[str, str]:
     return {p[0]: p[1] for p in listing.split()}
 
 
+def _library() -> Path:
+    """The archive of the public Unicode library that every Spark installation holds."""
+    import pyspark
+
+    here = Path(pyspark.__file__).resolve()
+    homes = [Path(x) for x in (os.environ.get("SPARK_HOME"), *sys.path) if x] + list(here.parents)
+    for home in homes:
+        for folder in (home / "jars", home / "pyspark" / "jars"):
+            for jar in sorted(folder.glob("icu4j-*.jar")) if folder.is_dir() else ():
+                return jar
+    raise FileNotFoundError("icu4j-*.jar: Spark's folder of archives holds the Unicode table of look-alikes; set SPARK_HOME")
+
+
+def public_table() -> dict[str, str]:
+    """The look-alikes of Unicode Technical Standard 39 (``confusables.txt``) as each Spark installation holds them in its
+    Unicode library: character and prototype. The file is a header, keys (code point and length), values and strings."""
+    with zipfile.ZipFile(_library()) as jar:
+        data = jar.read(_DATA)
+    data = data[int.from_bytes(data[:2], "big") :]
+    _, _, _, keys_at, n, values_at, _, strings_at, _ = struct.unpack(">9i", data[:36])
+    keys = struct.unpack(f">{n}I", data[keys_at : keys_at + 4 * n])
+    values = struct.unpack(f">{n}H", data[values_at : values_at + 2 * n])
+    out = {}
+    for key, value in zip(keys, values):
+        size = (key >> 24) + 1
+        at = strings_at + 2 * value
+        out[chr(key & 0xFFFFFF)] = chr(value) if size == 1 else data[at : at + 2 * size].decode("utf-16-be")
+    return out
+
+
+def _cased_lookalikes() -> dict[str, str]:
+    """Letters with case outside ASCII, and letters and digits that are mere fonts of ASCII ones, with their prototype.
+
+    Upper case stays upper and lower case lower, since letter case is visible; accents and raised letters are visible
+    too, so compatibility letters that stand higher or lower are left alone. Of the letters that are Latin themselves
+    only small capitals and the script forms a and g are taken.
+    """
+    table = public_table()
+    ascii_of: dict[str, list[str]] = {}
+    for letter in string.ascii_letters:
+        ascii_of.setdefault(table.get(letter, letter), []).append(letter)
+    out = {}
+    for char, prototype in table.items():
+        kind, name = unicodedata.category(char), unicodedata.name(char, "")
+        if char.isascii() or kind not in ("Lu", "Ll", "Nl", "Nd") and not name.startswith("LISU"):
+            continue
+        plain = unicodedata.normalize("NFKC", char)
+        if plain.isascii() and len(plain) == 1 and (kind == "Nl" or unicodedata.decomposition(char).startswith(("<font>", "<wide>"))):
+            out[char] = plain
+            continue
+        if kind == "Nd" or name.startswith("LATIN") and not re.search("SMALL CAPITAL|LETTER ALPHA$|LETTER SCRIPT G$", name):
+            continue
+        same_case = [c for c in ascii_of.get(prototype, ()) if c.isupper() == (char.isupper() or kind == "Lo")]
+        if same_case:
+            out[char] = same_case[0]
+    return out
+
+
+def _script_by_name(char: str) -> str:
+    return unicodedata.name(char, "LATIN").split(" ")[0].capitalize()
+
+
 @lru_cache(maxsize=1)
 def tables() -> tuple[dict[int, str | None], dict[str, dict[str, str]]]:
     """The table for ``str.translate`` and, by script, the look-alike of each prototype. Built from rules."""
@@ -78,10 +148,15 @@ def tables() -> tuple[dict[int, str | None], dict[str, dict[str, str]]]:
                 one[code] = plain
     one |= {ord(c): None for c in _INVISIBLE}
     back: dict[str, dict[str, str]] = {}
-    for script, listing in _SCRIPTS.items():
+    for script, listing in _LISTED.items():
         pairs = _pairs(listing)
         one |= {ord(a): b for a, b in pairs.items()}
         back[script] = {b: a for a, b in reversed(pairs.items()) if script.upper() in unicodedata.name(a)}
+    for char, prototype in sorted(_cased_lookalikes().items()):
+        one.setdefault(ord(char), prototype)
+        script = _script_by_name(char)
+        if script != "Latin" and not unicodedata.decomposition(char):
+            back.setdefault(script, {}).setdefault(prototype, char)
     return one, back
 
 
@@ -99,8 +174,8 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 @lru_cache(maxsize=65536)
 def script_of(char: str) -> str:
     """The script of a letter by its Unicode name; Latin for letters without one."""
-    first = unicodedata.name(char, "LATIN").split(" ")[0]
-    return first.capitalize() if first.capitalize() in _SCRIPTS else "Latin" if first == "LATIN" else "Other"
+    script = _script_by_name(char)
+    return script if script == "Latin" or script in tables()[1] else "Other"
 
 
 def _fixed(token: str, prototypes: set[str]) -> set[str]:
@@ -206,11 +281,29 @@ def normal_forms(rows: DataFrame) -> DataFrame:
     return rows.select("field", "key", consistent_udf("value").alias("form"))
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """``field, key, class_key, n_forms, n_values`` of every value whose look is stored in several forms.
+
+    The form to use beyond small groups: a class of n rows gives n rows, each with the smallest key of the class, while
+    ``same_looking`` gives each pair of them.
+    """
+    drawn = materialise(_drawn(rows))  # read twice below
+    looks = drawn.groupBy("field", "look").agg(F.min("form").alias("least"), F.max("form").alias("most"), F.min("key").alias("class_key"), F.count(F.lit(1)).alias("n_values"))
+    several = looks.where(F.col("least") != F.col("most")).select("field", "look", "class_key", "n_values")
+    held = drawn.join(several, ["field", "look"])
+    forms = held.select("field", "look", "form").distinct().groupBy("field", "look").agg(F.count(F.lit(1)).alias("n_forms"))
+    return held.join(forms, ["field", "look"]).select("field", "key", "class_key", "n_forms", "n_values")
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """``field, key, look, form`` of the values that hold a word or number: digests of what they look like and are."""
+    wordy = rows.where(F.col("value").rlike(HAS_WORD))
+    return wordy.select("field", "key", look_udf("value").alias("look"), F.unhex(F.md5("value")).alias("form"))
+
+
 def same_looking(rows: DataFrame) -> DataFrame:
     """``field, key_a, key_b`` of every two rows of a field whose values look the same but are not the same string."""
-    wordy = rows.where(F.col("value").rlike(HAS_WORD))
-    drawn = wordy.select("field", "key", look_udf("value").alias("look"), F.unhex(F.md5("value")).alias("form"))
-    drawn = materialise(drawn)  # 66 bytes a row; read twice below
+    drawn = materialise(_drawn(rows))  # 66 bytes a row; read twice below
     looks = drawn.groupBy("field", "look").agg(F.min("form").alias("least"), F.max("form").alias("most"))
     several = looks.where(F.col("least") != F.col("most")).select("field", "look")
     held = materialise(drawn.join(several, ["field", "look"], "left_semi"))  # rows of groups with several forms only

@@ -67,6 +67,11 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return lookalike.same_looking(_p4_values(spark, base))
 
 
+def p4_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Problem 4: the values that are stored in several forms, each with the first key of its class."""
+    return lookalike.classes(_p4_values(spark, base))
+
+
 def p4_forms(spark: SparkSession, base: str) -> DataFrame:
     """Problem 4: every value in its one consistent form."""
     return lookalike.normal_forms(_p4_values(spark, base))
@@ -108,7 +113,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [p1_found, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_shares, p8_found]
-    more = [p1_distinct, p2_triggered, p3_segments, p4_forms, p5_rates, p7_mix]
+    more = [p1_distinct, p2_triggered, p3_segments, p4_classes, p4_forms, p5_rates, p7_mix]
     return {f.__name__: f for f in found + more}
 
 

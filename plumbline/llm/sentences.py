@@ -73,7 +73,7 @@ CLAIM_HEADINGS = {
 
 _UP = "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ"
 _LOW = "a-zß-öø-ÿα-ωа-яё"
-_CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+_CJK = "぀-ヿ㐀-䶿一-鿿\uf900-\ufaff"
 #: What a sentence can begin with: an upper-case letter (also behind a quote or bracket), a number, a paragraph number,
 #: a word like "pH", or a letter of a script without case.
 _BEGIN = rf"[\"“„«‘'(\[]*(?:[{_UP}\d\[【]|[{_LOW}][{_UP}]|[{_CJK}ऀ-ॿ฀-๿]|[<$\\�&])"

@@ -72,7 +72,7 @@ COMBINE = 20_000
 #: Values of the filter of asked hashes: 2**20 numbers, some 20 MB, whatever the size of the data.
 FILTER = 1 << 20
 
-_UNSPACED = "぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿"
+_UNSPACED = "぀-ヿ㐀-䶿一-鿿\uf900-\ufaff฀-๿"
 _WORD = rf"[^\W\d_{_UNSPACED}]"
 _UP, _LOW = "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ", "a-zß-öø-ÿα-ωа-яё"
 _CLOSERS = "\"'”’»」』)）]】》〉*_"

@@ -62,15 +62,22 @@ def test_labels(spark, profiles):
     assert langid.mislabelled(langid.detected(spark.createDataFrame([], RESPONSE), profiles)).count() == 0
 
 
+def test_text_of_unknown_scripts_is_undetermined(spark, profiles):
+    assert profiles.segments("이것은 한국어 문장입니다.")[0][2:] == ("und", 0.0)
+    assert [x[2] for x in profiles.segments("The council merged several older offices. 이것은 한국어 문장입니다.")] == ["en", "und"]
+    assert langid.Profiles({**SAMPLES, "ko": ["이것은 한국어 문장입니다.", "그것은 책입니다."]}).segments("이것은 책입니다.")[0][2] == "ko"
+
+
 def test_lookalikes(spark):
-    same = [("Bay", "Вау"), ("é", "é"), ("final", "ﬁn​al"), ("12", "１２"), ("大", "⼤"), ("年", "年"), ("a b", "a b"), ("ё", "ё")]
+    same = [("ⅼ", "l"), ("ⲟ", "o"), ("ᴏ", "o"), ("ɑ", "a"), ("𝐀𝟏", "A1"), ("ꓮ", "A"), ("Bay", "Вау"), ("é", "é"), ("final", "ﬁn​al"), ("12", "１２"), ("大", "⼤"), ("年", "年"), ("a b", "a b"), ("ё", "ё")]
     for a, b in same:
         assert lookalike.skeleton(a) == lookalike.skeleton(b)
         assert lookalike.consistent(a) == lookalike.consistent(b)
-    for a, b in (("a b", "a  b"), ("A", "a"), ("e", "é"), ("392", "39²"), ("，", ","), ("大", "太")):
+    for a, b in (("a b", "a  b"), ("A", "a"), ("e", "é"), ("392", "39²"), ("，", ","), ("大", "太"), ("ı", "i"), ("ᵃ", "a"), ("l", "1"), ("O", "0"), ("м", "m")):
         assert lookalike.skeleton(a) != lookalike.skeleton(b)
     assert lookalike.consistent("Lifοla") == "Lifola"
-    assert lookalike.consistent("сосна в лесу, сор") == "сосна в лесу, сор"
+    for usual in ("сосна в лесу, сор", "Ελλάδα και η Αθήνα", "ⲙⲟⲩ ⲛⲟⲩⲧⲉ", "Բարեւ ձեզ"):
+        assert lookalike.consistent(usual) == usual
     assert lookalike.skeleton(None) is None and lookalike.consistent("") == ""
     values = ["Lifola Bay 1", "Lifοla Bay 1", "Lifola Вау 1", "Lifola Bay 1", "other", None, "", "…", "​…"] + ["hot"] * 40 + ["hοt"]
     rows = spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], "field string, key long, value string")
@@ -78,6 +85,12 @@ def test_lookalikes(spark):
     wordy = [(i, v) for i, v in enumerate(values) if v and any(c.isalnum() for c in v)]
     want = {("f", i, j) for i, v in wordy for j, w in wordy if i < j and v != w and lookalike.skeleton(v) == lookalike.skeleton(w)}
     assert got == want and len(want) == 45
+    looks: dict[str, list[int]] = {}
+    for i, v in wordy:
+        looks.setdefault(lookalike.skeleton(v), []).append(i)
+    several = {k: ids for k, ids in looks.items() if len({values[i] for i in ids}) > 1}
+    classes = {(r.key, r.class_key, r.n_forms, r.n_values) for r in lookalike.classes(rows).collect()}
+    assert classes == {(i, min(ids), len({values[j] for j in ids}), len(ids)) for ids in several.values() for i in ids}
     assert lookalike.same_looking(rows.limit(0)).count() == 0
 
 
