@@ -37,6 +37,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -99,6 +101,7 @@ _OPEN = {"(": ")", "（": "）", "“": "”", "「": "」", "『": "』", "《"
 _CLOSE = {b: a for a, b in _OPEN.items()}
 _BRACKETS = re.compile("[" + re.escape("".join(_OPEN) + "".join(_CLOSE)) + "]")
 _LONE = re.compile("[a-zа-я]")
+_UNSPACED_CHAR = re.compile(f"[{_UNSPACED}]")
 
 
 def plain(text: str) -> str:
@@ -150,7 +153,7 @@ def look(body: str) -> str:
     if end[-1] == ".":
         if _LEADING.search(end):
             return "cut"
-        return "whole" if len(end) < 2 or re.match(f"[{_UNSPACED}]", end[-2]) else "ask-mark"
+        return "whole" if len(end) < 2 or _UNSPACED_CHAR.match(end[-2]) else "ask-mark"
     return "ask-bare"
 
 
@@ -181,6 +184,11 @@ class _Words:
             known.clear(), self.parts.clear()
         return np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
 
+    def one(self, word: str) -> int:
+        if word not in self.known:
+            self.known[word] = xxhash.xxh64_intdigest(word)
+        return self.known[word]
+
     def beginnings(self, word: str) -> np.ndarray:
         """The hashes of all shorter beginnings of a word."""
         if word not in self.parts:
@@ -192,6 +200,7 @@ def _key(kind: object, salt: np.uint64, total: np.ndarray) -> np.ndarray:
     return _mixed(total + _KIND[kind] + salt)
 
 
+@lru_cache(maxsize=1000)
 def _salt(field: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest("field " + field))
 
@@ -208,25 +217,38 @@ def _sums(h: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _starts(h: np.ndarray) -> list[np.uint64]:
-    """The sums over the first 1, 2 and 3 words."""
-    return list(np.cumsum(h[:3] * _PLACE[5 : 5 + len(h[:3])]))
+_64 = (1 << 64) - 1
+_PLACES = [int(x) for x in _PLACE]
+
+
+def _one_key(kind: object, salt: np.uint64, total: int) -> int:
+    """``_key`` of one sum, signed."""
+    h = total + int(_KIND[kind]) + int(salt) & _64
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & _64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & _64
+    h ^= h >> 31
+    return h - (1 << 64) if h >> 63 else h
 
 
 def closing(words: list[str], field: str, hashes: _Words) -> tuple[list[int | None], bool]:
     """What is asked of an open last sentence, in the order of ``ASKED``, and whether its last word may be a fragment."""
-    with np.errstate(over="ignore"):
-        h, salt, n = hashes.hashes(words), _salt(field), len(words)
-        sums, starts = _sums(h), _starts(h)
-        fragment = len(words[-1]) > 1 and words[-1].isalpha() and not re.match(f"[{_UNSPACED}]", words[-1]) or bool(_LONE.fullmatch(words[-1]))
-        out = [_key(k, salt, sums[k][-1:]) if n >= k else None for k in LENGTHS]
-        out.append(_key("within", _ALL, sums[min(3, n)][-1:] + starts[-1] * np.uint64(3)))
-        sure = min(3, n - 1) if fragment else min(3, n)
-        out.append(_key("begun", _ALL, np.array(starts[sure - 1 : sure])) if sure else None)
-        before = h[-2:-1] if n > 1 else np.zeros(1, np.uint64)
-        last = h[-1:] * _PLACE[0]
-        out += [_key("longer", salt, last + before * _PLACE[1]), _key("longer word", salt, last)] if fragment else [None, None]
-    return [None if x is None else int(x.view(np.int64)[0]) for x in out], fragment
+    n, salt, last = len(words), _salt(field), words[-1]
+    sums = [0]
+    for place, word in zip(_PLACES, reversed(words[-max(LENGTHS) :])):
+        sums.append(sums[-1] + hashes.one(word) * place)
+    starts = [0]
+    for place, word in zip(_PLACES[5:], words[:3]):
+        starts.append(starts[-1] + hashes.one(word) * place)
+    fragment = len(last) > 1 and last.isalpha() and not _UNSPACED_CHAR.match(last) or bool(_LONE.fullmatch(last))
+    out = [_one_key(k, salt, sums[k]) if n >= k else None for k in LENGTHS]
+    out.append(_one_key("within", _ALL, sums[min(3, n)] + starts[-1] * 3))
+    sure = min(3, n - 1) if fragment else min(3, n)
+    out.append(_one_key("begun", _ALL, starts[sure]) if sure else None)
+    if not fragment:
+        return [*out, None, None], False
+    word = hashes.one(last) * _PLACES[0]
+    before = hashes.one(words[-2]) * _PLACES[1] if n > 1 else 0
+    return [*out, _one_key("longer", salt, word + before), _one_key("longer word", salt, word)], True
 
 
 def counted(seen: dict[tuple[str, str, str], int], hashes: _Words) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +359,7 @@ def buckets(words: list[str], hashes: _Words) -> list[list[int]]:
         h = hashes.hashes(words[: sizes[-1]])
         n = len(h) - SHINGLE + 1
         grams = _mixed(sum(h[i : i + n] * _PLACE[i] for i in range(SHINGLE)))
-        rows = _mixed(grams[:, None] * _MUL[None, :] + _ADD[None, :])
+        rows = grams[:, None] * _MUL[None, :] + _ADD[None, :]
         low = np.minimum.accumulate(rows, axis=0)[[s - SHINGLE for s in sizes]]
         bands = (low.reshape(len(sizes), BANDS, ROWS_A_BAND) * _FOLD).sum(axis=2, dtype=np.uint64)
         keys = _mixed(bands + np.arange(BANDS, dtype=np.uint64) * _PLACE[6] + np.array(sizes, np.uint64)[:, None] * _PLACE[7])
@@ -411,6 +433,8 @@ def edits(a: list[str], b: list[str], most: int) -> int:
     a, b = a[i:j], b[i:k]
     if not a or not b or len(a) == len(b) == 1:
         return max(len(a), len(b))
+    if len(set(a).difference(b)) > most:  # each of these words is an edit
+        return most + 1
     row = list(range(len(b) + 1))
     for n, x in enumerate(a, 1):
         last, row[0] = row[0], n
@@ -427,19 +451,27 @@ def goes_on(norm: str, end: int, word: str, last: str) -> bool:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the texts of a block say of its open ends: ``field, bucket, id, equal, on, ends``; rows come by block, open
-    ends first."""
+    """What the texts of a block say of its open ends: ``field, id, equal, on, ends``; rows come by block, open ends first.
+
+    A text and an open end that share several bands are held against each other in the first of them only. Of a text no
+    more words are read than an open end of this length can reach.
+    """
     now = None
-    opened: list[list] = []  # [id, words, edits allowed, an equal copy goes on, copies that go on, copies that end]
+    opened: list[list] = []  # [id, words, edits allowed, an equal copy goes on, copies that go on, copies that end, bands before]
     by_anchor: dict[tuple[str, ...], list[list]] = {}
-
-    def meet(key: bytes, norm: str) -> None:
-        found = [(m[0], m.end()) for m in _TOKEN.finditer(norm)]
-        words = [w for w, _ in found]
-        for i, (word, at) in enumerate(found):
+    nearest: set[str] = set()  # the words right before the last ones
+    before: set[tuple[int, ...]] = set()  # the bands before this one of all open ends
+
+    def meet(key: bytes, norm: str, bands: list[int], size: int) -> None:
+        if len(before) <= 2 and all(any(map(int.__eq__, b, bands)) for b in before):
+            return
+        found = list(islice(_TOKEN.finditer(norm), 2 * size + 2 * size // WORDS_AN_EDIT + 1))
+        words = [m[0] for m in found]
+        for i in [i for i, w in enumerate(words[:-1], 1) if w in nearest]:
+            word, at = words[i], found[i].end()
             for one in by_anchor.get(tuple(words[max(0, i - ANCHOR) : i]), ()):
                 last = one[1][-1]
-                if one[3] or one[0] == key or not word.startswith(last):
+                if one[3] or one[0] == key or not word.startswith(last) or any(map(int.__eq__, one[6], bands)):
                     continue
                 n = edits(one[1][:-1], words[:i], one[2])
                 if n > one[2]:
@@ -449,27 +481,29 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one[4 if on else 5] += 1
 
     def settle() -> list[tuple]:
-        told = [(*now[:2], one[0], one[3], one[4], one[5]) for one in opened if one[4] or one[5]]
-        opened.clear(), by_anchor.clear()
+        told = [(now[0], one[0], one[3], one[4], one[5]) for one in opened if one[4] or one[5]]
+        opened.clear(), by_anchor.clear(), nearest.clear(), before.clear()
         return told
 
-    schema = pa.schema([("field", pa.string()), ("bucket", pa.int64()), ("id", pa.binary()), ("equal", pa.bool_()), ("on", pa.int64()), ("ends", pa.int64())])
+    schema = pa.schema([("field", pa.string()), ("id", pa.binary()), ("equal", pa.bool_()), ("on", pa.int64()), ("ends", pa.int64())])
 
     def emit(told: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told), schema)] if told else [pa.array([], f.type) for f in schema], schema=schema)
 
     for batch in batches:
         told: list[tuple] = []
-        for field, bucket, block, asks, key, norm in zip(*(batch.column(c).to_pylist() for c in ("field", "bucket", "block", "asks", "id", "norm"))):
+        for field, bucket, block, asks, key, norm, bands, band, size in zip(*(batch.column(c).to_pylist() for c in ("field", "bucket", "block", "asks", "id", "norm", "bands", "band", "size"))):
             if now != (field, bucket, block):
                 told += settle()
                 now = field, bucket, block
             if not asks:
-                meet(key, norm)
+                meet(key, norm, bands[:band], size)
                 continue
             words = _TOKEN.findall(norm)
-            one = [key, words, max(1, len(words) // WORDS_AN_EDIT), False, 0, 0]
+            one = [key, words, max(1, len(words) // WORDS_AN_EDIT), False, 0, 0, tuple(bands[:band])]
             opened.append(one)
+            before.add(one[6])
+            nearest.update(words[-2:-1])
             by_anchor.setdefault(tuple(words[:-1][-ANCHOR:]), []).append(one)
         yield emit(told)
     yield emit(settle() if now else [])
@@ -477,23 +511,25 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _early_ends(ends: DataFrame) -> DataFrame:
     """``field, id`` of open-ended texts that a longer copy continues."""
-    asking = ends.where(F.size("looks") > 0).select("field", "id", F.explode("looks").alias("bucket"))
+    asking = ends.select("field", "id", F.lit(None).cast("int").alias("at"), F.explode("looks").alias("bucket"))
     wanted = _filter(asking.select("bucket"), "bucket")
-    placed = ends.select("field", "id", F.explode("buckets").alias("bucket")).join(wanted, F.pmod("bucket", F.lit(FILTER)) == F.col("bit"), "left_semi")
-    both = placed.select("field", "bucket", "id", F.lit(False).alias("asks")).unionByName(asking.select("field", "bucket", "id", F.lit(True).alias("asks")))
-    live = both.groupBy("field", "bucket").agg(F.count_if("asks").alias("n_open"), F.count_if(~F.col("asks")).alias("n")).where((F.col("n_open") > 0) & (F.col("n") > 1))
+    placed = ends.select("field", "id", F.posexplode("buckets").alias("at", "bucket")).join(wanted, F.pmod("bucket", F.lit(FILTER)) == F.col("bit"), "left_semi")
+    both = placed.unionByName(asking).withColumn("asks", F.col("at").isNull())
+    live = both.groupBy("field", "bucket").agg(F.count_if("asks").alias("n_open"), F.count_if(~F.col("asks")).alias("n"), F.max("at").alias("place")).where((F.col("n_open") > 0) & (F.col("n") > 1))
     # a block holds one part of the texts against one part of the open ends; nearly all buckets are one block
     parts, open_parts = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "n_open"))
-    member = both.join(live.select("field", "bucket", parts.alias("parts"), open_parts.alias("open_parts")), ["field", "bucket"])
+    member = both.drop("at").join(live.select("field", "bucket", "place", parts.alias("parts"), open_parts.alias("open_parts")), ["field", "bucket"])
     own = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("open_parts")).otherwise(F.col("parts")))
     others = F.sequence(F.lit(0), F.when(F.col("asks"), F.col("parts")).otherwise(F.col("open_parts")) - 1)
     block = F.when(F.col("asks"), F.col("own") * F.col("parts") + F.col("other")).otherwise(F.col("other") * F.col("parts") + F.col("own"))
-    blocks = member.withColumn("own", own).withColumn("other", F.explode(others)).select("field", "bucket", "id", "asks", block.alias("block"))
-    held = blocks.join(ends.select("field", "id", F.lower("body").alias("norm")), ["field", "id"])
-    held = held.repartition("field", "bucket", "block").sortWithinPartitions("field", "bucket", "block", F.desc("asks"), "id")
-    told = held.mapInArrow(_aligned, "field string, bucket bigint, id binary, equal boolean, on bigint, ends bigint")
-    summed = told.groupBy("field", "id", "bucket").agg(F.max("equal").alias("equal"), F.sum("on").alias("on"), F.sum("ends").alias("ends"))
-    return summed.where(F.col("equal") | (F.col("on") > 3 * F.col("ends"))).select("field", "id").distinct()
+    blocks = member.withColumn("own", own).withColumn("other", F.explode(others)).select("field", "bucket", "place", "id", "asks", block.alias("block"))
+    band, level = F.pmod("place", F.lit(BANDS)), F.floor(F.col("place") / BANDS)  # the place is the same in all texts of a bucket
+    held = blocks.join(ends.select("field", "id", F.lower("body").alias("norm"), "buckets"), ["field", "id"])
+    held = held.select("*", band.cast("int").alias("band"), (F.lit(BEGINNING) * F.pow(F.lit(2.0), level)).cast("int").alias("size"), F.slice("buckets", (level * BANDS + 1).cast("int"), F.lit(BANDS)).alias("bands"))
+    held = held.drop("buckets", "place").repartition("field", "bucket", "block").sortWithinPartitions("field", "bucket", "block", F.desc("asks"), "id")
+    told = held.mapInArrow(_aligned, "field string, id binary, equal boolean, on bigint, ends bigint")
+    summed = told.groupBy("field", "id").agg(F.max("equal").alias("equal"), F.sum("on").alias("on"), F.sum("ends").alias("ends"))
+    return summed.where(F.col("equal") | (F.col("on") > 3 * F.col("ends"))).select("field", "id")
 
 
 def _filter(hashes: DataFrame, column: str) -> DataFrame:

@@ -195,6 +195,17 @@ def test_cut_copies_share_a_bucket_with_their_whole():
         assert met >= 90
 
 
+def test_what_is_asked_is_what_is_counted():
+    hashes = truncation._Words()
+    keys, table = truncation.counted({("f", "the council merged several old offices", "mark"): 3, ("f", "the council merged sev", "bare"): 1}, hashes)
+    found = dict(zip(keys.tolist(), map(tuple, table.tolist())))
+    asked, fragment = truncation.closing(["the", "council", "merged", "sev"], "f", hashes)
+    by_kind = {k: found.get(h) for k, h in zip(truncation.ASKED, asked)}
+    own = (0, 0, 1)
+    assert fragment and by_kind == {6: None, 4: own, 3: own, 2: own, 1: own, "within": own, "begun": (0, 3, 1), "longer": (3, 0, 0), "longer word": (3, 0, 0)}
+    assert truncation.closing(["在"], "f", hashes)[1] is False and truncation.counted({}, hashes)[0].size == 0
+
+
 def test_large_buckets_are_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(truncation, "BLOCK", 3)
     ask = "List the three oldest and best known facts about the long and winding harbour wall of"
