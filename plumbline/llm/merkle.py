@@ -143,8 +143,7 @@ def copies(rows: DataFrame) -> DataFrame:
     """``first_key, copy_key``: one row for each record of a group besides the one with the smallest key.
 
     The groups compare the whole structure of their records (smallest and largest shape). Only a root whose shapes
-    differ, a collision of 128-bit digests, needs its records' shapes again. Such roots are broadcast: below 2**50
-    records fewer than one is expected.
+    differ, a collision of 128-bit digests, needs its records' shapes again.
     """
     rows = hashed(rows)
     groups = rows.groupBy("root").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("shape").alias("low"), F.max("shape").alias("high"))
@@ -152,7 +151,7 @@ def copies(rows: DataFrame) -> DataFrame:
     sure = groups.where(F.col("low") == F.col("high")).select("root", "first_key")
     usual = rows.select("root", "key").join(sure, "root").where(F.col("key") > F.col("first_key"))
     collided = groups.where(F.col("low") != F.col("high")).select("root")
-    apart = rows.join(F.broadcast(collided), "root")
+    apart = rows.join(collided, "root")
     firsts = apart.groupBy("root", "shape").agg(F.min("key").alias("first_key"))
     unusual = apart.join(firsts, ["root", "shape"]).where(F.col("key") > F.col("first_key"))
     columns = ["first_key", F.col("key").alias("copy_key")]

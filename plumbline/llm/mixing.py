@@ -4,14 +4,13 @@ Method: Poisson replication. Each document draws a uniform number from a hash of
 Poisson distribution with the repetition rate of its source; it is exploded by that count and all rows are shuffled
 globally by a hash. Counts are capped at ``max_repeats``.
 
-The count of a document never falls as the rate grows: it reaches ``k`` once the rate passes the threshold at which the
-distribution function at ``k - 1`` equals the document's uniform number. The thresholds are laid on a fixed grid of
-``BINS`` rates, and the tokens that each grid step adds are summed by source (a partial aggregate; at most ``BINS`` rows
-a source reach the driver, whatever the size of the corpus). The rate of each source is then the grid point whose token
-count lies nearest to the target, so the shares are met to within one grid step and not merely in expectation. A source
-that must be used to its cap takes every document ``max_repeats`` times (an infinite rate).
-
-The size of the mixture is the largest at which every source that has documents reaches its weight under its cap, or
+The count of a document is the number of thresholds (the distribution function at 0, 1, ...) that its uniform number
+passes, a built-in expression. The rate of each source is chosen so that the realised tokens, not only their expectation, meet
+the target: the tokens of a source are summed by ``BINS`` equal parts of the uniform numbers (a partial aggregate; at most
+``BINS`` rows a source reach the driver, whatever the size of the corpus), and the tokens at any rate follow from these sums.
+
+The rate of a source is at most its ``max_repeats``: the target repetition can't exceed the cap. The size of the mixture is
+the largest at which every source that has documents reaches its weight at such a rate, or
 the argument ``total_tokens`` where that is smaller. Sources of the targets without documents cannot contribute; the
 weights of the others are scaled to sum 1. Sources of the documents that are no target contribute nothing. Both are
 reported with their share of 0.
@@ -25,57 +24,35 @@ give an empty mixture and a report of shares 0. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import materialise
 from .bpe import count_tokens
 
-#: Grid of rates; the step near a rate of 1 is about 0.0005.
-BINS = 8192
+#: Parts of the uniform numbers by which tokens are summed.
+BINS = 16384
 SEED = 20240601
 
 
-def rate_grid(highest: int) -> np.ndarray:
-    """``BINS`` rising rates from 0 to a rate at which a count below ``highest`` has a chance below 1e-9."""
-    top = highest + 12 * math.sqrt(highest) + 24
-    x = np.linspace(0, 1, BINS)
-    return top * x / (1 + (1 - x) * (top / 2 - 1))
-
-
-def below(k: int, rates: np.ndarray) -> np.ndarray:
-    """The chance of a Poisson count below ``k`` at each rate."""
-    term = np.exp(-rates)
-    total = term.copy()
-    for i in range(1, k):
-        term = term * rates / i
-        total += term
-    return total
-
-
-def steps_of(u: np.ndarray, highest: int) -> np.ndarray:
-    """For each uniform number the grid steps (columns 1 to ``highest``) from which the count is at least k."""
-    rates = rate_grid(highest)
-    out = np.empty((len(u), highest), dtype=np.int32)
-    for k in range(1, highest + 1):
-        out[:, k - 1] = np.searchsorted(-below(k, rates), -u, side="right")
-    return out
+def thresholds(rate: float, cap: int) -> list[float]:
+    """The uniform numbers from which the count is at least 1, 2, ... ``cap``: the distribution function at 0, 1, ..."""
+    if rate <= 0:
+        return [1.0] * cap
+    chance = [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(cap)]
+    return np.cumsum(chance).tolist()
 
 
 @dataclass
 class Plan:
-    """What the driver decides: by source the target share, the last grid step that counts, and the rate there."""
+    """What the driver decides: by source the target share and the rate."""
 
     weight: dict[str, float]
     cap: dict[str, int]
     share: dict[str, float]
-    last_step: dict[str, int]
     rate: dict[str, float]
 
 
@@ -88,77 +65,84 @@ def _targets(mix_target: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
     return weight, cap
 
 
-def draw(documents: DataFrame, weight: dict[str, float], cap: dict[str, int], key: str, seed: int) -> DataFrame:
-    """``key, source, n_tokens, steps array<int>`` of each document of a target source that has tokens."""
-    highest = max([1, *cap.values()])
-    wanted = [s for s, w in weight.items() if w > 0]
-    sized = count_tokens(documents.where(F.col(key).isNotNull() & F.col("source").isin(wanted)), [key, "source"])
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") + 0.5) / F.lit(2.0**53)
+def _uniform(key: str, seed: int) -> Column:
+    """A number between 0 and 1 from a hash of the key."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") + 0.5) / F.lit(2.0**53)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def steps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for u in batches:
-            yield pd.Series(list(steps_of(u.to_numpy(), highest)))
 
-    wanted = [s for s, w in weight.items() if w > 0]
-    caps = F.create_map(*[F.lit(x) for s in wanted for x in (s, cap[s])]) if wanted else None
-    kept = sized.where(F.col("n_tokens") > 0)
-    kept = kept.withColumn("steps", steps(uniform))
-    return kept.withColumn("steps", F.slice("steps", 1, caps[F.col("source")])) if caps is not None else kept
+def _usable(documents: DataFrame, weight: dict[str, float], key: str) -> DataFrame:
+    """The documents of target sources that have a key and a token (each text but the empty one has)."""
+    return documents.where(F.col(key).isNotNull() & F.col("source").isin([s for s, w in weight.items() if w > 0]) & (F.col("text") != ""))
 
 
-def plan(drawn: DataFrame, weight: dict[str, float], cap: dict[str, int], total_tokens: float | None = None) -> Plan:
+def sized(documents: DataFrame, weight: dict[str, float], key: str) -> DataFrame:
+    """``key, source, n_tokens`` of each document that can be drawn."""
+    return count_tokens(_usable(documents, weight, key), [key, "source"]).where(F.col("n_tokens") > 0)
+
+
+def plan(drawn: DataFrame, weight: dict[str, float], cap: dict[str, int], key: str, seed: int, total_tokens: float | None = None) -> Plan:
     """The rates at which the token counts of the sources meet the weights."""
-    per_step = drawn.select("source", "n_tokens", F.explode("steps").alias("step")).groupBy("source", "step").agg(F.sum("n_tokens").alias("t"))
-    at: dict[str, np.ndarray] = {}
-    for r in per_step.collect():  # at most BINS + 1 rows a target source
-        at.setdefault(r.source, np.zeros(BINS + 2))[r.step] += r.t
-    whole = sum(weight[s] for s in at)
-    share = {s: weight[s] / whole for s in at}
-    size = min([float(at[s].sum()) / share[s] for s in at], default=0.0)
+    part = F.floor(_uniform(key, seed) * BINS).cast("int")
+    summed = drawn.groupBy("source", part.alias("bin")).agg(F.sum("n_tokens").alias("t"))
+    above: dict[str, np.ndarray] = {}  # the tokens of the bins from each one on
+    for r in summed.collect():  # at most BINS rows a target source
+        above.setdefault(r.source, np.zeros(BINS + 1))[r.bin] += r.t
+    above = {s: np.cumsum(t[::-1])[::-1] for s, t in above.items()}
+
+    def tokens(source: str, rate: float) -> float:
+        at = np.array(thresholds(rate, cap[source])) * BINS
+        low = np.minimum(at.astype(int), BINS - 1)
+        t = above[source]
+        return float((t[low] - (t[low] - t[low + 1]) * (at - low)).sum())  # a bin's tokens lie evenly in it
+
+    whole = sum(weight[s] for s in above)
+    share = {s: weight[s] / whole for s in above}
+    size = min([tokens(s, cap[s]) / share[s] for s in above], default=0.0)
     if total_tokens is not None:
         size = min(size, total_tokens)
-    rates = rate_grid(max([1, *cap.values()]))
-    last, rate = {}, {}
-    for s in at:
-        reached = np.cumsum(at[s])
-        last[s] = int(np.argmin(np.abs(reached - size * share[s])))
-        if reached[last[s]] == reached[-1]:
-            last[s], rate[s] = BINS + 1, math.inf
-        else:
-            rate[s] = float(rates[min(last[s], BINS - 1)])
-    return Plan(weight, cap, share, last, rate)
-
-
-def mixture(documents: DataFrame, mix_target: DataFrame, key: str = "doc_id", total_tokens: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, Plan]:
-    """The mixture in shuffled order (``key, copy_no, source, n_tokens, position_hash``), the drawn documents and the plan."""
+    rate = {}
+    for s in above:
+        low, high = 0.0, float(cap[s])
+        for _ in range(60):  # the tokens never fall as the rate grows
+            middle = (low + high) / 2
+            low, high = (middle, high) if tokens(s, middle) < size * share[s] else (low, middle)
+        rate[s] = high
+    return Plan(weight, cap, share, rate)
+
+
+def _copies(made: Plan, key: str, seed: int) -> Column:
+    """The Poisson count of a document: how many thresholds of its source its uniform number passes."""
+    u = _uniform(key, seed)
+    count = F.lit(0)
+    for source, rate in sorted(made.rate.items()):
+        passed = F.filter(F.array(*[F.lit(x) for x in thresholds(rate, made.cap[source])]), lambda x: x < u)
+        count = F.when(F.col("source") == source, F.size(passed)).otherwise(count)
+    return count
+
+
+def _prepared(documents: DataFrame, mix_target: DataFrame, key: str, total_tokens: float | None, seed: int) -> tuple[DataFrame, Plan]:
     weight, cap = _targets(mix_target)
-    drawn = materialise(draw(documents, weight, cap, key, seed))
-    made = plan(drawn, weight, cap, total_tokens)
-    counted = drawn.select(key, "source", "n_tokens", _copies(made).alias("copies"))
-    rows = counted.where(F.col("copies") > 0).select(key, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "source", "n_tokens")
-    mixed = rows.withColumn("position_hash", F.xxhash64(F.lit(seed + 1), F.col(key), F.col("copy_no")))
-    return mixed, drawn, made
-
-
-def _copies(made: Plan):
-    if not made.last_step:
-        return F.lit(0)
-    last = F.create_map(*[F.lit(x) for s, n in made.last_step.items() for x in (s, n)])
-    return F.size(F.filter("steps", lambda x: x <= last[F.col("source")]))
+    drawn = materialise(sized(documents, weight, key))  # the tokens are counted once
+    return drawn, plan(drawn, weight, cap, key, seed, total_tokens)
 
 
 def mix(documents: DataFrame, mix_target: DataFrame, key: str = "doc_id", total_tokens: float | None = None, seed: int = SEED) -> DataFrame:
-    """The mixture, globally shuffled: sorted by a hash over range partitions."""
-    return mixture(documents, mix_target, key, total_tokens, seed)[0].orderBy("position_hash", key, "copy_no")
+    """The mixture: ``key, copy_no, source, text`` with each document as often as it was drawn, globally shuffled (sorted by
+    a hash over range partitions). The counts follow from key and rate, so only the result itself is shuffled."""
+    _, made = _prepared(documents, mix_target, key, total_tokens, seed)
+    rows = _usable(documents, made.weight, key).select(key, "source", "text", _copies(made, key, seed).alias("copies"))
+    rows = rows.where(F.col("copies") > 0).select(key, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "source", "text")
+    place = F.xxhash64(F.lit(seed + 1), F.col(key), F.col("copy_no"))
+    return rows.withColumn("position_hash", place).orderBy("position_hash", key, "copy_no")
 
 
 def shares(documents: DataFrame, mix_target: DataFrame, key: str = "doc_id", total_tokens: float | None = None, seed: int = SEED) -> DataFrame:
     """For each source of either table: its weight, cap, rate, documents and tokens used, and the share reached."""
     spark = documents.sparkSession
-    mixed, _, made = mixture(documents, mix_target, key, total_tokens, seed)
-    used = mixed.groupBy("source").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("copy_no") == 1).alias("documents"), F.max("copy_no").alias("most_repeats"), F.sum("n_tokens").alias("tokens")
+    drawn, made = _prepared(documents, mix_target, key, total_tokens, seed)
+    counted = drawn.select("source", "n_tokens", _copies(made, key, seed).cast("bigint").alias("copies")).where(F.col("copies") > 0)
+    used = counted.groupBy("source").agg(
+        F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_repeats"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens")
     )
     there = documents.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("available_documents"))
     schema = "source string, weight double, max_repeats int, target_share double, rate double"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, langid, lookalike, merkle, mixing, pairs, sentences, truncation
+from . import bpe, langid, lookalike, merkle, mixing, oracle, pairs, sentences, truncation
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -118,4 +118,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()

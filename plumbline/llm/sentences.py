@@ -73,10 +73,14 @@ CLAIM_HEADINGS = {
 
 _UP = "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ"
 _LOW = "a-zß-öø-ÿα-ωа-яё"
+#: Letters without case outside those: Hebrew to Thaana, Indic to Georgian, Hangul, Ethiopic, Khmer and Mongolian.
+_UNCASED = "\u05d0-\u07bf\u0900-\u10ff\u1100-\u139f\u1780-\u18af\uac00-\ud7a3"
+#: Sentence marks of scripts without rule tables of their own: Arabic and Urdu, Ethiopic, Khmer, Burmese and Armenian.
+_OTHER_MARKS = "؟۔።፧៕។။։"
 _CJK = "぀-ヿ㐀-䶿一-鿿\uf900-\ufaff"
 #: What a sentence can begin with: an upper-case letter (also behind a quote or bracket), a number, a paragraph number,
 #: a word like "pH", or a letter of a script without case.
-_BEGIN = rf"[\"“„«‘'(\[]*(?:[{_UP}\d\[【]|[{_LOW}][{_UP}]|[{_CJK}ऀ-ॿ฀-๿]|[<$\\�&])"
+_BEGIN = rf"[\"“„«‘'(\[]*(?:[{_UP}\d\[【]|[{_LOW}][{_UP}]|[{_CJK}{_UNCASED}]|[<$\\�&])"
 
 
 class _OneLetter:
@@ -163,17 +167,22 @@ DANDA = [
     rule(True, r"[!?]+[”\"’)]*", r"\s+\S", "!?"),
     rule(False, r"", r""),
 ]
+OTHERS = [rule(True, rf"[{_OTHER_MARKS}][”\"’»)\]]*", r"", _OTHER_MARKS)]
 # Thai: spaces are the candidates.
 _THAI = "ก-๛"
+# Words that open a Thai clause: conjunctions, adverbs of discourse, nominalisers and modal verbs.
+_THAI_OPENERS = (
+    "การ|ความ|เมื่อ|ขณะ|ระหว่าง|หาก|ถ้า|เพราะ|เนื่องจาก|ดังนั้น|อย่างไรก็ตาม|นอกจากนี้|จากนั้น|ต่อมา|แต่|ทั้งนี้|สำหรับ|โดยทั่วไป|โดยปกติ|ในอีก|ในการ|ตามที่|ตามรูป|ควร|ต้อง|ห้าม|อาจ"
+)
 THAI = [
     rule(False, r"(?:^|\s)[\[【]\s?\d+\s?[\]】]", r""),
     rule(False, r"", r"\s+[\d(=+\-−±<>/]"),
     rule(False, r"\d\S*", r"\s+(?:มม|ซม|กก|กรัม|วินาที|นาที|บาร์|องศา|เคลวิน|ต่อ|ถึง|หรือ|และ)"),
     rule(False, r"", r"\s+(?:หรือ|และ|ต่อ|ตามต้องการ|ถึง|ซึ่ง|โดยที่|โดยใช้|โดยไม่|ที่|จาก|กับ|เช่น|คือ|มม\.|ๆ|ฯ)"),
     rule(False, r"(?:รูปที่|ข้อถือสิทธิ|ตัวอย่าง|สูตร|สมการ|ข้อ|ที่|ระดับ|ประมาณ)(?:\s+\d+)?", r""),
-    rule(False, r"\d+", r"\s+(?!(?:ในอีก|ระหว่าง|ขณะ|เมื่อ|การ|ความ|อุณหภูมิ|ใช้ผง|ตามรูป|ป้าย|ควร|โดยทั่วไป|แรงดัน|ในการ))"),
+    rule(False, r"\d+", rf"\s+(?!(?:{_THAI_OPENERS}))"),
     rule(True, rf"[{_THAI}.”\"’)!?]", rf"\s+[“\"‘]?[{_THAI}]"),
-    rule(True, r"[^\s]", r"\s+(?:ในอีก|ระหว่าง|ขณะ|เมื่อ|การ|ความ|อุณหภูมิ|ใช้ผง|ตามรูป|ป้าย|ควร|โดยทั่วไป|แรงดัน)"),
+    rule(True, r"[^\s]", rf"\s+(?:{_THAI_OPENERS})"),
     rule(True, r"[!?]", r"\s"),
 ]
 
@@ -182,19 +191,19 @@ THAI = [
 def tables(lang: str) -> dict[str, list[Rule]]:
     """The rule tables by script for a language."""
     own = ABBREVIATIONS[lang]
-    cased = [*IDEOGRAPHIC[:1], *DANDA[:1], *FORMULAS, *UNITS, *own, *LETTERS, *DATES, *NUMBERS, *LIST_ENDS, *MARKS, *ATTACHED, *IDEOGRAPHIC[1:]]
+    cased = [*IDEOGRAPHIC[:1], *DANDA[:1], *OTHERS, *FORMULAS, *UNITS, *own, *LETTERS, *DATES, *NUMBERS, *LIST_ENDS, *MARKS, *ATTACHED, *IDEOGRAPHIC[1:]]
     return {
         "cased": cased,
         "lower": [*cased[:-1], *LOWER_CASE, *cased[-1:]],
-        "ideographic": [*IDEOGRAPHIC, *FORMULAS, *own, *LETTERS, *MARKS],
-        "danda": DANDA,
+        "ideographic": [*IDEOGRAPHIC, *OTHERS, *FORMULAS, *own, *LETTERS, *MARKS],
+        "danda": [*DANDA[:1], *OTHERS, *DANDA[1:]],
         "thai": THAI,
     }
 
 
 TABLES = {lang: tables(lang) for lang in ABBREVIATIONS}
 
-_CANDIDATE = re.compile(r"(?:\.(?!\d)|\.(?<=[A-Za-zß-öø-ÿа-яё)]\.)(?=\d)|[!?…。！？｡।॥]+)[\"”»’')\]」』）〉》】]*")
+_CANDIDATE = re.compile(rf"(?:\.(?!\d)|\.(?<=[A-Za-zß-öø-ÿа-яё)]\.)(?=\d)|[!?…。！？｡।॥{_OTHER_MARKS}]+)[\"”»’')\]」』）〉》】]*")
 _TAIL = re.compile(r"[^\W\d_]*\Z")
 _THAI_CANDIDATE = re.compile(r"(?<=\S)(?=\s+\S)")
 _PAIRED = re.compile(r"[\"“”„«»「」『』()（）\[\]]")
@@ -205,12 +214,13 @@ _NEW_SENTENCE = re.compile(rf"\s+[{_UP}]")
 _VISIBLE = re.compile(r"\S")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
 _PARAGRAPH = re.compile(r"\s*(?:\[\s?\d{1,5}\s?\]|【\s?[0-9０-９]{1,5}\s?】|［\s?[0-9０-９]{1,5}\s?］)")
-_CLAIM = re.compile(r"\s*(?:(?:【\s?請求項\s?|\[\s?claim\s?|claim\s|权利要求\s?)?([0-9０-９]{1,3})\s?(?:】|\]|[.)．、:：）](?![0-9])))", re.IGNORECASE)
+_CLAIM = re.compile(r"\s*(?:(?:【\s?請求項\s?|\[\s?claim\s?|claim\s|权利要求\s?)?([0-9０-９]+)\s?(?:】|\]|[.)．、:：）](?![0-9])))", re.IGNORECASE)
 _LEADS_ON = {
     lang: re.compile(rf"(?<!\w)(?:{'|'.join([CITING, *(w[x] for w in (LEADING, USUAL, BEFORE_SMALL, UNIT_OR) for x in w if x == (lang or x))])}|{NUMBERED})\.\s*\Z", re.IGNORECASE)
     for lang in ABBREVIATIONS
 }
-_HEAD_TRIM = re.compile(r"^[\s【\[*#=_-]+|[\s】\]*#=_:：.-]+$")
+_LONGEST_HEADING = max(map(len, HEADINGS))
+_BEFORE_HEAD, _AFTER_HEAD = " \t【[*#=_-", " \t】]*#=_:：.-"
 _SCRIPTS = (("thai", re.compile("[ก-๛]+")), ("danda", re.compile("[ऀ-ॿ]+")), ("ideographic", re.compile(f"[{_CJK}]+")), ("cased", re.compile(f"[{_UP}{_LOW}]+")))
 
 
@@ -253,8 +263,9 @@ def blocks(text: str, lang: str = "") -> list[tuple[int, int, bool]]:
         if not bare:
             open_block, after_blank = False, True
             continue
-        head = _HEAD_TRIM.sub("", bare).lower() if len(bare) <= 60 and bare[-1] not in ".。।;；,，" else ""
-        if head in HEADINGS or after_blank and len(bare) <= 40 and _is_title(bare) and i + 1 < len(lines) and text[b : lines[i + 1][1]].strip():
+        head = bare.lstrip(_BEFORE_HEAD).rstrip(_AFTER_HEAD) if bare[-1] not in ".。।;；,，" else ""
+        head = head.lower() if len(head) <= _LONGEST_HEADING else ""
+        if head in HEADINGS or after_blank and _is_title(bare) and i + 1 < len(lines) and text[b : lines[i + 1][1]].strip():
             out.append([a, b, True])
             open_block, after_blank = False, False
             claims = head in CLAIM_HEADINGS
@@ -262,7 +273,7 @@ def blocks(text: str, lang: str = "") -> list[tuple[int, int, bool]]:
             continue
         claim = _CLAIM.match(line) if (claims or after_blank) and (bare[0].isdigit() or bare[0] in "【[cC权") else None
         value = int(claim[1]) if claim else 0
-        if claim and (claims or after_blank) and number < value <= number + 20 and (number or value == 1) and not (out and open_block and _LEADS_ON[lang].search(text[out[-1][0] : a])):
+        if claim and (claims or after_blank) and number < value and (number or value == 1) and not (out and open_block and _LEADS_ON[lang].search(text[out[-1][0] : a])):
             claims, number = True, value
             out.append([a, b, True])
             open_block = True
@@ -287,7 +298,7 @@ def _goes_on(block: str) -> bool:
 
 def _is_title(line: str) -> bool:
     """A short line without a mark, of at most three words, that isn't broken off by a hyphen."""
-    return len(line) <= 40 and len(line.split()) <= 3 and line[-1].isalpha() and not any(c.isdigit() for c in line) and (line.isupper() or line.istitle()) and not re.search(f"[{_CJK}]", line)
+    return len(line.split(None, 3)) <= 3 and line[-1].isalpha() and not any(c.isdigit() for c in line) and (line.isupper() or line.istitle()) and not re.search(f"[{_CJK}]", line)
 
 
 def spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -341,6 +352,15 @@ def spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return found
 
 
+def _words_before(text: str, start: int, end: int) -> int:
+    """Where the last words before ``end`` begin, as far as a rule looks back: 24 characters, and three words at least."""
+    at = max(start, end - 24)
+    if at > start and text.count(" ", at, end) < 3:
+        words = text[start:end].rsplit(None, 3)
+        return start + (len(words[0]) if len(words) > 3 else 0)
+    return at
+
+
 def split(text: str | None) -> list[tuple[int, int]]:
     """The offsets of the sentences of a text."""
     if not text or text.isspace():
@@ -371,18 +391,16 @@ def split(text: str | None) -> list[tuple[int, int]]:
             inside = now < len(held) and held[now][0] < m.start() < held[now][1]
             if inside and (pos < held[now][1] or text[held[now][1] - 1] in ")）]" or not _NEW_SENTENCE.match(text, pos, b)):
                 continue
-            begin = _VISIBLE.search(text, pos, b)
-            if not begin:
+            if not _VISIBLE.search(text, pos, b):
                 continue
-            right = text[pos : min(b, begin.start() + 24)]
             first = m.start()
-            left = text[max(at, first - 24) : pos]
+            left = text[_words_before(text, at, first) : pos]
             mark = text[first : first + 1]
-            word = _TAIL.search(text, max(at, first - 12), first)[0].lower()
+            word = _TAIL.search(text, max(at, first - 12), first)[0].lower() if mark == "." else ""  # the listed words are shorter
             for r in rules:
                 if r.marks is not None and mark not in r.marks or r.words is not None and word not in r.words:
                     continue
-                if r.after.match(right) and r.before.search(left):
+                if r.after.match(text, pos, b) and r.before.search(left):
                     if r.breaks:
                         add(at, pos)
                         at = pos

@@ -8,8 +8,8 @@ these beginnings, and a text that ends without a mark looks into those of the lo
 bucket the two are aligned word by word: the closing words must be met again (the last one perhaps as the beginning of a
 longer word), and the words before them may differ by one edit (a word put in, left out or replaced; marks don't count)
 in ten. A text whose alignment ends within a word or sentence of an equal longer copy is cut; one whose longer copies
-differ in some word is cut if three times as many distinct near-copies go on there as end there, since texts of one
-pattern may be near-copies too. No pairs are emitted. Buckets without an open end or with one text only are dropped
+differ in some word is cut if three times as many near-copies (counted in each bucket that they share) go on there as end
+there, since texts of one pattern may be near-copies too. No pairs are emitted. Buckets without an open end or with one text only are dropped
 before any text is shuffled; larger ones are split into blocks of ``BLOCK`` texts by ``BLOCK`` open ends, and the counts of
 the blocks are summed.
 
@@ -453,25 +453,21 @@ def goes_on(norm: str, end: int, word: str, last: str) -> bool:
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the texts of a block say of its open ends: ``field, id, equal, on, ends``; rows come by block, open ends first.
 
-    A text and an open end that share several bands are held against each other in the first of them only. Of a text no
-    more words are read than an open end of this length can reach.
+    Of a text no more words are read than an open end of this length can reach.
     """
     now = None
-    opened: list[list] = []  # [id, words, edits allowed, an equal copy goes on, copies that go on, copies that end, bands before]
+    opened: list[list] = []  # [id, words, edits allowed, an equal copy goes on, copies that go on, copies that end]
     by_anchor: dict[tuple[str, ...], list[list]] = {}
     nearest: set[str] = set()  # the words right before the last ones
-    before: set[tuple[int, ...]] = set()  # the bands before this one of all open ends
 
-    def meet(key: bytes, norm: str, bands: list[int], size: int) -> None:
-        if len(before) <= 2 and all(any(map(int.__eq__, b, bands)) for b in before):
-            return
+    def meet(key: bytes, norm: str, size: int) -> None:
         found = list(islice(_TOKEN.finditer(norm), 2 * size + 2 * size // WORDS_AN_EDIT + 1))
         words = [m[0] for m in found]
         for i in [i for i, w in enumerate(words[:-1], 1) if w in nearest]:
             word, at = words[i], found[i].end()
             for one in by_anchor.get(tuple(words[max(0, i - ANCHOR) : i]), ()):
                 last = one[1][-1]
-                if one[3] or one[0] == key or not word.startswith(last) or any(map(int.__eq__, one[6], bands)):
+                if one[3] or one[0] == key or not word.startswith(last):
                     continue
                 n = edits(one[1][:-1], words[:i], one[2])
                 if n > one[2]:
@@ -482,7 +478,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle() -> list[tuple]:
         told = [(now[0], one[0], one[3], one[4], one[5]) for one in opened if one[4] or one[5]]
-        opened.clear(), by_anchor.clear(), nearest.clear(), before.clear()
+        opened.clear(), by_anchor.clear(), nearest.clear()
         return told
 
     schema = pa.schema([("field", pa.string()), ("id", pa.binary()), ("equal", pa.bool_()), ("on", pa.int64()), ("ends", pa.int64())])
@@ -492,17 +488,16 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         told: list[tuple] = []
-        for field, bucket, block, asks, key, norm, bands, band, size in zip(*(batch.column(c).to_pylist() for c in ("field", "bucket", "block", "asks", "id", "norm", "bands", "band", "size"))):
+        for field, bucket, block, asks, key, norm, size in zip(*(batch.column(c).to_pylist() for c in ("field", "bucket", "block", "asks", "id", "norm", "size"))):
             if now != (field, bucket, block):
                 told += settle()
                 now = field, bucket, block
             if not asks:
-                meet(key, norm, bands[:band], size)
+                meet(key, norm, size)
                 continue
             words = _TOKEN.findall(norm)
-            one = [key, words, max(1, len(words) // WORDS_AN_EDIT), False, 0, 0, tuple(bands[:band])]
+            one = [key, words, max(1, len(words) // WORDS_AN_EDIT), False, 0, 0]
             opened.append(one)
-            before.add(one[6])
             nearest.update(words[-2:-1])
             by_anchor.setdefault(tuple(words[:-1][-ANCHOR:]), []).append(one)
         yield emit(told)
@@ -510,23 +505,30 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _early_ends(ends: DataFrame) -> DataFrame:
-    """``field, id`` of open-ended texts that a longer copy continues."""
-    asking = ends.select("field", "id", F.lit(None).cast("int").alias("at"), F.explode("looks").alias("bucket"))
+    """``field, id`` of open-ended texts that a longer copy continues.
+
+    Where several bands of a text meet the same open ends, only the first of them is kept.
+    """
+    at = ["field", "bucket"]
+    asking = ends.select("field", "id", F.lit(None).cast("int").alias("place"), F.explode("looks").alias("bucket"))
     wanted = _filter(asking.select("bucket"), "bucket")
-    placed = ends.select("field", "id", F.posexplode("buckets").alias("at", "bucket")).join(wanted, F.pmod("bucket", F.lit(FILTER)) == F.col("bit"), "left_semi")
-    both = placed.unionByName(asking).withColumn("asks", F.col("at").isNull())
-    live = both.groupBy("field", "bucket").agg(F.count_if("asks").alias("n_open"), F.count_if(~F.col("asks")).alias("n"), F.max("at").alias("place")).where((F.col("n_open") > 0) & (F.col("n") > 1))
+    placed = ends.select("field", "id", F.posexplode("buckets").alias("place", "bucket")).join(wanted, F.pmod("bucket", F.lit(FILTER)) == F.col("bit"), "left_semi")
+    both = placed.unionByName(asking)
+    asks = F.col("place").isNull()
+    live = both.groupBy(*at).agg(F.count_if(asks).alias("n_open"), F.count_if(~asks).alias("n"), F.max("place").alias("place"), F.bit_xor(F.when(asks, F.xxhash64("id"))).alias("opens"))
     # a block holds one part of the texts against one part of the open ends; nearly all buckets are one block
     parts, open_parts = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "n_open"))
-    member = both.drop("at").join(live.select("field", "bucket", "place", parts.alias("parts"), open_parts.alias("open_parts")), ["field", "bucket"])
+    size = (F.lit(BEGINNING) * F.pow(F.lit(2.0), F.floor(F.col("place") / BANDS))).cast("int")  # the same in all texts of a bucket
+    live = live.where((F.col("n_open") > 0) & (F.col("n") > 1)).select(*at, "opens", parts.alias("parts"), open_parts.alias("open_parts"), size.alias("size"))
+    once = placed.drop("place").join(live, at).groupBy("field", "id", "size", "opens").agg(F.min(F.struct("bucket", "parts", "open_parts")).alias("b"))
+    texts = once.select("field", "id", F.lit(False).alias("asks"), "size", "b.*")
+    members = texts.unionByName(asking.drop("place").join(live.drop("opens"), at).withColumn("asks", F.lit(True)))
     own = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("open_parts")).otherwise(F.col("parts")))
     others = F.sequence(F.lit(0), F.when(F.col("asks"), F.col("parts")).otherwise(F.col("open_parts")) - 1)
     block = F.when(F.col("asks"), F.col("own") * F.col("parts") + F.col("other")).otherwise(F.col("other") * F.col("parts") + F.col("own"))
-    blocks = member.withColumn("own", own).withColumn("other", F.explode(others)).select("field", "bucket", "place", "id", "asks", block.alias("block"))
-    band, level = F.pmod("place", F.lit(BANDS)), F.floor(F.col("place") / BANDS)  # the place is the same in all texts of a bucket
-    held = blocks.join(ends.select("field", "id", F.lower("body").alias("norm"), "buckets"), ["field", "id"])
-    held = held.select("*", band.cast("int").alias("band"), (F.lit(BEGINNING) * F.pow(F.lit(2.0), level)).cast("int").alias("size"), F.slice("buckets", (level * BANDS + 1).cast("int"), F.lit(BANDS)).alias("bands"))
-    held = held.drop("buckets", "place").repartition("field", "bucket", "block").sortWithinPartitions("field", "bucket", "block", F.desc("asks"), "id")
+    blocks = members.withColumn("own", own).withColumn("other", F.explode(others)).select(*at, "size", "id", "asks", block.alias("block"))
+    held = blocks.join(ends.select("field", "id", F.lower("body").alias("norm")), ["field", "id"])
+    held = held.repartition("field", "bucket", "block").sortWithinPartitions("field", "bucket", "block", F.desc("asks"), "id")
     told = held.mapInArrow(_aligned, "field string, id binary, equal boolean, on bigint, ends bigint")
     summed = told.groupBy("field", "id").agg(F.max("equal").alias("equal"), F.sum("on").alias("on"), F.sum("ends").alias("ends"))
     return summed.where(F.col("equal") | (F.col("on") > 3 * F.col("ends"))).select("field", "id")

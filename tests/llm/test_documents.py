@@ -121,3 +121,21 @@ def test_quotations_brackets_and_gaps_of_any_length():
     ):
         assert parts(" ".join(one)) == one
         assert parts((" " * 40).join(one)) == one
+
+
+def test_marks_of_scripts_without_tables_of_their_own():
+    for one in (
+        ["هل هذا صحيح؟", "نعم هو صحيح."], ["یہ ایک جملہ ہے۔", "یہ دوسرا جملہ ہے۔"], ["ይህ ዓረፍተ ነገር ነው።", "ይህ ሌላ ነው።"],
+        ["이것은 문장입니다.", "그것은 책입니다."], ["នេះជាប្រយោគ។", "នេះជាប្រយោគទីពីរ។"],
+    ):
+        assert parts(" ".join(one)) == one
+
+
+def test_claims_headings_and_words_of_any_size():
+    claims = ["1. A device comprising a rail.", "41. The device of claim 1, wherein it turns. Or not.", "1200. The device of claim 41."]
+    assert parts("CLAIMS\n" + "\n".join(claims)) == ["CLAIMS", *claims]
+    heading = "DETAILED " + "ELECTRO" * 8 + " DESCRIPTION"
+    assert parts(f"It is flat.\n\n{heading}\nThe rail turns. It stays.") == ["It is flat.", heading, "The rail turns.", "It stays."]
+    assert parts("=" * 80 + " CLAIMS " + "=" * 80 + "\n1. A device. Or not.\n2. A rail.")[1:] == ["1. A device. Or not.", "2. A rail."]
+    long = "Donaudampfschifffahrtsgesellschaftskapitänsmütze"
+    assert parts(f"Der Rat prüft je {long}. Die Welle ist neu.") == [f"Der Rat prüft je {long}.", "Die Welle ist neu."]
