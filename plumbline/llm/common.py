@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,3 +19,19 @@ def once_per_key(df: DataFrame, key: str, late: str | None = None) -> DataFrame:
     best = F.max(F.struct(*[F.col(c) for c in order])).alias("_row")
     picked = df.where(F.col(key).isNotNull()).groupBy(key).agg(best)
     return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+#: Values of a filter of hashes: 2**20 numbers, some 20 MB, whatever the size of the data.
+FILTER = 1 << 20
+
+
+def bounded_filter(hashes: DataFrame, column: str | Column) -> DataFrame:
+    """The remainders of 64-bit hashes, at most ``FILTER`` numbers: a broadcast of bounded size that tells most others apart."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.broadcast(hashes.select(F.pmod(column, F.lit(FILTER)).alias("bit")).distinct())
+
+
+def passing(rows: DataFrame, column: str | Column, bits: DataFrame) -> DataFrame:
+    """The rows whose hash may be one of those of a ``bounded_filter``."""
+    column = F.col(column) if isinstance(column, str) else column
+    return rows.join(bits, F.pmod(column, F.lit(FILTER)) == F.col("bit"), "left_semi")

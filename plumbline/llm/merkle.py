@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import once_per_key
+from .common import bounded_filter, once_per_key, passing
 
 # Letters of scripts that are written without spaces: a sign may follow them directly.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -143,7 +143,8 @@ def copies(rows: DataFrame) -> DataFrame:
     """``first_key, copy_key``: one row for each record of a group besides the one with the smallest key.
 
     The groups compare the whole structure of their records (smallest and largest shape). Only a root whose shapes
-    differ, a collision of 128-bit digests, needs its records' shapes again.
+    differ, a collision of 128-bit digests, needs its records' shapes again; a broadcast of bounded size passes by the
+    records of all others before the join.
     """
     rows = hashed(rows)
     groups = rows.groupBy("root").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("shape").alias("low"), F.max("shape").alias("high"))
@@ -151,7 +152,7 @@ def copies(rows: DataFrame) -> DataFrame:
     sure = groups.where(F.col("low") == F.col("high")).select("root", "first_key")
     usual = rows.select("root", "key").join(sure, "root").where(F.col("key") > F.col("first_key"))
     collided = groups.where(F.col("low") != F.col("high")).select("root")
-    apart = rows.join(collided, "root")
+    apart = passing(rows, F.xxhash64("root"), bounded_filter(collided, F.xxhash64("root"))).join(collided, "root")
     firsts = apart.groupBy("root", "shape").agg(F.min("key").alias("first_key"))
     unusual = apart.join(firsts, ["root", "shape"]).where(F.col("key") > F.col("first_key"))
     columns = ["first_key", F.col("key").alias("copy_key")]

@@ -21,7 +21,7 @@ and for these first words alone: some kinds of lines (titles, notes, list items)
 its closing words are nearly always continued, if its last word is nearly always the beginning of a longer one, or if it
 ends in words not known within a kind of sentence that has a mark. All tests compare rates; ``SUPPORT`` only says how many
 observations a rate needs, so that ten times the data give ten times the cases. Only sequences that close some
-value that is asked for are shuffled: a table of ``FILTER`` hash values at most, so of bounded size, tells them.
+value that is asked for are shuffled: a broadcast of bounded size (``bounded_filter``) tells them.
 
 Replacement characters at the end, brackets and quotations left open, and a closing comma or dash count as cut at once;
 the closing words of such values are no evidence for others.
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import materialise
-from .common import once_per_key
+from .common import bounded_filter, once_per_key, passing
 from .lookalike import skeleton
 
 #: Lengths of closing sequences, and how many observations a rate needs.
@@ -71,8 +71,6 @@ WORDS_AN_EDIT = 10
 BLOCK = 4096
 #: Distinct sentences that a task combines before it passes their counts on.
 COMBINE = 20_000
-#: Values of the filter of asked hashes: 2**20 numbers, some 20 MB, whatever the size of the data.
-FILTER = 1 << 20
 
 _UNSPACED = "぀-ヿ㐀-䶿一-鿿\uf900-\ufaff฀-๿"
 _WORD = rf"[^\W\d_{_UNSPACED}]"
@@ -511,8 +509,7 @@ def _early_ends(ends: DataFrame) -> DataFrame:
     """
     at = ["field", "bucket"]
     asking = ends.select("field", "id", F.lit(None).cast("int").alias("place"), F.explode("looks").alias("bucket"))
-    wanted = _filter(asking.select("bucket"), "bucket")
-    placed = ends.select("field", "id", F.posexplode("buckets").alias("place", "bucket")).join(wanted, F.pmod("bucket", F.lit(FILTER)) == F.col("bit"), "left_semi")
+    placed = passing(ends.select("field", "id", F.posexplode("buckets").alias("place", "bucket")), "bucket", bounded_filter(asking, "bucket"))
     both = placed.unionByName(asking)
     asks = F.col("place").isNull()
     live = both.groupBy(*at).agg(F.count_if(asks).alias("n_open"), F.count_if(~asks).alias("n"), F.max("place").alias("place"), F.bit_xor(F.when(asks, F.xxhash64("id"))).alias("opens"))
@@ -534,11 +531,6 @@ def _early_ends(ends: DataFrame) -> DataFrame:
     return summed.where(F.col("equal") | (F.col("on") > 3 * F.col("ends"))).select("field", "id")
 
 
-def _filter(hashes: DataFrame, column: str) -> DataFrame:
-    """The remainders of hashes, at most ``FILTER`` numbers: a broadcast of bounded size that tells most others apart."""
-    return F.broadcast(hashes.select(F.pmod(column, F.lit(FILTER)).alias("bit")).distinct())
-
-
 @F.pandas_udf(T.BooleanType())
 def _decided(verdict: pd.Series, met: pd.Series, fragment: pd.Series, several: pd.Series) -> pd.Series:
     def one(v, found, f, n):
@@ -557,8 +549,7 @@ def judged(rows: DataFrame) -> DataFrame:
     asked = ends.where(F.col("verdict").startswith("ask")).select("field", "id", "verdict", "asked", "fragment", "several")
     wanted = asked.select("field", "id", F.posexplode("asked").alias("rank", "h")).where("h is not null")
     stats = ends.select("field", "body", "verdict").mapInArrow(_counts_of, "h bigint, mid bigint, mark bigint, bare bigint")
-    stats = stats.join(_filter(wanted, "h"), F.pmod("h", F.lit(FILTER)) == F.col("bit"), "left_semi")
-    stats = stats.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("mid", "mark", "bare")])
+    stats = passing(stats, "h", bounded_filter(wanted, "h")).groupBy("h").agg(*[F.sum(c).alias(c) for c in ("mid", "mark", "bare")])
     met = wanted.join(stats, "h").groupBy("field", "id").agg(F.collect_list(F.struct("rank", "mid", "mark", "bare")).alias("met"))  # at most 9 a text
     by_words = asked.join(met, ["field", "id"], "left").select("field", "id", _decided.asNondeterministic()("verdict", "met", "fragment", "several").alias("by_words"))
     sure = ends.where(~F.col("verdict").startswith("ask")).select("field", "id", (F.col("verdict") == "cut").alias("by_words"))
