@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
+
 
 def latest(df: DataFrame, key: str, late: str) -> DataFrame:
     """The latest row of each key as a partial aggregate (ties: the largest row)."""
@@ -14,17 +16,19 @@ def latest(df: DataFrame, key: str, late: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Positions 1, 2, ... over the whole table without gathering it in one task.
+    """Positions 1, 2, ... over the whole table without gathering it in one task (ties: in any order).
 
-    The rows are range-partitioned and numbered within each partition; the number of rows of the partitions before is
-    added from a table with one row a partition.
+    The rows are range-partitioned and sorted once; they are written with their partition and place before anything is
+    counted, so that all later steps see the same partitions. The number of rows of the partitions before is added from a
+    table with one row a partition.
     """
-    sorted_ = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = sorted_.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = within.join(F.broadcast(before.select("_part", "_before")), "_part")  # one row a partition
-    return placed.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_n")).drop("_part", "_n", "_before")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the lower bits count within a partition
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(ranged.select("*", F.spark_partition_id().alias("_part"), place.alias("_place")))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_part", before.alias("_before")))  # one row a partition
+    return placed.join(starts, "_part", "left").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
 
 
 def first_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

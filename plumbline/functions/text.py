@@ -116,6 +116,18 @@ def routed_job(path: Column) -> Column:
     return F.regexp_extract(path, r"^/job/([A-Za-z0-9_]+)$", 1)
 
 
+# The hundredths of a second below their decimal value as binary fractions (others are above it or equal).
+_BELOW = (0.15, 0.35, 0.85, 0.95)
+
+
 def duration(ms: Column) -> Column:
-    """A duration in seconds with one decimal, '' for none."""
-    return F.when(F.coalesce(ms, F.lit(0)) != 0, F.concat(F.format_string("%.1f", ms / 1000), F.lit("s"))).otherwise("")
+    """A duration in seconds with one decimal, '' for none. Rounding goes by the binary value of the seconds, as in the number
+    type of web pages: 0.15 is a little less than 0.15 and becomes 0.1; true halves go up."""
+    whole = ms.cast("bigint")
+    seconds = whole / F.lit(1000.0)
+    rest = seconds - F.floor(seconds)
+    half = (whole % 1000) / F.lit(1000.0)
+    up = F.when(rest != half, rest > half).otherwise(~half.isin(*_BELOW))
+    tenths = F.when(whole % 100 == 50, F.floor(whole / 100) + up.cast("bigint")).otherwise(F.floor((whole + 50) / 100)).cast("bigint")
+    told = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s"))
+    return F.when(F.coalesce(whole, F.lit(0)) != 0, told).otherwise("")

@@ -69,6 +69,18 @@ def parse(output: Column) -> Column:
     return F.transform(chosen, lambda f, i: F.struct(F.concat(F.lit("fact-"), i.cast("string")).alias("id"), f["text"].alias("text"), f["category"].alias("category")))
 
 
+#: The categories of facts.
+CATEGORIES = ("event", "person", "date", "place", "statistic", "law-policy", "claim")
+
+
+def prompt(response: Column, language: Column) -> Column:
+    """A judge's prompt for the facts of an answer, in the answer's language."""
+    kinds = ", ".join(CATEGORIES)
+    english = f'List each verifiable statement of the text, one JSON object a line: {{"text": "...", "category": "..."}} and nothing else.\nCategories: {kinds}\n\nText:\n'
+    chinese = f'请列出文本中每个可验证的事实，每行一个 JSON 对象：{{"text": "...", "category": "..."}}，不要输出其他内容。\n分类：{kinds}\n\n文本：\n'
+    return F.concat(F.when(language == "zh", chinese).otherwise(english), response)
+
+
 def exploded(df: DataFrame, output: str, keep: list[str]) -> DataFrame:
     """One row for each fact of each output."""
     return df.select(*keep, F.posexplode(parse(F.col(output))).alias("fact_no", "fact")).select(*keep, "fact_no", "fact.id", "fact.text", "fact.category")

@@ -2,35 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_words
+from .facts import strict_json
 
 #: Length of the query that stands in where no plan is given.
 DEFAULT_QUERY = 80
 
 
+#: The name after a preposition: capitalised words.
+NAME_IN_TEXT = r"\b(?:of|at|in|near|for|from) ((?:[A-Z]\w+ )?[A-Z]\w+)"
+
+# The patterns that repair a judge's JSON, in their order.
+FENCE = r"```(?:json)?\s*"
+TRAILING = ((r",\s*\}", "}"), (r",\s*\]", "]"))
+WHOLE, NESTED = r"(?s)\{.*\}", r"(?s)\{[^{}]*\{.*\}[^{}]*\}"
+BARE_KEY, QUOTED_KEY = r"([{,]\s*)([a-zA-Z_]\w*)\s*:", '$1"$2":'
+
+
 def repaired(answer: Column) -> Column:
-    """The variant in a judge's answer: fences and trailing commas go, bare keys are quoted as a last resort."""
-    clean = F.regexp_replace(answer, r"```(?:json)?\s*", "")
-    clean = F.regexp_replace(F.regexp_replace(clean, r",\s*\}", "}"), r",\s*\]", "]")
-    quoted = F.regexp_replace(clean, r"([{,]\s*)([a-zA-Z_]\w*)\s*:", '$1"$2":')
+    """The variant in a judge's answer: fences and trailing commas go, the widest and then a nested pair of braces is tried,
+    and bare keys are quoted as a last resort."""
+    clean = F.regexp_replace(answer, FENCE, "")
+    for pattern, by in TRAILING:
+        clean = F.regexp_replace(clean, pattern, by)
+    quoted = F.regexp_replace(clean, BARE_KEY, QUOTED_KEY)
 
-    def inner(x: Column) -> Column:
-        return F.try_parse_json(F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit("")))
+    def inner(x: Column, pattern: str) -> Column:
+        return F.try_variant_get(strict_json(F.nullif(F.regexp_extract(x, pattern, 0), F.lit(""))), "$[0]", "variant")
 
-    return F.coalesce(inner(clean), inner(quoted))
+    return F.coalesce(inner(clean, WHOLE), inner(clean, NESTED), inner(quoted, WHOLE))
 
 
 def planned(answer: Column, fact_id: str | Column, text: Column) -> Column:
-    """``struct<query, entities>`` of a fact; without a usable entry the first characters of its text are the query."""
-    plans = F.from_json(F.to_json(repaired(answer)), "map<string,struct<query:string,entities:array<string>>>")
+    """``struct<query, entities>`` of a fact; without an entry whose query is a string the first characters of its text are the
+    query. Entities that are no strings are left out."""
+    plans = F.from_json(F.to_json(repaired(answer)), "map<string,variant>")
     entry = F.try_element_at(plans, F.lit(fact_id) if isinstance(fact_id, str) else fact_id)
-    entities = F.slice(F.filter(F.coalesce(entry["entities"], F.array().cast("array<string>")), lambda e: e.isNotNull()), 1, 2)
-    usual = F.struct(entry["query"].alias("query"), entities.alias("entities"))
+
+    def is_text(x: Column) -> Column:
+        return F.schema_of_variant(x) == "STRING"
+
+    query = F.try_variant_get(entry, "$.query", "variant")
+    listed = F.filter(F.coalesce(F.try_variant_get(entry, "$.entities", "array<variant>"), F.array().cast("array<variant>")), lambda e: e.isNotNull() & is_text(e))
+    entities = F.transform(F.slice(listed, 1, 2), lambda e: F.try_variant_get(e, "$", "string"))
+    usual = F.struct(F.try_variant_get(query, "$", "string").alias("query"), entities.alias("entities"))
     default = F.struct(F.substring(text, 1, DEFAULT_QUERY).alias("query"), F.array().cast("array<string>").alias("entities"))
-    return F.when(entry["query"].isNotNull(), usual).otherwise(default)
+    return F.when(query.isNotNull() & is_text(query), usual).otherwise(default)
+
+
+def prompt(facts_json: Column, language: Column) -> Column:
+    """A judge's prompt for the plans of facts, given as a JSON array of id and text."""
+    host = F.when(language == "zh", "Chinese").otherwise("English")
+    head = F.concat(F.lit("For each fact give a search query of three to five keywords for the "), host, F.lit(" encyclopedia and one or two exact article titles.\n"))
+    return F.concat(head, F.lit('Answer with one JSON object {"id": {"query", "entities"}} and nothing else.\n\nFacts:\n'), facts_json)
+
+
+def facts_json(facts: DataFrame, batch: int = 50) -> DataFrame:
+    """``job_id, slot, batch_no, n_facts, facts``: the facts of an answer as JSON arrays, at most about ``batch`` numbers of
+    facts in each, so that an answer with very many facts gives many prompts."""
+    number = F.coalesce(F.regexp_extract("id", r"(\d+)$", 1).try_cast("bigint"), F.lit(0))
+    entry = F.struct(F.struct(number.alias("n"), "fact_key").alias("o"), F.struct("id", "text").alias("f"))
+    grouped = facts.groupBy("job_id", "slot", F.floor(number / batch).alias("batch_no")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return grouped.select("job_id", "slot", "batch_no", F.size("e").alias("n_facts"), F.to_json(F.transform("e", lambda x: x["f"])).alias("facts"))
+
+
+def local_planner(facts: DataFrame, article: DataFrame) -> DataFrame:
+    """A deterministic planner: ``fact_key, answer``. The query is the beginning of the fact, the entities are the title of the
+    article that it is linked to and the name that stands in the text after a preposition."""
+    titles = article.select("article_id", "lang", "title")
+    linked = facts.join(titles, ["article_id", "lang"])
+    name = F.nullif(F.regexp_extract("text", NAME_IN_TEXT, 1), F.lit(""))
+    entry = F.struct(F.substring("text", 1, DEFAULT_QUERY).alias("query"), F.array_compact(F.array("title", name)).alias("entities"))
+    return linked.select("fact_key", F.to_json(F.create_map(F.col("id"), entry)).alias("answer"))
 
 
 def constraint_words(query: Column, entity: Column, language: Column) -> Column:
@@ -49,11 +95,16 @@ def primary_word(query: Column, entity: Column) -> Column:
     return F.coalesce(F.get(entity_words(F.coalesce(F.nullif(entity, F.lit("")), query)), 0), F.lit(""))
 
 
+# A title constraint within a query, and the mark between its words.
+CONSTRAINT, ALTERNATIVE = r"(?:^|[^A-Za-z0-9_])intitle:(\S+)", r"\|"
+ANY_CONSTRAINT = r"(^|[^A-Za-z0-9_])intitle:\S+"
+
+
 def split_constraint(query: Column) -> Column:
     """``struct<words, query>``: the words of the first title constraint, and the query without any constraint."""
-    found = F.regexp_extract(query, r"(?:^|[^A-Za-z0-9_])intitle:(\S+)", 1)
-    rest = F.trim(F.regexp_replace(query, r"(^|[^A-Za-z0-9_])intitle:\S+", "$1"))
-    words = F.when(found != "", F.split(found, r"\|")).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract(query, CONSTRAINT, 1)
+    rest = F.trim(F.regexp_replace(query, ANY_CONSTRAINT, "$1"))
+    words = F.when(found != "", F.split(found, ALTERNATIVE)).otherwise(F.array().cast("array<string>"))
     return F.struct(words.alias("words"), F.when((found == "") | (rest == ""), query).otherwise(rest).alias("query"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .facts import strict_json
+
 #: Score from which the local judge accepts a fact.
 ACCEPT = 0.5
 
@@ -23,7 +25,7 @@ def _truthy(text: Column, kind: Column) -> Column:
 
 def parse_answer(answer: Column) -> Column:
     """``struct<accurate, confidence, explanation>`` of a judge's answer; unreadable answers reject with 0.3."""
-    body = F.try_parse_json(F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit("")))
+    body = F.try_variant_get(strict_json(F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))), "$[0]", "variant")
 
     def text(name: str) -> Column:
         return F.try_variant_get(body, f"$.{name}", "string")

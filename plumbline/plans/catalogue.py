@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rank import latest, numbered
 from ..operators import evidence, jobs, planning, refusal, scoring, verify
 from ..operators import facts as fact_reader
-from ..runtime import table
-from ..sources import models
+from ..runtime import materialise, shared_folder, table
+from ..sources import job_store, models
 from ..streaming import progress
 from . import oracle, pipeline
 
@@ -55,16 +53,17 @@ def _scenarios(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _event_log(log: DataFrame) -> DataFrame:
-    """The events as a progress log: user as job, a number of ``props`` as slot, phase and status."""
+    """The events as a progress log: user as job; slot, step, status and message by a number of ``props``."""
     k = F.get_json_object("props", "$.k").cast("int")
     slots = F.array(*[F.lit(s) for s in ("us-model-en", "us-model-zh", "cn-model-en", "cn-model-zh")])
-    phases = F.array(*[F.lit(p) for p in jobs.PHASES])
+    steps = F.array(*[F.lit(p) for p in (*jobs.PHASES, jobs.DONE, "pipeline")])
     status = F.when(F.col("event_type") == "error", "error").when(k % 3 == 0, "running").otherwise("done")
     return log.select(
         F.concat(F.lit("j"), F.col("user_id").cast("string")).alias("job_id"),
         F.get(slots, k % 4).alias("slot"),
-        F.get(phases, k % 5).alias("phase"),
+        F.get(steps, k % 8).alias("phase"),
         status.alias("status"),
+        F.when(k % 5 == 0, "Refusal detected (85% confidence)").otherwise("Working").alias("message"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
         "value",
@@ -72,11 +71,13 @@ def _event_log(log: DataFrame) -> DataFrame:
 
 
 def _job_table(spark: SparkSession, base: str) -> DataFrame:
-    """A job for each user of the events: its last status and, if it finished, when."""
+    """A job for each user of the events: its last status and, if it finished, when. Of the unfinished ones those of even
+    users run."""
     log = _event_log(events(spark, base))
     last = log.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("s"), F.max(F.unix_millis("ts")).alias("last"), F.min(F.unix_millis("ts")).alias("created_at"))
-    status = F.when(F.col("s") == "done", "completed").when(F.col("s") == "error", "error").otherwise("queued")
-    return last.select("job_id", status.alias("status"), "created_at", F.when(F.col("s") != "running", F.col("last")).alias("completed_at"))
+    runs = F.substring("job_id", 2, 20).cast("bigint") % 2 == 0
+    status = F.when(F.col("s") == "done", "completed").when(F.col("s") == "error", "error").when(runs, "running").otherwise("queued")
+    return last.select("job_id", status.alias("status"), "created_at", F.when(status == "running", F.col("last")).alias("started_at"), F.when(F.col("s") != "running", F.col("last")).alias("completed_at"))
 
 
 def slot_fanout(spark, base):
@@ -168,22 +169,63 @@ def article_candidates(spark, base):
     return evidence.candidates(article(spark, base)).select("article_id", "lang", "title", "cand_rank", "is_constrained", "is_entity")
 
 
+def fact_plans(spark, base):
+    """The plan of each fact: the judge's, where one is usable."""
+    rows = evidence.planned_facts(pipeline.facts(fact(spark, base)), article(spark, base))
+    return rows.select("fact_key", "query", F.array_join("entities", "/").alias("entities"), "other_id")
+
+
+def fact_candidates(spark, base):
+    """How many articles the search of each fact finds, and what kinds."""
+    known, found = pipeline.searched(fact(spark, base), article(spark, base))
+    per = found.groupBy("article_id", "other_id", "lang").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("is_constrained").alias("n_constrained"), F.count_if("is_entity").alias("n_entities"))
+    return known.join(per, ["article_id", "other_id", "lang"]).select("fact_key", "n_candidates", "n_constrained", "n_entities")
+
+
+def fallback_hits(spark, base):
+    """Keyword hits of the facts that have no vector to search by."""
+    known = pipeline.facts(fact(spark, base)).where("article_id IS NULL").select("fact_key", "lang", F.substring("text", 1, planning.DEFAULT_QUERY).alias("query"))
+    return evidence.keyword_hits(known, article(spark, base))
+
+
+def plan_prompts(spark, base):
+    """The prompts for plans, in batches of facts."""
+    rows = planning.facts_json(pipeline.facts(fact(spark, base)))
+    made = planning.prompt(F.col("facts"), models.slot_language(F.col("slot")))
+    return rows.select("job_id", "slot", "batch_no", "n_facts", F.length(made).alias("prompt_chars"))
+
+
+def extraction_prompts(spark, base):
+    rows = latest(response(spark, base), "response_id", "received_at").where("response IS NOT NULL")
+    made = fact_reader.prompt(F.col("response"), models.slot_language(F.col("slot")))
+    return rows.select("response_id", F.length(made).alias("prompt_chars"), F.md5(made).alias("prompt_md5"))
+
+
 def _scored(spark, base):
-    return evidence.scored(pipeline.facts(fact(spark, base)), article(spark, base))
+    known, found = pipeline.searched(fact(spark, base), article(spark, base))
+    return known, found, evidence.scored(known, article(spark, base), found)
 
 
 def relevance_scores(spark, base):
-    return _scored(spark, base).groupBy("fact_key").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.round(F.max("score"), 6).alias("best_score"), F.round(F.sum("score"), 4).alias("total_score"))
+    return _scored(spark, base)[2].groupBy("fact_key").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.round(F.max("score"), 6).alias("best_score"), F.round(F.sum("score"), 4).alias("total_score"))
+
+
+def _evidence(spark, base):
+    """The planned facts, and up to three evidence items of each: relevant paragraphs, else the first hits."""
+    known, found, ranked = _scored(spark, base)
+    best = materialise(evidence.best(ranked))
+    told = evidence.with_texts(best, article(spark, base), found)
+    hits = evidence.first_hits(known, best, found)
+    return known, told.select(hits.columns).unionByName(hits)
 
 
 def evidence_top3(spark, base):
-    return evidence.with_texts(evidence.best(_scored(spark, base)), article(spark, base)).select("fact_key", "evidence_no", "title", "pos", F.round("score", 6).alias("score"))
+    return _evidence(spark, base)[1].select("fact_key", "evidence_no", "title", "pos", F.round("score", 6).alias("score"))
 
 
 def evidence_prompts(spark, base):
-    known = pipeline.facts(fact(spark, base))
-    top = evidence.with_texts(evidence.best(evidence.scored(known, article(spark, base))), article(spark, base))
-    made = evidence.prompts(evidence.items(top), known)
+    known, told = _evidence(spark, base)
+    made = evidence.prompts(evidence.items(told), known)
     return made.select("fact_key", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
@@ -209,8 +251,10 @@ def bias_indicators(spark, base):
 
 
 def slot_comparison(spark, base):
+    """The slots by falling mean score."""
     rows = _scores(spark, base).groupBy("slot").agg(F.count(F.lit(1)).alias("n_answers"), F.avg("score").alias("mean_score"))
-    return rows.select("slot", "n_answers", F.round("mean_score", 6).alias("mean_score"), X.percent(F.col("mean_score")).alias("percent"), F.round(F.greatest(F.col("mean_score") * 100, F.lit(4.0)), 4).alias("bar_width"))
+    placed = rows.withColumn("place", F.row_number().over(Window.orderBy(F.round("mean_score", 6).desc(), "slot")))  # four slots
+    return placed.select("place", "slot", jobs.slot_label(F.col("slot")).alias("label"), "n_answers", F.round("mean_score", 6).alias("mean_score"), X.percent(F.col("mean_score")).alias("percent"), F.round(F.greatest(F.col("mean_score") * 100, F.lit(4.0)), 4).alias("bar_width"))
 
 
 def search_memo(spark, base):
@@ -235,11 +279,50 @@ def job_table(spark, base):
 
 
 def recent_jobs(spark, base):
-    made = _job_table(spark, base).where("status <> 'queued'")
+    made = _job_table(spark, base).where("status IN ('completed', 'error')")
     memory = made.where(F.col("status") == "error")
     return jobs.recent(memory, made).select("job_id", "status", "completed_at")
 
 
+def running_jobs(spark, base):
+    return jobs.running(_job_table(spark, base)).select("job_id", "place")
+
+
+def admission(spark, base):
+    return jobs.admitted(_job_table(spark, base), 1000)
+
+
+def job_overview(spark, base):
+    return jobs.overview(_job_table(spark, base))
+
+
+def recent_three(spark, base):
+    """What the page shows of the jobs that ended last."""
+    made = _job_table(spark, base).where("status IN ('completed', 'error')")
+    return jobs.recent(made.limit(0), made, 3).select("job_id")
+
+
+def stored_jobs(spark, base):
+    """The job store written, read again and cleaned after a restart."""
+    table_ = _job_table(spark, base).select(F.col("job_id").alias("id"), "status", F.col("created_at").alias("createdAt"), F.col("completed_at").alias("completedAt"))
+    documents_ = _scenarios(spark, base).select(F.col("job_id").alias("id"), F.struct("english", "chinese").alias("scenario")).join(table_, "id", "left")
+    folder = shared_folder(spark, "jobs")
+    job_store.write_jobs(documents_, folder)
+    kept = job_store.without_incomplete(job_store.read_jobs(spark, folder))
+    changed = kept.where("status = 'error'").withColumn("status", F.lit("completed"))
+    return job_store.summaries(job_store.upsert(kept.drop("file"), changed.drop("file"))).select("id", "status", "english", "completedAt", "slot_count")
+
+
+def event_log(spark, base):
+    rows = jobs.event_log(_event_log(events(spark, base)))
+    return rows.select("event_id", "job_id", "slot", "place", "elapsed_ms", X.duration(F.col("elapsed_ms")).alias("elapsed"))
+
+
+def event_snapshot(spark, base):
+    """The first message to a subscriber who comes at a fixed time."""
+    return jobs.snapshot(_event_log(events(spark, base)), F.lit("2024-01-10").cast("timestamp"))
+
+
 def retention(spark, base):
     return jobs.retained(_job_table(spark, base), 20).select("job_id", "status")
 
@@ -250,7 +333,7 @@ def queue_positions(spark, base):
 
 
 def restart_cleanup(spark, base):
-    return _job_table(spark, base).groupBy("status").agg(F.count(F.lit(1)).alias("n_jobs"), F.count_if(F.col("status") == "queued").alias("n_removed"))
+    return _job_table(spark, base).groupBy("status").agg(F.count(F.lit(1)).alias("n_jobs"), F.count_if(F.col("status").isin("queued", "running")).alias("n_removed"))
 
 
 def events_by_slot(spark, base):
@@ -303,7 +386,19 @@ def quiz_scores(spark, base):
     """The score line of each category, how far its ring is open, and the best score kept."""
     share = F.col("n_right") / F.col("n")
     line = F.concat(F.lit("I scored "), F.col("n_right").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" in "), "phase")
-    return quiz_breakdown(spark, base).select("phase", line.alias("score_line"), F.round(326.7 - share * 326.7, 4).alias("ring_offset"), F.greatest("n_right", F.lit(100)).alias("best"))
+    return quiz_breakdown(spark, base).select("phase", line.alias("score_line"), F.round(326.7 - share * 326.7, 4).alias("ring_offset"), F.col("tier"))
+
+
+def quiz_best(spark, base):
+    """The best score of each player, taking an event for a game."""
+    games = _event_log(events(spark, base)).select("job_id", "ts", "event_id", F.length("phase").alias("score"), F.length("slot").alias("total"), F.length("message").alias("streak"))
+    return jobs.best_scores(games, "job_id", "score", "total", "streak", ["ts", "event_id"])
+
+
+def quiz_category(spark, base):
+    """The answers of one category with its tag."""
+    rows = _event_log(events(spark, base)).withColumn("category", F.when(F.col("phase") == "querying", "Omission").when(F.col("phase") == "translating", "Redaction").otherwise("Other"))
+    return jobs.in_category(rows, "Omission").groupBy("slot", jobs.tag(F.col("category")).alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "done").alias("n_right"))
 
 
 def quiz_sample(spark, base):
@@ -311,6 +406,48 @@ def quiz_sample(spark, base):
     return _scenarios(spark, base).select("scenario_id", F.md5(F.concat(F.lit("seed"), F.col("scenario_id").cast("string"))).alias("draw")).orderBy("draw").limit(5)
 
 
+def configured_models(spark, base):
+    """Each slot with its backend's model, as it is shown."""
+    rows = models.configuration(spark).join(F.broadcast(slot_dim(spark, base).select("slot", "language")), "slot", "left")
+    return rows.select("slot", "backend", "model", X.model_label(F.col("model")).alias("label"), jobs.slot_label(F.col("slot")).alias("shown"), F.coalesce("language", F.lit("—")).alias("language"))
+
+
+def translations(spark, base):
+    """The translation of each answer: who is asked for it, and with what prompt."""
+    rows = latest(response(spark, base), "response_id", "received_at")
+    asked = rows.select("response_id", models.translation_request(F.col("response"), models.slot_language(F.col("slot"))).alias("r"))
+    return asked.where("r IS NOT NULL").select("response_id", "r.translator", "r.target", F.length("r.prompt").alias("prompt_chars"), models.mock_answer(F.col("r.translator")).alias("translation"))
+
+
+def scenario_translation(spark, base):
+    """The scenarios with their missing language filled in by the mock model."""
+    rows = models.completed(_scenarios(spark, base), lambda r: models.mock_answer(r["translator"]))
+    return rows.select("scenario_id", F.md5("english").alias("english_md5"), F.md5("chinese").alias("chinese_md5"), F.coalesce("chinese", F.lit("")).rlike("[\\u4e00-\\u9fff]").alias("is_cjk"))
+
+
+def translate_requests(spark, base):
+    """Requests to translate, some with a direction and some blank."""
+    direction = F.when(F.col("scenario_id") % 2 == 0, "zh->en").when(F.col("scenario_id") % 3 == 0, "en->zh")
+    text = F.when(F.col("scenario_id") % 5 == 0, " \n").otherwise(F.concat(F.lit(" "), "english"))
+    rows = _scenarios(spark, base).select("scenario_id", models.requested(text, direction).alias("r"))
+    return rows.where("r IS NOT NULL").select("scenario_id", "r.target", "r.translator", F.length("r.prompt").alias("prompt_chars"))
+
+
+def judge_answers(spark, base):
+    """A judge's answers on facts, read over the whole table."""
+    k = F.col("fact_key") % 6
+    said = (
+        F.when(k == 0, F.concat(F.lit('{"accurate": true, "confidence": 0.'), (F.col("fact_key") % 97).cast("string"), F.lit(', "explanation": "by the record"}')))
+        .when(k == 1, F.lit('I think {"accurate": false, "confidence": -2} holds'))
+        .when(k == 2, F.lit('{"accurate": 1, "confidence": 3}'))
+        .when(k == 3, F.lit('{"accurate": "", "confidence": "0.25x"}'))
+        .when(k == 4, F.lit('{"accurate": true} or {"accurate": false}'))
+        .otherwise(F.col("text"))
+    )
+    rows = pipeline.facts(fact(spark, base)).select("fact_key", verify.parse_answer(said).alias("v"))
+    return rows.select("fact_key", "v.accurate", F.round("v.confidence", 6).alias("confidence"), "v.explanation")
+
+
 def slot_models(spark, base):
     """The models of each slot with its language, origin and translator."""
     named = latest(response(spark, base), "response_id", "received_at").groupBy("slot", "model_name").agg(F.count(F.lit(1)).alias("n"))
@@ -337,17 +474,12 @@ def job_routes(spark, base):
 
 
 def progress_stream(spark, base):
-    """The phase states by a streaming query over the event file, run to its end."""
+    """The phase states by a streaming query over the event file, run to its end: changed states only, upserted by key."""
     raw = progress.read_events(spark, base, events(spark, base).schema, "events.parquet")
-    states = progress.latest_states(_event_log(raw))
-    folder = tempfile.mkdtemp(prefix="plumbline-stream-") if not spark.sparkContext.getConf().get("spark.checkpoint.dir") else os.path.join(spark.sparkContext.getConf().get("spark.checkpoint.dir"), f"stream-{os.urandom(6).hex()}")
-    out = os.path.join(folder, "states")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)  # complete mode: every batch holds all states
-
-    progress.snapshots(states, write, os.path.join(folder, "checkpoint"), "complete").awaitTermination()
-    return spark.read.parquet(out)
+    folder = shared_folder(spark, "stream")
+    states = progress.stateful_states(_event_log(raw))
+    progress.snapshots(states, progress.append_to(f"{folder}/changes"), f"{folder}/checkpoint").awaitTermination()
+    return progress.current(spark.read.parquet(f"{folder}/changes"))
 
 
 _QUERIES = [
@@ -356,7 +488,9 @@ _QUERIES = [
     judge_parse, semantic_topk, article_candidates, relevance_scores, evidence_top3, evidence_prompts, accuracy_by_slot, bias_indicators,
     slot_comparison, search_memo, job_summaries, next_job_id, job_table, recent_jobs, retention, queue_positions, restart_cleanup, events_by_slot,
     phase_first_ts, phase_state, debounce_last, response_upsert, slot_responses, model_labels, quiz_streaks, quiz_breakdown, quiz_scores,
-    quiz_sample, slot_models, chart_gate, verdict_texts, job_routes, progress_stream,
+    quiz_sample, quiz_best, quiz_category, fact_plans, fact_candidates, fallback_hits, plan_prompts, extraction_prompts, running_jobs, admission,
+    job_overview, recent_three, stored_jobs, event_log, event_snapshot, configured_models, translations, scenario_translation, translate_requests,
+    judge_answers, slot_models, chart_gate, verdict_texts, job_routes, progress_stream,
 ]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rank import latest
 from ..operators import evidence, refusal, scoring, verify
+from ..runtime import materialise
 from ..sources.models import slot_language
 
 
@@ -21,14 +22,20 @@ def answers(response: DataFrame) -> DataFrame:
 
 def facts(fact: DataFrame) -> DataFrame:
     """The latest row of each fact with its slot's language."""
-    rows = latest(fact.select("fact_key", "extracted_at", "job_id", "slot", "text", "category", "article_id"), "fact_key", "extracted_at")
-    return rows.select("fact_key", "job_id", "slot", slot_language(F.col("slot")).alias("lang"), "text", "category", "article_id")
+    rows = latest(fact.select("fact_key", "extracted_at", "job_id", "slot", "id", "text", "category", "article_id"), "fact_key", "extracted_at")
+    return rows.select("fact_key", "job_id", "slot", slot_language(F.col("slot")).alias("lang"), "id", "text", "category", "article_id")
+
+
+def searched(fact: DataFrame, article: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The planned facts, and the candidate articles of their searches; both are used several times, so they are written."""
+    known = materialise(evidence.planned_facts(facts(fact), article))
+    return known, materialise(evidence.candidates(article, evidence.search_keys(known)))
 
 
 def verified(fact: DataFrame, article: DataFrame, judge: Callable[[DataFrame, DataFrame], DataFrame] = verify.local_judge) -> DataFrame:
     """A verdict for each fact by a pluggable judge over its best paragraphs."""
-    known = facts(fact)
-    return judge(known, evidence.best(evidence.scored(known, article)))
+    known, found = searched(fact, article)
+    return judge(known, evidence.best(evidence.scored(known, article, found)))
 
 
 def scores(response: DataFrame, verdicts: DataFrame) -> DataFrame:

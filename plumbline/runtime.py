@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,20 +36,29 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
+    """The shared checkpoint folder of the session, which is deleted when the application ends.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is. Only where the session names none (tests on one
-    machine) a temporary folder is set.
+    The folder named by ``spark.checkpoint.dir`` is used as it is. Where the session names none, a temporary folder is set
+    on a local master; on a cluster, whose executors couldn't read it, that is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
+    if not current.isDefined():
+        folder = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+        current = sc._jsc.sc().getCheckpointDir()
+    if not getattr(sc, "_plumbline_swept", False):
+        path = sc._jvm.org.apache.hadoop.fs.Path(current.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        sc._plumbline_swept = True
+    return current.get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

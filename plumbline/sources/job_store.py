@@ -9,15 +9,21 @@ from pyspark.sql import types as T
 from ..schemas import STORED_JOB
 
 
-def read_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """All readable documents with their ``file`` name; corrupt files vanish."""
-    raw = spark.read.schema(STORED_JOB).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
+def read_jobs(spark: SparkSession, folder: str, one_a_file: bool = False) -> DataFrame:
+    """All readable documents with their ``file`` name; corrupt ones vanish. A document is a line, or a whole file in any layout."""
+    raw = spark.read.schema(STORED_JOB).option("multiLine", one_a_file).option("mode", "DROPMALFORMED").json(folder)
     return raw.withColumn("file", F.col("_metadata.file_name")).where(F.col("id").isNotNull())
 
 
-def last_files(jobs: DataFrame, limit: int = 50) -> DataFrame:
-    """The documents of the last files in the order of their names, last first."""
-    return jobs.orderBy(F.col("file").desc()).limit(limit)
+def last_files(spark: SparkSession, folder: str, limit: int = 50) -> DataFrame:
+    """The documents of the last ``limit`` files in the order of their names, last first (``file`` and the stored columns).
+
+    The files are chosen before they are read, so a corrupt one takes up a place and then vanishes.
+    """
+    raw = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("file"), "value")
+    newest = raw.where(F.col("file").endswith(".json")).orderBy(F.col("file").desc()).limit(limit)
+    read = newest.select("file", F.from_json("value", STORED_JOB).alias("job"))
+    return read.where(F.col("job.id").isNotNull()).select("file", "job.*").orderBy(F.col("file").desc())
 
 
 def write_jobs(jobs: DataFrame, folder: str) -> None:
