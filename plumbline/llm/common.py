@@ -31,7 +31,7 @@ def bounded_filter(hashes: DataFrame, column: str | Column) -> DataFrame:
     return F.broadcast(hashes.select(F.pmod(column, F.lit(FILTER)).alias("bit")).distinct())
 
 
-def passing(rows: DataFrame, column: str | Column, bits: DataFrame) -> DataFrame:
-    """The rows whose hash may be one of those of a ``bounded_filter``."""
+def passing(rows: DataFrame, column: str | Column, bits: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose hash may be one of those of a ``bounded_filter`` (``left_anti``: all others)."""
     column = F.col(column) if isinstance(column, str) else column
-    return rows.join(bits, F.pmod(column, F.lit(FILTER)) == F.col("bit"), "left_semi")
+    return rows.join(bits, F.pmod(column, F.lit(FILTER)) == F.col("bit"), how)

@@ -142,17 +142,18 @@ def hashed(rows: DataFrame, ordered_arrays: bool = True, keep_record: bool = Fal
 def copies(rows: DataFrame) -> DataFrame:
     """``first_key, copy_key``: one row for each record of a group besides the one with the smallest key.
 
-    The groups compare the whole structure of their records (smallest and largest shape). Only a root whose shapes
-    differ, a collision of 128-bit digests, needs its records' shapes again; a broadcast of bounded size passes by the
-    records of all others before the join.
+    The groups compare the whole structure of their records (smallest and largest shape). Roots whose shapes differ,
+    collisions of 128-bit digests, set their bit of a filter of bounded size, which is broadcast; only the records that
+    have such a bit, usually none, are grouped by their shapes again.
     """
     rows = hashed(rows)
     groups = rows.groupBy("root").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("shape").alias("low"), F.max("shape").alias("high"))
     groups = groups.where(F.col("first_key") < F.col("last_key"))
-    sure = groups.where(F.col("low") == F.col("high")).select("root", "first_key")
-    usual = rows.select("root", "key").join(sure, "root").where(F.col("key") > F.col("first_key"))
-    collided = groups.where(F.col("low") != F.col("high")).select("root")
-    apart = passing(rows, F.xxhash64("root"), bounded_filter(collided, F.xxhash64("root"))).join(collided, "root")
+    bit = F.xxhash64("root")
+    collided = bounded_filter(groups.where(F.col("low") != F.col("high")), bit)
+    several = groups.where(F.col("low") == F.col("high")).select("root", "first_key")
+    usual = passing(rows.select("root", "key"), bit, collided, "left_anti").join(several, "root").where(F.col("key") > F.col("first_key"))
+    apart = passing(rows, bit, collided)
     firsts = apart.groupBy("root", "shape").agg(F.min("key").alias("first_key"))
     unusual = apart.join(firsts, ["root", "shape"]).where(F.col("key") > F.col("first_key"))
     columns = ["first_key", F.col("key").alias("copy_key")]
