@@ -20,7 +20,7 @@ def last_files(spark: SparkSession, folder: str, limit: int = 50) -> DataFrame:
 
     The files are chosen before they are read, so a corrupt one takes up a place and then vanishes.
     """
-    raw = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("file"), "value")
+    raw = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     newest = raw.where(F.col("file").endswith(".json")).orderBy(F.col("file").desc()).limit(limit)
     read = newest.select("file", F.from_json("value", STORED_JOB).alias("job"))
     return read.where(F.col("job.id").isNotNull()).select("file", "job.*").orderBy(F.col("file").desc())

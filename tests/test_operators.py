@@ -1,5 +1,6 @@
 """Goldens of the scalar operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,12 +94,11 @@ def test_judge_answers(spark, answer, expected):
     ],
 )
 def test_relevance(spark, fact, paragraph, expected):
-    def parts(c):
-        return X.has_cjk(F.col(c)), X.words(F.col(c)), X.cjk_bigrams(F.col(c))
-
-    (pc, pw, pp), (fc, fw, fp) = parts("p"), parts("f")
-    row = spark.createDataFrame([(fact, paragraph)], "f string, p string").select(evidence.relevance(pc, pw, pp, fc, F.array_distinct(fw), fp).alias("s")).first()
-    assert row["s"] == pytest.approx(expected)
+    facts = spark.createDataFrame([(1, 7, -1, "en", fact)], "fact_key long, article_id long, other_id long, lang string, text string")
+    article = spark.createDataFrame([(7, "en", "T", paragraph + "." * 40)], "article_id long, lang string, title string, text string")
+    found = spark.createDataFrame([(7, -1, "en", 7, "T", 1, False, False)], "article_id long, other_id long, lang string, cand_id long, title string, cand_rank int, is_constrained boolean, is_entity boolean")
+    rows = evidence.scored(facts, article, found).collect()
+    assert sum(r.score for r in rows) == pytest.approx(expected)
 
 
 def test_best_keeps_two_of_an_article(spark):
@@ -163,12 +163,112 @@ def test_jobs(spark):
 
 def test_remote_model_reports_failures(spark):
     def connect():
-        def ask(prompt):
+        def ask(prompt, max_tokens):
+            assert max_tokens == 9
             if prompt == "bad":
                 raise ValueError("502")
             return prompt.upper()
 
         return ask
 
-    rows = models.remote(spark.createDataFrame([(1, "a"), (2, "bad")], "i int, p string"), "p", connect).collect()
+    rows = models.remote(spark.createDataFrame([(1, "a"), (2, "bad")], "i int, p string"), "p", connect, max_tokens=9).collect()
     assert sorted((r.i, r.answer, r.error) for r in rows) == [(1, "A", None), (2, None, "502")]
+
+
+def test_numbered_keeps_every_row(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    try:
+        rows = spark.range(2_000_000).select(F.xxhash64("id").alias("v"), F.md5(F.col("id").cast("string")).alias("other"), "id")
+        got = numbered(rows.repartition(20), [F.col("v"), F.col("id")])
+        n, least, most, distinct = got.agg(F.count(F.lit(1)), F.min("position"), F.max("position"), F.countDistinct("position")).first()
+        assert (n, least, most, distinct) == (2_000_000, 1, 2_000_000, 2_000_000)
+        ends = [r.v for r in got.where("position IN (1, 1000000, 2000000)").orderBy("position").collect()]
+        assert ends == sorted(ends)
+        assert numbered(rows.limit(0), [F.col("v")]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_index_finds_what_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "LIST_ROWS", 60)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 8))
+    points = np.concatenate([c + 0.4 * rng.normal(size=(50, 8)) for c in centres])
+    points = np.concatenate([points, points[:3], np.zeros((1, 8))])  # ties, and a vector without length
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, embedding array<float>")
+    unit = points.astype(np.float32).astype(float) / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+    want = {}
+    for q in range(0, len(points) - 1, 20):
+        cosine = np.round(unit @ unit[q], 6)
+        order = [i for i in sorted(range(len(points) - 1), key=lambda i: (-cosine[i], i)) if i != q]
+        want[q] = order[:8]
+    asked = rows.where("id % 20 = 0")
+    got, near = {}, {}
+    for r in evidence.neighbours(rows, asked, "id", []).orderBy("query_key", "rank").collect():
+        got.setdefault(r.query_key, []).append(r.id)
+    assert got == want
+    for r in evidence.neighbours(rows, asked, "id", [], exact=False).collect():
+        near.setdefault(r.query_key, set()).add(r.id)
+    recall = sum(len(near.get(q, set()) & set(ids)) for q, ids in want.items()) / sum(map(len, want.values()))
+    assert recall >= 0.9
+    assert evidence.neighbours(rows.limit(0), asked.limit(0), "id", []).count() == 0
+
+
+def test_plans_drop_what_is_no_text(spark):
+    def plan(answer):
+        return tuple(one(spark, answer, planning.planned(F.col("x"), "fact-1", F.lit("t"))))
+
+    assert plan('{"fact-1": {"query": 7, "entities": ["A"]}}') == ("t", [])
+    assert plan('{"fact-1": {"query": "q", "entities": [1, "A", null, {"b": 2}, "B", "C"]}}') == ("q", ["A", "B"])
+    assert plan('{"fact-1": {"query": "q", "entities": "A"}}') == ("q", [])
+    assert plan('use {this}: {"fact-1": {"query": "q"}} end') == ("q", [])
+    assert plan('{"fact-1": {"query": "q"}} and {x}') == ("q", [])
+    assert plan('{"fact-1": {"query": "q"}, x} and more') == ("t", [])
+
+
+def test_first_hits_stand_in_for_paragraphs(spark):
+    facts = spark.createDataFrame([(1, 7, -1, "en"), (2, 7, -1, "en"), (3, None, -1, "en")], "fact_key long, article_id long, other_id long, lang string")
+    best = spark.createDataFrame([(2,)], "fact_key long")
+    found = spark.createDataFrame([(7, -1, "en", i, f"T{i}", "s", i) for i in range(1, 6)], "article_id long, other_id long, lang string, cand_id long, title string, snippet string, cand_rank int")
+    assert sorted((r.fact_key, r.evidence_no, r.title, r.text, r.score) for r in evidence.first_hits(facts, best, found).collect()) == [(1, i, f"T{i}", "s", None) for i in (1, 2, 3)]
+
+
+def test_second_entity_and_gate(spark):
+    names = ["Bay of Ruvo", "Ruvo Port", "Salt", "Coal", "Iron", "Ruvo Hill", "Tin"]
+    rows = [(i, "en", n, "About Ruvo." if n == "Tin" else None, [1.0, i / 10]) for i, n in enumerate(names)]
+    article = spark.createDataFrame(rows, "article_id long, lang string, title string, text string, embedding array<float>")
+    keys = spark.createDataFrame([(0, 2, "en")], "article_id long, other_id long, lang string")
+    found = evidence.candidates(article, keys).orderBy("cand_rank").collect()
+    assert [r.title for r in found] == ["Ruvo Port", "Ruvo Hill", "Bay of Ruvo", "Salt"]  # the supplement needs the title
+    assert [r.is_entity for r in found] == [False, False, True, True]
+
+
+def test_throttle_and_retries():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    ask = models.throttled(lambda p: p, gap=1.0, jitter=0.0, clock=lambda: now[0], sleep=sleep)
+    assert [ask("a"), ask("b")] == ["a", "b"] and slept == [1.0]
+    answers = [models.TooMany(), TimeoutError(), "ok"]
+
+    def flaky(p):
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    slept.clear()
+    assert models.retried(flaky, sleep=slept.append)("p") == "ok" and slept == [10.0, 10.0]
+    answers[:] = [models.TooMany(), models.TooMany(), models.TooMany()]
+    slept.clear()
+    with pytest.raises(models.TooMany):
+        models.retried(flaky, sleep=slept.append)("p")
+    assert slept == [10.0, 20.0]
+
+
+def test_durations(spark):
+    for ms, text in ((None, ""), (0, ""), (50, "0.1s"), (150, "0.1s"), (250, "0.3s"), (1449, "1.4s"), (1450, "1.4s"), (61_000, "61.0s"), (1_149_124_450, "1149124.4s")):
+        assert spark.createDataFrame([(ms,)], "x long").select(X.duration(F.col("x")).alias("d")).first()["d"] == text, ms
