@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_filter, once_per_key, passing
+from .common import once_per_key
 
 # Letters of scripts that are written without spaces: a sign may follow them directly.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -142,18 +142,16 @@ def hashed(rows: DataFrame, ordered_arrays: bool = True, keep_record: bool = Fal
 def copies(rows: DataFrame) -> DataFrame:
     """``first_key, copy_key``: one row for each record of a group besides the one with the smallest key.
 
-    The groups compare the whole structure of their records (smallest and largest shape). Roots whose shapes differ,
-    collisions of 128-bit digests, set their bit of a filter of bounded size, which is broadcast; only the records that
-    have such a bit, usually none, are grouped by their shapes again.
+    The groups compare the whole structure of their records (smallest and largest shape). Where the shapes of a root differ,
+    a collision of 128-bit digests, its records are looked up again by their keys (the rows still lie by key) and grouped
+    by their shapes.
     """
     rows = hashed(rows)
     groups = rows.groupBy("root").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("shape").alias("low"), F.max("shape").alias("high"))
-    groups = groups.where(F.col("first_key") < F.col("last_key"))
-    bit = F.xxhash64("root")
-    collided = bounded_filter(groups.where(F.col("low") != F.col("high")), bit)
-    several = groups.where(F.col("low") == F.col("high")).select("root", "first_key")
-    usual = passing(rows.select("root", "key"), bit, collided, "left_anti").join(several, "root").where(F.col("key") > F.col("first_key"))
-    apart = passing(rows, bit, collided)
+    several = groups.where(F.col("first_key") < F.col("last_key")).select("root", "first_key", (F.col("low") == F.col("high")).alias("alike"))
+    grouped = rows.select("root", "key").join(several, "root")
+    usual = grouped.where(F.col("alike") & (F.col("key") > F.col("first_key")))
+    apart = rows.join(grouped.where(~F.col("alike")).select("key"), "key")
     firsts = apart.groupBy("root", "shape").agg(F.min("key").alias("first_key"))
     unusual = apart.join(firsts, ["root", "shape"]).where(F.col("key") > F.col("first_key"))
     columns = ["first_key", F.col("key").alias("copy_key")]
