@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.rank import first_n
 from ..functions.text import article_url, cjk_bigrams, entity_words, has_cjk, trim_white, words
 from ..runtime import materialise
-from .planning import constraint_words, local_planner, planned, primary_word, title_holds
+from .planning import constraint_words, local_planner, primary_word, title_holds, with_plan
 
 #: Hits of a search, longest extract, paragraphs of a fact and of an article, and boosts.
 TOP_K, EXTRACT, BEST, BEST_OF_ARTICLE = 8, 12_000, 3, 2
@@ -118,8 +118,7 @@ def planned_facts(facts: DataFrame, article: DataFrame, planner: Callable[[DataF
 
     The planner's answer is read as a judge's; a fact without a usable plan has the default one.
     """
-    plan = planned(F.col("answer"), F.col("id"), F.col("text"))
-    asked = facts.join(planner(facts, article), "fact_key", "left").withColumn("plan", plan).select(*facts.columns, "plan.query", "plan.entities")
+    asked = with_plan(facts.join(planner(facts, article), "fact_key", "left"), "answer", "id", "text").drop("answer")
     titles = article.groupBy(F.lower("title").alias("_title"), F.col("lang").alias("_lang")).agg(F.min("article_id").alias("_id"))
     second = F.lower(F.get("entities", 1))
     found = asked.withColumn("_second", second).join(titles, (F.col("_second") == F.col("_title")) & (F.col("lang") == F.col("_lang")), "left")

@@ -22,35 +22,44 @@ WHOLE, NESTED = r"(?s)\{.*\}", r"(?s)\{[^{}]*\{.*\}[^{}]*\}"
 BARE_KEY, QUOTED_KEY = r"([{,]\s*)([a-zA-Z_]\w*)\s*:", '$1"$2":'
 
 
-def repaired(answer: Column) -> Column:
-    """The variant in a judge's answer: fences and trailing commas go, the widest and then a nested pair of braces is tried,
-    and bare keys are quoted as a last resort."""
+def cleaned(answer: Column) -> Column:
+    """The answer without fences and trailing commas."""
     clean = F.regexp_replace(answer, FENCE, "")
     for pattern, by in TRAILING:
         clean = F.regexp_replace(clean, pattern, by)
-    quoted = F.regexp_replace(clean, BARE_KEY, QUOTED_KEY)
+    return clean
+
+
+def repaired(clean: Column) -> Column:
+    """The variant in a cleaned answer: the widest and then a nested pair of braces is tried, and bare keys are quoted as a
+    last resort."""
 
     def inner(x: Column, pattern: str) -> Column:
         return F.try_variant_get(strict_json(F.nullif(F.regexp_extract(x, pattern, 0), F.lit(""))), "$[0]", "variant")
 
-    return F.coalesce(inner(clean, WHOLE), inner(clean, NESTED), inner(quoted, WHOLE))
+    return F.coalesce(inner(clean, WHOLE), inner(clean, NESTED), inner(F.regexp_replace(clean, BARE_KEY, QUOTED_KEY), WHOLE))
+
 
+def with_plan(df: DataFrame, answer: str, fact_id: str, text: str) -> DataFrame:
+    """The rows with ``query`` and ``entities`` from a judge's answer; without an entry whose query is a string the first
+    characters of the text are the query. Entities that are no strings are left out.
 
-def planned(answer: Column, fact_id: str | Column, text: Column) -> Column:
-    """``struct<query, entities>`` of a fact; without an entry whose query is a string the first characters of its text are the
-    query. Entities that are no strings are left out."""
-    plans = F.from_json(F.to_json(repaired(answer)), "map<string,variant>")
-    entry = F.try_element_at(plans, F.lit(fact_id) if isinstance(fact_id, str) else fact_id)
+    Each step is a column of its own, so that no step is computed again for each use of its result.
+    """
 
     def is_text(x: Column) -> Column:
         return F.schema_of_variant(x) == "STRING"
 
-    query = F.try_variant_get(entry, "$.query", "variant")
-    listed = F.filter(F.coalesce(F.try_variant_get(entry, "$.entities", "array<variant>"), F.array().cast("array<variant>")), lambda e: e.isNotNull() & is_text(e))
-    entities = F.transform(F.slice(listed, 1, 2), lambda e: F.try_variant_get(e, "$", "string"))
-    usual = F.struct(F.try_variant_get(query, "$", "string").alias("query"), entities.alias("entities"))
-    default = F.struct(F.substring(text, 1, DEFAULT_QUERY).alias("query"), F.array().cast("array<string>").alias("entities"))
-    return F.when(query.isNotNull() & is_text(query), usual).otherwise(default)
+    kept = df.columns
+    df = df.withColumn("_clean", cleaned(F.col(answer))).withColumn("_value", repaired(F.col("_clean")))
+    df = df.withColumn("_plans", F.from_json(F.to_json("_value"), "map<string,variant>")).withColumn("_entry", F.try_element_at("_plans", F.col(fact_id)))
+    df = df.withColumn("_query", F.try_variant_get("_entry", "$.query", "variant")).withColumn("_listed", F.try_variant_get("_entry", "$.entities", "array<variant>"))
+    given = F.col("_query").isNotNull() & is_text(F.col("_query"))
+    none = F.array().cast("array<string>")
+    texts = F.filter("_listed", lambda e: e.isNotNull() & is_text(e))
+    entities = F.transform(F.slice(texts, 1, 2), lambda e: F.try_variant_get(e, "$", "string"))
+    query = F.when(given, F.try_variant_get("_query", "$", "string")).otherwise(F.substring(text, 1, DEFAULT_QUERY))
+    return df.select(*kept, query.alias("query"), F.when(given & F.col("_listed").isNotNull(), entities).otherwise(none).alias("entities"))
 
 
 def prompt(facts_json: Column, language: Column) -> Column:

@@ -149,9 +149,8 @@ def split_constraints(spark, base):
 
 
 def query_plans(spark, base):
-    rows = spark.createDataFrame(list(enumerate(PLAN_ANSWERS)), "answer_no int, answer string")
-    plan = planning.planned(F.col("answer"), "fact-1", F.lit("The harbour was enlarged in 1872."))
-    return rows.select("answer_no", plan.alias("p")).select("answer_no", "p.query", F.array_join("p.entities", "/").alias("entities"))
+    rows = spark.createDataFrame([(i, a, "fact-1", "The harbour was enlarged in 1872.") for i, a in enumerate(PLAN_ANSWERS)], "answer_no int, answer string, id string, text string")
+    return planning.with_plan(rows, "answer", "id", "text").select("answer_no", "query", F.array_join("entities", "/").alias("entities"))
 
 
 def judge_parse(spark, base):

@@ -14,6 +14,12 @@ def one(spark, value, column, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column.alias("y")).first()["y"]
 
 
+def plan_of(spark, answer, text):
+    rows = spark.createDataFrame([(answer, "fact-1", text)], "answer string, id string, text string")
+    row = planning.with_plan(rows, "answer", "id", "text").first()
+    return row.query, row.entities
+
+
 @pytest.mark.parametrize(
     ("lang", "text", "expected"),
     [
@@ -141,8 +147,8 @@ def test_planning(spark):
     assert tuple(one(spark, "intitle:a", planning.split_constraint(F.col("x")))) == (["a"], "intitle:a")
     assert one(spark, "Lai Ching-te maintains", planning.constraint(planning.constraint_words(F.lit("q"), F.col("x"), F.lit("en")))) == "intitle:lai|ching"
     broken = '```json\n{"fact-1": {query: "q", "entities": ["A", "B", "C"],}}```'
-    assert tuple(one(spark, broken, planning.planned(F.col("x"), "fact-1", F.lit("t")))) == ("q", ["A", "B"])
-    assert tuple(one(spark, "nothing", planning.planned(F.col("x"), "fact-1", F.lit("t" * 99)))) == ("t" * 80, [])
+    assert plan_of(spark, broken, "t") == ("q", ["A", "B"])
+    assert plan_of(spark, "nothing", "t" * 99) == ("t" * 80, [])
 
 
 def test_ranks(spark):
@@ -216,7 +222,7 @@ def test_index_finds_what_brute_force_finds(spark, monkeypatch):
 
 def test_plans_drop_what_is_no_text(spark):
     def plan(answer):
-        return tuple(one(spark, answer, planning.planned(F.col("x"), "fact-1", F.lit("t"))))
+        return plan_of(spark, answer, "t")
 
     assert plan('{"fact-1": {"query": 7, "entities": ["A"]}}') == ("t", [])
     assert plan('{"fact-1": {"query": "q", "entities": [1, "A", null, {"b": 2}, "B", "C"]}}') == ("q", ["A", "B"])
