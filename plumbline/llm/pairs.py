@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +33,6 @@ from .lookalike import consistent
 
 #: The order in which a single defect is chosen.
 ORDER = ("empty", "copies_question", "refusal", "truncated", "other_language")
-#: Letters that an announcement before a copied prompt may have.
-ANNOUNCEMENT = 60
-
 # Phrases that decline, by language, as patterns over lower-case text with plain apostrophes.
 REFUSALS = (
     r"\bi (?:cannot|can't|can not|could not|couldn't|won't|will not|am unable to|am not able to|'m unable to|'m not able to|am not allowed to|"
@@ -74,11 +73,34 @@ _REFUSAL = re.compile("|".join(REFUSALS))
 _COURTESY = re.compile("|".join(COURTESIES))
 _SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?。！？]+|\n|$)")
 _NOT_TEXT = re.compile(r"[\W_]+")
+_QUOTED = re.compile(r'"[^"]*"|“[^”]*”')
 
 
 def bare(text: str | None) -> str:
     """The letters and numbers of a text in lower case, look-alikes resolved."""
-    return _NOT_TEXT.sub("", unicodedata.normalize("NFKC", consistent(text)).casefold()) if text else ""
+    return _letters(consistent(text)) if text else ""
+
+
+def _letters(form: str) -> str:
+    return _NOT_TEXT.sub("", unicodedata.normalize("NFKC", form).casefold())
+
+
+@lru_cache(maxsize=20_000)
+def _asked(prompt: str) -> str:
+    """``bare`` of a prompt; prompts seen lately are remembered, as several answers belong to each."""
+    return bare(prompt)
+
+
+def _is_copy(said: str, asked: str) -> bool:
+    if not asked or asked not in said:
+        return False
+    before, _, after = said.partition(asked)
+    return not after.replace(asked, "") and _announces(before, asked)
+
+
+def _announces(before: str, asked: str) -> bool:
+    """Whether what stands before a copied prompt only announces it: no more letters than the prompt itself has, or 24."""
+    return len(before) <= max(24, len(asked))
 
 
 def is_empty(answer: str | None) -> bool:
@@ -87,37 +109,36 @@ def is_empty(answer: str | None) -> bool:
 
 def copies(answer: str | None, prompt: str | None) -> bool:
     """Whether the answer holds nothing but the prompt, behind an announcement at most."""
-    said, asked = bare(answer), bare(prompt)
-    if not asked or not said or asked not in said:
-        return False
-    before, _, after = said.partition(asked)
-    return len(before) <= min(ANNOUNCEMENT, max(24, len(asked))) and not after.replace(asked, "")
+    return _is_copy(bare(answer), bare(prompt))
 
 
 def refuses(answer: str | None) -> bool:
     """Whether an answer declines and holds nothing else."""
-    if not answer:
-        return False
-    said = consistent(answer).replace("’", "'").lower()
+    return bool(answer) and _declines(consistent(answer))
+
+
+def _declines(form: str) -> bool:
     declined = False
-    for m in _SENTENCE.finditer(said):
+    for m in _SENTENCE.finditer(form.replace("’", "'").lower()):
         sentence = m[0].strip(" \n\t\"'“”*>-")
         if not _NOT_TEXT.sub("", sentence):
             continue
-        if _REFUSAL.search(re.sub(r'"[^"]*"|“[^”]*”', " ", sentence)):
+        if _REFUSAL.search(_QUOTED.sub(" ", sentence)):
             declined = True
         elif not _COURTESY.search(sentence):
-            return False
+            return False  # a sentence of substance
     return declined
 
 
 def _flags(answer: str | None, prompt: str | None, cut: bool, languages: list[str], expected: str | None) -> list[str]:
-    if is_empty(answer):
+    form = consistent(answer) if answer else ""
+    said = _letters(form)
+    if not said:
         return ["empty"]
     out = []
-    if copies(answer, prompt):
+    if prompt and _is_copy(said, _asked(prompt)):
         out.append("copies_question")
-    if refuses(answer):
+    if _declines(form):
         out.append("refusal")
     if cut:
         out.append("truncated")
@@ -126,10 +147,19 @@ def _flags(answer: str | None, prompt: str | None, cut: bool, languages: list[st
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _triggered(answer: pd.Series, prompt: pd.Series, cut: pd.Series, languages: pd.Series, expected: pd.Series) -> pd.Series:
-    rows = zip(answer, prompt, cut, languages, expected)
-    return pd.Series([_flags(a, p, bool(c), [] if ls is None else list(ls), e) for a, p, c, ls, e in rows])
+def _verdicts(rows: DataFrame, profiles: langid.Profiles) -> DataFrame:
+    """``response_id, defects`` of rows with ``response_id, response, prompt, is_cut, expected``: one pass over the answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for answer, prompt, cut, expected in zip(*(batch.column(c).to_pylist() for c in ("response", "prompt", "is_cut", "expected"))):
+                languages = [s[2] for s in profiles.segments(answer)] if expected else []
+                found.append(_flags(answer, prompt, cut, languages, expected))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["response_id", "defects"])
+
+    schema = T.StructType([rows.schema["response_id"], T.StructField("defects", T.ArrayType(T.StringType()))])
+    return rows.select("response_id", "response", "prompt", "is_cut", "expected").mapInArrow(run, schema)
 
 
 def triggered(response: DataFrame, scenario: DataFrame, slots: DataFrame, profiles: langid.Profiles) -> DataFrame:
@@ -141,10 +171,9 @@ def triggered(response: DataFrame, scenario: DataFrame, slots: DataFrame, profil
     cut = truncation.judged(truncation.values(response, scenario))  # with the prompts, as in p5: all columns give evidence
     cut = cut.where(F.col("field") == "response.response").select(F.col("key").alias("response_id"), "is_cut")
     joined = answers.join(prompts.select("job_id", "english", "chinese"), "job_id", "left").join(known, "slot", "left").join(cut, "response_id", "left")
-    seen = F.array_distinct(F.transform(langid.segments(F.col("response"), profiles), lambda s: s["language"]))
-    ready = joined.withColumn("expected", expected).withColumn("languages", seen)
+    ready = joined.withColumn("expected", expected).withColumn("is_cut", F.coalesce("is_cut", F.lit(False)))
     prompt = F.when(F.col("expected") == "zh", F.col("chinese")).when(F.col("expected") == "en", F.col("english"))
-    return ready.select("response_id", _triggered.asNondeterministic()("response", prompt, F.coalesce("is_cut", F.lit(False)), "languages", "expected").alias("defects"))
+    return _verdicts(ready.withColumn("prompt", prompt), profiles)
 
 
 def defects(response: DataFrame, scenario: DataFrame, slots: DataFrame, profiles: langid.Profiles) -> DataFrame:

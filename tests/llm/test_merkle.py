@@ -95,6 +95,12 @@ def test_copies_equal_brute_force(spark):
     assert (7, 8) in want and (7, 9) not in want and (1, 102) in want
 
 
+def test_collisions_of_digests_join_nothing(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "root_digest", lambda *_: F.md5(F.lit("one root for all")))
+    got = merkle.copies(merkle.records(*frames(spark))).collect()
+    assert {tuple(r) for r in got} == expected()[0] and len(got) == len(expected()[0])
+
+
 def test_distinct_records_count_all(spark):
     got = merkle.distinct_records(merkle.records(*frames(spark))).collect()
     assert sorted(r.n_records for r in got) == expected()[1]
