@@ -39,10 +39,6 @@ def trim_white(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
 def has_cjk(text: Column) -> Column:
     return text.rlike(f"[{CJK_CLASS}]")
 

@@ -349,6 +349,19 @@ def phase_state(spark, base):
     return jobs.phase_states(_event_log(events(spark, base)))
 
 
+def progress_messages(spark, base):
+    """The phase states as subscribers get them."""
+    return progress.messages(jobs.phase_states(_event_log(events(spark, base))))
+
+
+def model_replies(spark, base):
+    """The text of a model's reply: the first text block that isn't empty, else nothing."""
+    block = "struct<type:string,text:string>"
+    said = F.array(F.struct(F.lit("thinking").alias("type"), F.lit("x").alias("text")).cast(block), F.struct(F.lit("text").alias("type"), F.lit("").alias("text")).cast(block), F.struct(F.lit("text").alias("type"), F.col("response").alias("text")).cast(block))
+    rows = latest(response(spark, base), "response_id", "received_at")
+    return rows.select("response_id", F.md5(models.first_text_block(said)).alias("reply_md5"))
+
+
 def debounce_last(spark, base):
     return jobs.settled(_event_log(events(spark, base)), "job_id", 60_000).select("job_id", "event_id")
 
@@ -486,7 +499,7 @@ _QUERIES = [
     strip_html_documents, article_urls, token_frequencies, article_bigrams, paragraph_split, title_constraints, split_constraints, query_plans,
     judge_parse, semantic_topk, article_candidates, relevance_scores, evidence_top3, evidence_prompts, accuracy_by_slot, bias_indicators,
     slot_comparison, search_memo, job_summaries, next_job_id, job_table, recent_jobs, retention, queue_positions, restart_cleanup, events_by_slot,
-    phase_first_ts, phase_state, debounce_last, response_upsert, slot_responses, model_labels, quiz_streaks, quiz_breakdown, quiz_scores,
+    phase_first_ts, phase_state, progress_messages, model_replies, debounce_last, response_upsert, slot_responses, model_labels, quiz_streaks, quiz_breakdown, quiz_scores,
     quiz_sample, quiz_best, quiz_category, fact_plans, fact_candidates, fallback_hits, plan_prompts, extraction_prompts, running_jobs, admission,
     job_overview, recent_three, stored_jobs, event_log, event_snapshot, configured_models, translations, scenario_translation, translate_requests,
     judge_answers, slot_models, chart_gate, verdict_texts, job_routes, progress_stream,

@@ -287,6 +287,8 @@ def statements(judge_answers: list[str], plan_answers: list[str], now: int) -> d
         "phase_first_ts": f"WITH {_LOG}, x AS (SELECT job_id, slot, phase, epoch_us(min(ts)) // 1000 AS first_ms FROM log WHERE list_contains({listing(PHASES)}, phase) GROUP BY ALL) SELECT *, first_ms - min(first_ms) OVER (PARTITION BY job_id, slot) AS elapsed_ms FROM x",
         "phase_state": _STATES,
         "progress_stream": _STATES,
+        "progress_messages": f"SELECT job_id, to_json({{type: 'progress', job_id: job_id, slot: slot, phase: phase, state: state}})::VARCHAR AS payload FROM ({_STATES})",
+        "model_replies": f"WITH {_RESPONSES} SELECT response_id, md5(coalesce(response, '')) AS reply_md5 FROM responses",
         "debounce_last": f"WITH {_LOG}, n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS following FROM log) SELECT job_id, event_id FROM n WHERE following IS NULL OR epoch_us(following) - epoch_us(ts) > 60000000",
         "response_upsert": f"WITH {_RESPONSES} SELECT job_id, slot, last(response_id ORDER BY received_at, response_id) AS response_id FROM responses GROUP BY job_id, slot",
         "slot_responses": f"WITH {_RESPONSES} SELECT job_id, string_agg(coalesce(error, 'ok'), '|' ORDER BY slot_ord, coalesce(error, 'ok')) AS states, count(*) AS n_slots FROM responses JOIN slot_dim USING (slot) GROUP BY job_id",

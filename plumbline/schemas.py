@@ -42,5 +42,3 @@ STORED_JOB = _struct(
     error=_S,
     modelNames=T.MapType(_S, _S),
 )
-PROGRESS_EVENT = _struct(job_id=_S, slot=_S, step=_S, status=_S, message=_S, timestamp=_L, elapsed=_L, result=_S)
-QUERY_PLAN = T.MapType(_S, _struct(query=_S, entities=T.ArrayType(_S)))
