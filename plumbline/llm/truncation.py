@@ -357,8 +357,14 @@ def buckets(words: list[str], hashes: _Words) -> list[list[int]]:
         h = hashes.hashes(words[: sizes[-1]])
         n = len(h) - SHINGLE + 1
         grams = _mixed(sum(h[i : i + n] * _PLACE[i] for i in range(SHINGLE)))
-        rows = grams[:, None] * _MUL[None, :] + _ADD[None, :]
-        low = np.minimum.accumulate(rows, axis=0)[[s - SHINGLE for s in sizes]]
+        lows, at, least = [], 0, np.full(BANDS * ROWS_A_BAND, np.iinfo(np.uint64).max, np.uint64)
+        for size in sizes:  # in pieces, so that a very long text takes no more memory than its words
+            while at < size - SHINGLE + 1:
+                part = grams[at : min(at + 4096, size - SHINGLE + 1)]
+                least = np.minimum(least, (part[:, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0))
+                at += len(part)
+            lows.append(least)
+        low = np.array(lows)
         bands = (low.reshape(len(sizes), BANDS, ROWS_A_BAND) * _FOLD).sum(axis=2, dtype=np.uint64)
         keys = _mixed(bands + np.arange(BANDS, dtype=np.uint64) * _PLACE[6] + np.array(sizes, np.uint64)[:, None] * _PLACE[7])
     return keys.view(np.int64).tolist()
@@ -433,14 +439,19 @@ def edits(a: list[str], b: list[str], most: int) -> int:
         return max(len(a), len(b))
     if len(set(a).difference(b)) > most:  # each of these words is an edit
         return most + 1
-    row = list(range(len(b) + 1))
-    for n, x in enumerate(a, 1):
-        last, row[0] = row[0], n
-        for m, y in enumerate(b, 1):
-            last, row[m] = row[m], min(row[m] + 1, row[m - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+    over = most + 1
+    row = [min(m, over) for m in range(len(b) + 1)]
+    for n, x in enumerate(a, 1):  # within a band, as more than ``most`` words can't be put in or left out
+        low, high = max(1, n - most), min(len(b), n + most)
+        now = [over] * (len(b) + 1)
+        if n <= most:
+            now[0] = n
+        for m in range(low, high + 1):
+            now[m] = min(row[m] + 1, now[m - 1] + 1, row[m - 1] + (x != b[m - 1]))
+        if min(now[low - 1 : high + 1]) > most:
+            return over
+        row = now
+    return min(row[-1], over)
 
 
 def goes_on(norm: str, end: int, word: str, last: str) -> bool:

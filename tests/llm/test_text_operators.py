@@ -206,6 +206,29 @@ def test_what_is_asked_is_what_is_counted():
     assert truncation.closing(["在"], "f", hashes)[1] is False and truncation.counted({}, hashes)[0].size == 0
 
 
+def test_edits_equal_the_whole_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for n, x in enumerate(a, 1):
+            last, row[0] = row[0], n
+            for m, y in enumerate(b, 1):
+                last, row[m] = row[m], min(row[m] + 1, row[m - 1] + 1, last + (x != y))
+        for most in range(6):
+            assert truncation.edits(a, b, most) == min(row[-1], most + 1)
+
+
+def test_buckets_of_a_beginning_are_those_of_the_text_that_is_cut_there():
+    hashes = truncation._Words()
+    words = [f"w{i * i % 9973}" for i in range(20_000)]
+    long = truncation.buckets(words, hashes)
+    assert [len(at) for at in long] == [truncation.BANDS] * len(truncation.beginnings(len(words)))
+    for size in (8, 64, 4096, 16384):
+        assert truncation.buckets(words[:size], hashes) == long[: len(truncation.beginnings(size))]
+    assert truncation.buckets(words[:7], hashes) == []
+
+
 def test_large_buckets_are_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(truncation, "BLOCK", 3)
     ask = "List the three oldest and best known facts about the long and winding harbour wall of"
