@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rank import latest, numbered
-from ..operators import evidence, jobs, planning, refusal, scoring, verify
+from ..operators import evidence, jobs, planning, scoring, verify
 from ..operators import facts as fact_reader
 from ..runtime import materialise, shared_folder, table
 from ..sources import job_store, models
