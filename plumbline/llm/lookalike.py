@@ -236,12 +236,6 @@ def consistent(text: str | None, bare: str | None = None) -> str | None:
     return _TOKEN.sub(respell, bare)
 
 
-@F.pandas_udf(T.StringType())
-def skeleton_udf(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for v in values:
-        yield v.map(skeleton, na_action="ignore")
-
-
 @F.pandas_udf(T.StringType())
 def consistent_udf(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for v in values:

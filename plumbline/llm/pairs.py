@@ -103,10 +103,6 @@ def _announces(before: str, asked: str) -> bool:
     return len(before) <= max(24, len(asked))
 
 
-def is_empty(answer: str | None) -> bool:
-    return not bare(answer)
-
-
 def copies(answer: str | None, prompt: str | None) -> bool:
     """Whether the answer holds nothing but the prompt, behind an announcement at most."""
     return _is_copy(bare(answer), bare(prompt))
