@@ -112,8 +112,8 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_shares, p8_found]
-    more = [p1_distinct, p2_triggered, p3_segments, p4_classes, p4_forms, p5_rates, p7_mix]
+    found = [p1_found, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_mix, p8_found]
+    more = [p1_distinct, p2_triggered, p3_segments, p4_classes, p4_forms, p5_rates, p7_shares]
     return {f.__name__: f for f in found + more}
 
 
