@@ -164,8 +164,18 @@ def skeleton(text: str | None) -> str | None:
     """The text with every look-alike in its prototype. Null for null."""
     if text is None or text.isascii():
         return text
-    table = tables()[0]
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(table))
+    apart, table = unicodedata.normalize("NFD", text), tables()[0]
+    if _changed().search(apart):
+        apart = apart.translate(table)
+    return unicodedata.normalize("NFC", apart)
+
+
+@lru_cache(maxsize=1)
+def _changed() -> re.Pattern:
+    """The characters that ``skeleton`` may change (all beyond the basic plane, so that the class is a bitmap): many texts hold
+    none of them, and a search is quicker than ``str.translate``."""
+    codes = (code for code, to in tables()[0].items() if to != chr(code) and code < 0x10000)
+    return re.compile("[" + "".join(f"\\u{code:04x}" for code in codes) + "\\U00010000-\\U0010ffff]")
 
 
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -204,6 +214,11 @@ def _prototypes() -> frozenset[str]:
     return frozenset(p for m in tables()[1].values() for p in m)
 
 
+@lru_cache(maxsize=1)
+def _written_back() -> re.Pattern:
+    return re.compile("[" + re.escape("".join(sorted(_prototypes()))) + "]")
+
+
 @lru_cache(maxsize=100_000)
 def _scripts(token: str) -> tuple[set[str], set[str]]:
     """The script set of a token, and the scripts of its letters that no other script can write."""
@@ -215,6 +230,8 @@ def consistent(text: str | None, bare: str | None = None) -> str | None:
     bare = skeleton(text) if bare is None else bare
     if bare is None or bare.isascii() and text.isascii():
         return bare
+    if not _written_back().search(unicodedata.normalize("NFD", bare)):
+        return bare  # no letter of it has another spelling
     back = tables()[1]
     tokens = _TOKEN.findall(bare)
     votes: dict[str, int] = {}

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, lookalike, pairs, truncation
+from plumbline.llm import common, langid, lookalike, pairs, truncation
 
 D = datetime(2024, 1, 1)
 RESPONSE = "response_id long, job_id string, slot string, model_name string, language string, response string, error string, received_at timestamp, key string, value string"
@@ -285,3 +287,37 @@ def test_pairs_are_grouped_by_the_consistent_form(spark, monkeypatch):
     assert lookalike.look("A") != lookalike.look("a")
     monkeypatch.setattr(lookalike, "consistent", lambda text, bare=None: text)  # the script sets take part
     assert lookalike.look("Bay") != lookalike.look("Вау")
+
+
+def test_filter_tells_hashes_apart_at_size(spark):
+    h = F.xxhash64("id").alias("h")
+    bits = common.hash_filter(spark.range(1_500_000).select(h), "h").value
+    asked, others = (spark.range(*r).select(h).toArrow()["h"].to_numpy().view(np.uint64) for r in ((0, 20_000), (2_000_000, 2_020_000)))
+    assert common.passes(bits, asked).all() and common.passes(bits, others).mean() < 0.02
+    assert not common.passes(common.hash_filter(spark.range(0).select(h), "h").value, asked).any()
+
+
+def test_open_ends_of_one_pattern_are_not_aligned_one_by_one(monkeypatch):
+    calls, edits = [], truncation.edits
+    monkeypatch.setattr(truncation, "edits", lambda *x: calls.append(x) or edits(*x))
+    n, asks = 60, "describe the town of {} and its old border markets for a general"
+    rows = [("f", 1, 0, True, b"o%d" % i, asks.format(i), 8) for i in range(n)] + [("f", 1, 0, False, b"t%d" % i, asks.format(i) + (" reader" if i else " and"), 8) for i in range(n)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("field", "bucket", "block", "asks", "id", "norm", "size"), r)) for r in rows])
+    told = [r for b in truncation._aligned(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["id"], r["equal"], r["on"], r["ends"]) for r in told) == sorted((b"o%d" % i, True, n, 0) for i in range(n))
+    assert len(calls) < n
+
+
+def test_near_pairs_are_those_within_the_edits():
+    rng = random.Random(9)
+    for _ in range(40):
+        opened = [[b"%d" % i, [rng.choice("abcde") for _ in range(rng.randrange(1, 12))] + [rng.choice(["x", "xy"])], rng.randrange(1, 4)] for i in range(12)]
+        met = [(b"%d" % rng.randrange(20), list(opened[rng.randrange(12)][1][:-1]) if rng.random() < 0.3 else [rng.choice("abcde") for _ in range(rng.randrange(1, 12))], rng.choice(["x", "xyz", "z"]), True) for _ in range(30)]
+        want = {
+            (o, t, truncation.edits(one[1][:-1], m[1], one[2]) == 0)
+            for o, one in enumerate(opened) for t, m in enumerate(met)
+            if one[0] != m[0] and m[2].startswith(one[1][-1]) and truncation.edits(one[1][:-1], m[1], one[2]) <= one[2]
+        }
+        assert set(truncation.near(opened, met, truncation._Words())) == want
+        found = [x for part in (met[:1], met[1:]) for x in truncation.near(opened[:3], part, truncation._Words())]
+        assert len(found) == sum(o < 3 for o, _, _ in want)
