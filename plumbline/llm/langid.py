@@ -161,9 +161,9 @@ class Profiles:
             ranks.append({g: i for i, g in enumerate([*scripts, *ranked_ngrams([w for _, ws in pairs for w in ws])][:PROFILE])})
             for g in ranks[-1]:
                 self.ids.setdefault(g, len(self.ids) + 1)
-        self.rank = np.full((len(self.languages), len(self.ids) + 1), _ABSENT, dtype=np.int64)
-        for row, rank in zip(self.rank, ranks):
-            row[[self.ids[g] for g in rank]] = list(rank.values())
+        self.rank = np.full((len(self.ids) + 1, len(self.languages)), _ABSENT, dtype=np.int32)
+        for i, rank in enumerate(ranks):
+            self.rank[[self.ids[g] for g in rank], i] = list(rank.values())
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "read"}
@@ -173,8 +173,9 @@ class Profiles:
 
     def distances(self, ranked: list[str]) -> np.ndarray:
         """The out-of-place distance of ranked n-grams to the profile of each language."""
-        rows = self.rank[:, list(map(self.ids.get, ranked, repeat(0)))]
-        return np.minimum(np.abs(rows - np.arange(len(ranked))), PROFILE).sum(axis=1)
+        rows = self.rank.take(np.fromiter(map(self.ids.get, ranked, repeat(0)), np.int64, len(ranked)), axis=0)
+        rows -= np.arange(len(ranked), dtype=np.int32)[:, None]
+        return np.minimum(np.abs(rows, out=rows), PROFILE, out=rows).sum(axis=0)
 
     def judge(self, sentence: str) -> tuple[str | None, float, int]:
         """The language of a sentence, the confidence and the number of letters that decided (an unspaced one counts as two).
@@ -205,6 +206,18 @@ class Profiles:
         part = consistent(sentence)
         return (*self.judge(part), is_whole(part))
 
+    def speaks(self, text: str | None, lang: str) -> bool | None:
+        """Whether a segment of a text is in a language; null where the text has no segments.
+
+        A firm sentence keeps its language in ``segments``, so the first one in ``lang`` decides and no further one is read.
+        """
+        for a, b in sentences(text) if text else ():
+            found, sure, size, _ = self.reading(text[a:b])
+            if found == lang and size >= SHORT and sure >= DOUBTFUL:
+                return True
+        parts = self.segments(text)
+        return any(p[2] == lang for p in parts) if parts else None
+
     def segments(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """``start, end, language, confidence`` of the stretches of a text in one language each."""
         if not text:

@@ -126,7 +126,7 @@ def _declines(form: str) -> bool:
     return declined
 
 
-def _flags(answer: str | None, prompt: str | None, cut: bool, languages: list[str], expected: str | None) -> list[str]:
+def _flags(answer: str | None, prompt: str | None, cut: bool, expected: str | None, profiles: langid.Profiles) -> list[str]:
     form = consistent(answer) if answer else ""
     said = _letters(form)
     if not said:
@@ -138,7 +138,7 @@ def _flags(answer: str | None, prompt: str | None, cut: bool, languages: list[st
         out.append("refusal")
     if cut:
         out.append("truncated")
-    if expected and languages and expected not in languages:
+    if expected and profiles.speaks(answer, expected) is False:
         out.append("other_language")
     return out
 
@@ -150,8 +150,7 @@ def _verdicts(rows: DataFrame, profiles: langid.Profiles) -> DataFrame:
         for batch in batches:
             found = []
             for answer, prompt, cut, expected in zip(*(batch.column(c).to_pylist() for c in ("response", "prompt", "is_cut", "expected"))):
-                languages = [s[2] for s in profiles.segments(answer)] if expected else []
-                found.append(_flags(answer, prompt, cut, languages, expected))
+                found.append(_flags(answer, prompt, cut, expected, profiles))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["response_id", "defects"])
 
     schema = T.StructType([rows.schema["response_id"], T.StructField("defects", T.ArrayType(T.StringType()))])

@@ -321,3 +321,17 @@ def test_near_pairs_are_those_within_the_edits():
         assert set(truncation.near(opened, met, truncation._Words())) == want
         found = [x for part in (met[:1], met[1:]) for x in truncation.near(opened[:3], part, truncation._Words())]
         assert len(found) == sum(o < 3 for o, _, _ in want)
+
+
+def test_a_firm_sentence_in_the_expected_language_decides(profiles, monkeypatch):
+    rng = random.Random(4)
+    parts = [t for lang in SAMPLES for t in SAMPLES[lang]] + ["Yes, so.", "Москва.", "他走了。", "そうです。", "...", "이것은 한국어 문장입니다.", "\n", "12", "“他走了。”"]
+    for text in [None, "", "..."] + [" ".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(150)]:
+        languages = [s[2] for s in profiles.segments(text)]
+        for lang in SAMPLES:
+            assert profiles.speaks(text, lang) == (lang in languages if languages else None)
+    read, judge = [], langid.Profiles._reading
+    monkeypatch.setattr(langid.Profiles, "_reading", lambda self, s: read.append(s) or judge(self, s))
+    fresh = langid.Profiles(SAMPLES)
+    answer = " ".join([*SAMPLES["en"], *SAMPLES["de"]])
+    assert pairs._flags(answer, None, False, "en", fresh) == [] and len(read) == 1
